@@ -1,0 +1 @@
+"""Intentionally empty: the surveyed workload has no streams (monthly files, batch refresh)."""
