@@ -49,15 +49,16 @@ def global_position(df: DataFrame, order: list, out: str = "posicion", keys: lis
     return running_total(df, keys or [], order, F.lit(1).cast("long"), out)
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Distinct values per key with their counts and the cumulative count up to each."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_count"))
+def value_counts(df: DataFrame, keys: list[str], value: str, weight: str | None = None) -> DataFrame:
+    """Distinct values per key with their (weighted) counts and the cumulative count up to each."""
+    size = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(size.alias("_count"))
     return running_total(counts, keys, [value], "_count", "_upto")
 
 
-def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "rango") -> DataFrame:
+def average_rank(df: DataFrame, keys: list[str], value: str, out: str = "rango", weight: str | None = None) -> DataFrame:
     """Average rank of every distinct value per key, with the size of its tie group."""
-    return value_counts(df, keys, value).select(
+    return value_counts(df, keys, value, weight).select(
         *keys,
         value,
         (F.col("_upto") - (F.col("_count") - 1) / F.lit(2.0)).alias(out),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from balanza.constants import MONTHS_ES, NEUTRAL_SCORE
 
@@ -171,11 +171,20 @@ def _rational(x: Column, region: str) -> Column:
     return _polynomial(x, top) / _polynomial(x, bottom)
 
 
-def normal_quantile(p) -> Column:
-    """Inverse standard normal distribution for 0 < p < 1, as one native expression."""
-    p = as_col(p)
-    q = p - F.lit(0.5)
-    r = F.sqrt(-F.ln(F.when(q <= 0, p).otherwise(F.lit(1.0) - p)))
-    outer = F.when(r <= 5, _rational(r - F.lit(1.6), "middle")).otherwise(_rational(r - F.lit(5.0), "tail"))
-    central = q * _rational(F.lit(0.180625) - q * q, "central")
-    return F.when(F.abs(q) <= 0.425, central).otherwise(F.when(q < 0, -outer).otherwise(outer))
+def with_normal_quantile(df: DataFrame, p: Column, out: str) -> DataFrame:
+    """Add the inverse standard normal distribution of ``p`` (0 < p < 1), natively.
+
+    The arguments of the rational functions are columns of their own, so that generated code
+    evaluates each once instead of once per polynomial term.
+    """
+    staged = df.withColumn("_p", p).withColumn("_q", F.col("_p") - F.lit(0.5))
+    staged = staged.withColumns(
+        {
+            "_c": F.lit(0.180625) - F.col("_q") * F.col("_q"),
+            "_r": F.sqrt(-F.ln(F.when(F.col("_q") <= 0, F.col("_p")).otherwise(F.lit(1.0) - F.col("_p")))),
+        }
+    ).withColumns({"_r1": F.col("_r") - F.lit(1.6), "_r2": F.col("_r") - F.lit(5.0)})
+    q, r = F.col("_q"), F.col("_r")
+    outer = F.when(r <= 5, _rational(F.col("_r1"), "middle")).otherwise(_rational(F.col("_r2"), "tail"))
+    value = F.when(F.abs(q) <= 0.425, q * _rational(F.col("_c"), "central")).otherwise(F.signum(q) * outer)
+    return staged.withColumn(out, value).drop("_p", "_q", "_c", "_r", "_r1", "_r2")

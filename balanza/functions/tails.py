@@ -7,7 +7,7 @@ import sys
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
+from pyspark.sql import functions as F, types as T
 
 _TINY = 1e-300
 
@@ -87,17 +87,17 @@ def chi2_upper(x: float, df: float) -> float:
     return gamma_upper(df / 2, x / 2)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def normal_p(z: pd.Series) -> pd.Series:
     return z.map(lambda v: None if pd.isna(v) else normal_two_sided(v))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def t_p(t: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) or pd.isna(n) or n <= 0 else t_two_sided(v, n) for v, n in zip(t, df)], dtype=float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def chi2_p(x: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([None if pd.isna(v) or pd.isna(n) or n <= 0 else chi2_upper(v, n) for v, n in zip(x, df)], dtype=float)
 

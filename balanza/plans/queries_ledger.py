@@ -1 +1,253 @@
 """Registered queries: ledger overview, series by account, ingestion."""
+
+from __future__ import annotations
+
+import io
+import sys
+import zipfile
+
+import pandas as pd
+from pyspark import cloudpickle
+from pyspark.sql import functions as F
+
+from balanza.constants import SEGMENTS
+from balanza.operators import describe, pivot, ratios
+from balanza.plans.catalog import query
+from balanza.plans.oracle import quoted, rounded, sql
+from balanza.plans.queries_serving import doubles
+from balanza.plans.star import star
+from balanza.session import scratch_path
+from balanza.sources import store, text
+
+
+def _ledger_query(name, oracle, function, *parts):
+    @query(name, sql(oracle, *parts))
+    def run(spark, sf_dir):
+        return function(star(spark, sf_dir).ledger)
+
+    return run
+
+
+_ledger_query(
+    "year_overview",
+    """SELECT anio, count(DISTINCT fecha_corte) AS meses, count(DISTINCT ruc) AS cooperativas,
+       CAST(count(*) AS BIGINT) AS registros FROM ledger GROUP BY anio""",
+    describe.year_overview,
+)
+_REPORT = f"""SELECT anio, count(DISTINCT ruc) AS cooperativas, count(DISTINCT fecha_corte) AS meses,
+ count(*) AS registros, {rounded('CAST(sum(saldo_usd) AS DOUBLE) / 1e9', 4)} AS total_miles_millones,
+ max(fecha_corte) AS ultima_fecha FROM ledger GROUP BY anio"""
+_ledger_query("load_report", _REPORT, describe.load_report)
+_ledger_query(
+    "entities_by_segment",
+    "SELECT segmento, count(DISTINCT ruc) AS cooperativas FROM ledger WHERE anio = '2000' GROUP BY segmento",
+    lambda ledger: describe.entities_by_segment(ledger, "2000"),
+)
+_ledger_query(
+    "extent", "SELECT count(*) AS filas, min(fecha_corte) AS desde, max(fecha_corte) AS hasta FROM ledger", describe.extent
+)
+_ledger_query(
+    "entity_matrix",
+    "SELECT anio, " + ", ".join(f"count(DISTINCT ruc) FILTER (WHERE segmento = '{s}') AS \"{s}\"" for s in SEGMENTS)
+    + " FROM ledger GROUP BY anio",
+    describe.entity_matrix,
+)
+_SERIES = """SELECT fecha_corte, anio, segmento, CAST(sum(saldo_usd) AS DOUBLE) / 1e6 AS millones
+ FROM ledger WHERE cuenta = '{}' GROUP BY ALL"""
+for _name, _code in (("assets", "1"), ("loans", "14"), ("deposits", "21")):
+    _ledger_query(
+        f"account_series_{_name}", _SERIES.format(_code), lambda ledger, code=_code: describe.account_series(ledger, code)
+    )
+_ledger_query(
+    "year_end_matrix",
+    ", series AS (" + _SERIES.format("1") + """), last AS (SELECT anio, segmento, arg_max(millones, fecha_corte) AS v
+      FROM series GROUP BY anio, segmento) SELECT anio, """
+    + ", ".join(f"coalesce(max(v) FILTER (WHERE segmento = '{s}'), 0) AS \"{s}\"" for s in SEGMENTS)
+    + " FROM last GROUP BY anio",
+    describe.year_end_matrix,
+)
+_ledger_query(
+    "liquidity_series",
+    """SELECT fecha_corte, anio, CASE left(cuenta, 2) WHEN '11' THEN 'Fondos Disponibles' ELSE 'Inversiones' END AS tipo,
+       CAST(sum(saldo_usd) AS DOUBLE) / 1e6 AS saldo_millones FROM ledger
+       WHERE left(cuenta, 2) IN ('11', '13') AND length(cuenta) = 2 GROUP BY ALL""",
+    describe.liquidity_series,
+)
+_ledger_query(
+    "top15_assets",
+    """SELECT razon_social, segmento, CAST(sum(saldo_usd) AS DOUBLE) / 1e6 AS activo_millones FROM ledger
+       WHERE cuenta = '1' AND fecha_corte = (SELECT max(fecha_corte) FROM ledger)
+       GROUP BY ALL ORDER BY activo_millones DESC, razon_social LIMIT 15""",
+    lambda ledger: describe.top_assets(ledger, 15).drop("nombre_corto"),
+)
+_ledger_query(
+    "top_accounts",
+    """SELECT cuenta, descripcion_cuenta, count(*) AS veces FROM ledger GROUP BY ALL ORDER BY veces DESC, cuenta LIMIT 10""",
+    describe.top_accounts,
+)
+_ledger_query(
+    "account_usage",
+    """SELECT cuenta, descripcion_cuenta, count(DISTINCT ruc) AS coops, count(*) AS registros FROM ledger
+       WHERE segmento = 'SEGMENTO 1' AND length(cuenta) <= 4 AND anio = '2000' GROUP BY cuenta, descripcion_cuenta
+       ORDER BY length(cuenta), cuenta LIMIT 100""",
+    lambda ledger: describe.account_usage(ledger, "SEGMENTO 1", "2000"),
+)
+_ledger_query(
+    "npl_accounts",
+    """SELECT cuenta, descripcion_cuenta, count(DISTINCT ruc) AS coops FROM ledger
+       WHERE segmento = 'SEGMENTO 1' AND anio = '2000' AND (cuenta LIKE '1425%' OR cuenta LIKE '1426%') GROUP BY ALL""",
+    lambda ledger: describe.npl_accounts(ledger, "SEGMENTO 1", "2000"),
+)
+_ledger_query(
+    "entity_span",
+    """SELECT ruc, razon_social, count(DISTINCT fecha_corte) AS meses, min(fecha_corte) AS desde, max(fecha_corte) AS hasta
+       FROM ledger WHERE segmento = 'SEGMENTO 1' GROUP BY ALL""",
+    lambda ledger: describe.entity_span(ledger, "SEGMENTO 1"),
+)
+_EXTRACT = ["1", "11", "13", "14", "2", "21", "3", "5", "4"]
+_ledger_query(
+    "extract",
+    f"""SELECT fecha_corte, ruc, razon_social, cuenta, descripcion_cuenta, CAST(sum(saldo_usd) AS DOUBLE) / 1e6 AS saldo_millones
+       FROM ledger WHERE anio = '2000' AND segmento = 'SEGMENTO 1' AND cuenta IN ({quoted(_EXTRACT)}) GROUP BY ALL""",
+    lambda ledger: describe.extract(ledger, "2000", "SEGMENTO 1", _EXTRACT),
+)
+_ledger_query("distinct_periods", "SELECT DISTINCT fecha_corte FROM ledger", lambda ledger: describe.distinct_periods(ledger, "fecha_corte"))
+_ledger_query(
+    "describe_by_segment",
+    """, assets AS (SELECT ruc, segmento, CAST(sum(saldo_usd) AS DOUBLE) / 1e6 AS v FROM ledger
+         WHERE cuenta = '1' AND anio = '2000' AND month(fecha_corte) = 12 GROUP BY ruc, razon_social, segmento)
+       SELECT segmento, count(v) AS n, round(avg(v), 6) AS media, round(stddev_samp(v), 6) AS std, min(v) AS min, max(v) AS max,
+         round(quantile_cont(v, 0.25), 6) AS p25, round(quantile_cont(v, 0.5), 6) AS p50, round(quantile_cont(v, 0.75), 6) AS p75
+       FROM assets GROUP BY segmento""",
+    lambda ledger: describe.describe_by(describe.december_assets(ledger, "2000"), "segmento", "activo_millones").withColumns(
+        {c: F.round(c, 6) for c in ("media", "std", "p25", "p50", "p75")}
+    ),
+)
+
+_SYSTEM_SUMS = ", ".join(
+    f"CAST(sum(CASE WHEN cuenta = '{code}' THEN saldo_usd END) AS DOUBLE) / 1e6 AS {name}"
+    for name, code in pivot.SYSTEM_SUMS.items()
+) + "".join(
+    f", CAST(sum(CASE WHEN cuenta IN ({quoted(codes)}) THEN saldo_usd ELSE 0 END) AS DOUBLE) / 1e6 AS {name}"
+    for name, codes in (("nodev_m", pivot.NOT_ACCRUING), ("vencida_m", pivot.OVERDUE))
+)
+SYSTEM = f"""SELECT fecha_corte, month(fecha_corte) AS mes, count(DISTINCT ruc) AS n_coops, {_SYSTEM_SUMS} FROM ledger
+ WHERE segmento = 'SEGMENTO 1' AND year(fecha_corte) >= 1996 AND razon_social NOT LIKE '%LIQUIDACI%' GROUP BY fecha_corte"""
+SYSTEM_RATIOS = f""", system AS ({SYSTEM}), improd AS (SELECT *, nodev_m + vencida_m AS cart_improd_m FROM system),
+ ratios AS (SELECT *, ingresos_m - gastos_m AS resultado_m, patrimonio_m / activo_total_m * 100 AS sist_solvencia,
+  cart_improd_m / cartera_m * 100 AS sist_morosidad, abs(provisiones_m) / cart_improd_m * 100 AS sist_cobertura,
+  (ingresos_m - gastos_m) / activo_total_m * 100 AS sist_roa, (fondos_m + inver_m) / depositos_m * 100 AS sist_liq_amp,
+  (int_ganados_m - int_causados_m) / activo_total_m * 100 AS sist_nim, gastos_op_m / activo_total_m * 100 AS sist_efic_op
+  FROM improd)"""
+
+
+def system(ledger):
+    return pivot.system_series(ledger, "SEGMENTO 1", 1996)
+
+
+_ledger_query("system_series", SYSTEM, system)
+_ledger_query("system_ratios", SYSTEM_RATIOS + " SELECT * FROM ratios", lambda ledger: ratios.system_ratios(system(ledger)))
+
+
+@query(
+    "table_counts",
+    sql("""SELECT 'dim_cooperativa' AS tabla, count(*) AS filas FROM dim UNION ALL
+     SELECT 'dim_cuenta', count(DISTINCT cuenta) FROM ledger UNION ALL
+     SELECT 'fact_eeff', count(*) FROM ledger UNION ALL SELECT 'fact_indicadores', count(*) FROM fact""", "fact", "dim"),
+)
+def table_counts(spark, sf_dir):
+    s = star(spark, sf_dir)
+    return describe.table_counts(
+        {"dim_cooperativa": s.dim_entity, "dim_cuenta": s.dim_account, "fact_eeff": s.ledger, "fact_indicadores": s.fact}
+    )
+
+
+_LEDGER_OUT = "SELECT * REPLACE (CAST(saldo_usd AS DOUBLE) AS saldo_usd) FROM ledger"
+
+
+# Ingestion -----------------------------------------------------------------------------------
+
+
+def _raw_text(ledger, decimal_comma: bool):
+    """A ledger as the supervisor's yearly text: all strings, published header spellings."""
+    amount = F.col("saldo_usd").cast("string")
+    return ledger.select(
+        F.date_format("fecha_corte", "yyyy-MM-dd").alias("FECHA DE CORTE"),
+        F.col("segmento").alias("SEGMENTO"),
+        F.col("ruc").alias("RUC"),
+        F.col("razon_social").alias("RAZON SOCIAL"),
+        F.col("cuenta").alias("CUENTA"),
+        F.col("descripcion_cuenta").alias("DESCRIPCION CUENTA"),
+        (F.replace(amount, F.lit("."), F.lit(",")) if decimal_comma else amount).alias("SALDO (USD)"),
+        "anio",
+    )
+
+
+def raw_tree(spark, sf_dir) -> str:
+    """Text files per year folder: tab-separated until 1998, semicolons and decimal commas after."""
+    ledger, root = star(spark, sf_dir).ledger, scratch_path(spark, "raw")
+    early, late = ledger.where(F.col("anio") <= "1998"), ledger.where(F.col("anio") > "1998")
+    for rows, sep in ((_raw_text(early, False), "\t"), (_raw_text(late, True), ";")):
+        rows.write.mode("append").partitionBy("anio").option("header", True).option("sep", sep).csv(root)
+    return root
+
+
+@query("ingest_tree", sql(_LEDGER_OUT))
+def ingest_tree(spark, sf_dir):
+    return doubles(text.read_ledger_tree(spark, raw_tree(spark, sf_dir)))
+
+
+@query("ingest_refresh_year", sql(_REPORT))
+def ingest_refresh_year(spark, sf_dir):
+    """Store the ledger with one year damaged, then replace that year from the raw files."""
+    ledger, path = star(spark, sf_dir).ledger, scratch_path(spark, "store")
+    broken = ledger.where(F.col("anio") == "2001").withColumn("saldo_usd", -F.col("saldo_usd"))
+    store.write_ledger(store.append([ledger.where(F.col("anio") != "2001"), broken, broken]), path)
+    store.refresh_year(text.read_ledger_tree(spark, raw_tree(spark, sf_dir)), path, "2001")
+    return describe.load_report(store.read_ledger(spark, path))
+
+
+def _archive(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One archive per entity and year; its first member lacks the required columns."""
+    first = pdf.iloc[0]
+    body = pdf.drop(columns=["anio"]).to_csv(sep=";", index=False)
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("leame.txt", "NOTA\nsin datos\n")
+        z.writestr("balance.csv", body.encode("latin-1"))
+    path = f"raw/{first['anio']} {first['RUC']}.zip"
+    return pd.DataFrame({"path": [path], "content": [packed.getvalue()]})
+
+
+@query("ingest_zip", sql(_LEDGER_OUT))
+def ingest_zip(spark, sf_dir):
+    """Pack each entity's year (bounded by cuts × chart of accounts), then read the archives."""
+    raw = _raw_text(star(spark, sf_dir).ledger, True)
+    archives = raw.groupBy("RUC", "anio").applyInPandas(_archive, "path string, content binary")
+    return doubles(text.conform(text.zip_rows(archives)))
+
+
+@query(
+    "clean_rows",
+    sql(f"""SELECT CAST(count(*) AS BIGINT) AS filas, CAST(sum(CASE WHEN l_linenumber % 3 = 0 THEN 0 ELSE CAST(l_extendedprice AS DECIMAL(20,4)) END) AS DOUBLE) AS total,
+     count(CASE WHEN l_linenumber % 2 = 0 THEN 1 END) AS fechas, count(DISTINCT l_returnflag) AS textos FROM lineitem"""),
+)
+def clean_rows(spark, sf_dir):
+    """Amount, date and text cleaning over every line, with every third amount and odd date damaged."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    amount = F.col("l_extendedprice").cast("decimal(20,4)").cast("string")
+    dirty = lines.select(
+        F.when(F.col("l_linenumber") % 3 == 0, F.concat(F.lit("1."), F.replace(amount, F.lit("."), F.lit(","))))
+        .otherwise(F.concat(F.lit(" "), F.replace(amount, F.lit("."), F.lit(",")))).alias("saldo"),
+        F.when(F.col("l_linenumber") % 2 == 0, F.date_format("l_shipdate", '"yyyy-MM-dd"')).otherwise("sin fecha").alias("fecha"),
+        F.concat(F.lit(' "'), "l_returnflag", F.lit('" ')).alias("texto"),
+    )
+    return dirty.agg(
+        F.count(F.lit(1)).alias("filas"),
+        F.sum(text.parse_amount("saldo")).cast("double").alias("total"),
+        F.count(text.parse_date("fecha")).alias("fechas"),
+        F.countDistinct(text.clean_text("texto")).alias("textos"),
+    )
+
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
