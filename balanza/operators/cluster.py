@@ -390,17 +390,18 @@ def dbscan_summary(clusters: DataFrame) -> DataFrame:
 # Hierarchy ---------------------------------------------------------------------------------
 
 
-def ward_merges(points: DataFrame) -> DataFrame:
+def ward_merges(points: DataFrame, finish_rows: int = 512) -> DataFrame:
     """All merges of Ward's hierarchy as (a, b, altura): cluster ids and merge height.
 
     Ward's criterion is reducible, so clusters that are each other's nearest may merge at the
     same time without changing the hierarchy. Each round finds every cluster's nearest in blocked
-    cells and merges the mutual pairs; a merged cluster takes its smaller id.
+    cells and merges the mutual pairs; a merged cluster takes its smaller id. The last clusters,
+    at most ``finish_rows`` centres however many points there are, are merged in one step.
     """
     axes = neighbours.dimensions(points)
     active = checkpoint(points.select("id", *axes, F.lit(1.0).alias("w")))
     rounds: list[DataFrame] = []
-    while active.count() > 1:
+    while active.count() > finish_rows:
         costs = neighbours.per_cell(active, neighbours.cheapest_merge, "id string, other string, cost double")
         best = costs.groupBy("id").agg(F.min(F.struct("cost", "other")).alias("_m"))
         nearest = checkpoint(best.select("id", F.col("_m.other").alias("other"), F.col("_m.cost").alias("cost")))
@@ -417,8 +418,7 @@ def ward_merges(points: DataFrame) -> DataFrame:
                 *[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in axes], F.sum("w").alias("w")
             )
         )
-    if not rounds:
-        return points.sparkSession.createDataFrame([], "a string, b string, altura double")
+    rounds.append(active.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(neighbours.merge_all, "a string, b string, altura double"))
     return checkpoint(append(rounds))
 
 

@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
+from balanza.session import spread
+
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 2048
 
@@ -106,7 +108,7 @@ def per_cell(points: DataFrame, function, schema: str, band: Column | None = Non
         parts = [p for p in parts if len(p)]
         return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
 
-    return cells(points, band, block_rows).groupBy(*_CELL).applyInPandas(run, schema)
+    return spread(cells(points, band, block_rows), *_CELL).groupBy(*_CELL).applyInPandas(run, schema)
 
 
 def distance_sums(labelings: list[str]):
@@ -208,4 +210,26 @@ def cheapest_merge(rows, others, distances):
     return pd.DataFrame({"id": ids[found], "other": other_ids[order][best[found]], "cost": lowest[found]})
 
 
+def merge_all(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Ward merges of a bounded set of weighted centres, cheapest first."""
+    pdf = pdf.sort_values("id")
+    ids, w = pdf["id"].to_numpy(), pdf["w"].to_numpy(float)
+    centres = pdf[[c for c in pdf.columns if c.startswith("x") and c[1:].isdigit()]].to_numpy(float)
+    gaps = _distances(centres, centres)
+    cost = gaps * gaps * (w[:, None] * w[None, :] / (w[:, None] + w[None, :]))
+    np.fill_diagonal(cost, np.inf)
+    merges = []
+    for _ in range(len(ids) - 1):
+        i, j = sorted(divmod(int(cost.argmin()), len(ids)))
+        merges.append((ids[i], ids[j], float(np.sqrt(2 * cost[i, j]))))
+        centres[i] = (centres[i] * w[i] + centres[j] * w[j]) / (w[i] + w[j])
+        w[i] += w[j]
+        w[j] = np.nan
+        gap = ((centres - centres[i]) ** 2).sum(axis=1)
+        renewed = np.nan_to_num(gap * (w * w[i] / (w + w[i])), nan=np.inf)
+        renewed[i] = np.inf
+        cost[i], cost[:, i], cost[j], cost[:, j] = renewed, renewed, np.inf, np.inf
+    return pd.DataFrame(merges, columns=["a", "b", "altura"])
+
+
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -7,8 +7,8 @@ from pyspark.sql import DataFrame, functions as F
 from balanza.constants import BALANCE_ACCOUNTS, ENTITY_ACCOUNTS, LIQUIDATION_MARK, NOT_ACCRUING, OVERDUE, WIDE_ACCOUNTS
 
 
-def _balance(code: str):
-    return F.when(F.col("cuenta") == code, F.col("saldo_usd"))
+def _balance(code: str, value: str = "saldo_usd"):
+    return F.when(F.col("cuenta") == code, F.col(value))
 
 
 def _listed(codes: list[str]):
@@ -24,13 +24,14 @@ def pivot_accounts(ledger: DataFrame, wide: bool = False, keys=("fecha_corte", "
 
     The ledger is not filtered to the needed accounts first: entities without any of them
     must survive as all-null rows, and one conditional aggregate with map-side combine does
-    that without a second scan and a join.
+    that without a second scan and a join. A greatest balance is the same taken as double, which
+    keeps its buffer primitive; sums stay decimal, so that they do not depend on row order.
     """
     accounts = BALANCE_ACCOUNTS | WIDE_ACCOUNTS if wide else BALANCE_ACCOUNTS
-    columns = [F.max(_balance(code)).alias(name) for name, code in accounts.items()]
+    columns = [F.max(_balance(code, "_balance")).alias(name) for name, code in accounts.items()]
     columns += [_listed(NOT_ACCRUING).alias("cart_nodev"), _listed(OVERDUE).alias("cart_vencida")]
-    pivoted = ledger.groupBy(*keys).agg(*columns)
-    return _as_double(pivoted, [*accounts, "cart_nodev", "cart_vencida"])
+    pivoted = ledger.withColumn("_balance", F.col("saldo_usd").cast("double")).groupBy(*keys).agg(*columns)
+    return _as_double(pivoted, ["cart_nodev", "cart_vencida"])
 
 
 def entity_pivot(ledger: DataFrame, ruc: str | None = None) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from balanza.constants import SYSTEM_LIMITS
 from balanza.functions.scalar import month_label, next_months
 from balanza.operators import series_models
+from balanza.session import spread
 
 
 def _month_end_before(c):
@@ -171,7 +172,7 @@ def holt(df: DataFrame, steps: int = 12, key: str = "ruc", date: str = "fecha_co
 
     A series that is too short continues its straight line instead.
     """
-    fitted = _model_rows(df, key, date, value).groupBy("clave").applyInPandas(
+    fitted = spread(_model_rows(df, key, date, value), "clave").groupBy("clave").applyInPandas(
         series_models.holt_forecaster(steps), series_models.HOLT_SCHEMA
     )
     return fitted.select(
@@ -183,7 +184,7 @@ def holt(df: DataFrame, steps: int = 12, key: str = "ruc", date: str = "fecha_co
 
 def adf(df: DataFrame, key: str = "ruc", date: str = "fecha_corte", value: str = "valor") -> DataFrame:
     """Augmented Dickey-Fuller test per series with the lag chosen by AIC."""
-    tested = _model_rows(df, key, date, value).groupBy("clave").applyInPandas(series_models.adf_test, series_models.ADF_SCHEMA)
+    tested = spread(_model_rows(df, key, date, value), "clave").groupBy("clave").applyInPandas(series_models.adf_test, series_models.ADF_SCHEMA)
     return tested.select(
         F.col("clave").alias(key), "n", "estadistico", "p_valor", "rezagos",
         F.when(F.col("p_valor") < 0.05, "ESTACIONARIA").when(F.col("p_valor").isNotNull(), "NO ESTACIONARIA").alias("veredicto"),

@@ -28,15 +28,14 @@ def _holt_errors(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray):
     ``base + by_level * l0 + by_trend * b0``; running it on the three basis states gives all of them.
     """
     size = len(alpha)
-    level = np.zeros((3, size))
-    slope = np.zeros((3, size))
+    level, slope = np.zeros((3, size)), np.zeros((3, size))
     level[1], slope[2] = 1.0, 1.0
-    data = np.array([1.0, 0.0, 0.0])[:, None]
-    errors = np.empty((len(y), 3, size))
+    errors = np.empty((3, len(y), size))
     for t, value in enumerate(y):
         expected = level + slope
-        error = value * data - expected
-        errors[t] = error
+        error = -expected
+        error[0] += value
+        errors[:, t] = error
         level = expected + alpha * error
         slope = slope + beta * error
     return errors
@@ -44,14 +43,14 @@ def _holt_errors(y: np.ndarray, alpha: np.ndarray, beta: np.ndarray):
 
 def _best_states(errors: np.ndarray):
     """Least-squares initial states and their error sum for each parameter column."""
-    base, by_level, by_trend = errors[:, 0], errors[:, 1], errors[:, 2]
-    a, b, c = (by_level**2).sum(0), (by_level * by_trend).sum(0), (by_trend**2).sum(0)
-    u, v = -(by_level * base).sum(0), -(by_trend * base).sum(0)
+    base, by_level, by_trend = errors
+    a, b, c = (np.einsum("ts,ts->s", p, q) for p, q in ((by_level, by_level), (by_level, by_trend), (by_trend, by_trend)))
+    u, v = -np.einsum("ts,ts->s", by_level, base), -np.einsum("ts,ts->s", by_trend, base)
     det = a * c - b * b
     det = np.where(np.abs(det) < 1e-12, 1e-12, det)
     l0, b0 = (c * u - b * v) / det, (a * v - b * u) / det
     residual = base + by_level * l0 + by_trend * b0
-    return l0, b0, (residual**2).sum(0)
+    return l0, b0, np.einsum("ts,ts->s", residual, residual)
 
 
 def fit_holt(y: np.ndarray):
@@ -60,18 +59,18 @@ def fit_holt(y: np.ndarray):
     The initial states have a closed form for given parameters, which leaves a smooth search
     over two numbers: a grid that narrows around its best point.
     """
-    centre, width = np.array([0.5, 0.5]), 0.5
+    centre, width, points = np.array([0.5, 0.5]), 0.5, 17
     best = None
     for _ in range(12):
-        a = np.clip(np.linspace(centre[0] - width, centre[0] + width, 17), 1e-4, 1.0)
-        share = np.clip(np.linspace(centre[1] - width, centre[1] + width, 17), 1e-4, 1.0)
+        a = np.clip(np.linspace(centre[0] - width, centre[0] + width, points), 1e-4, 1.0)
+        share = np.clip(np.linspace(centre[1] - width, centre[1] + width, points), 1e-4, 1.0)
         grid_a, grid_share = (g.ravel() for g in np.meshgrid(a, share))
         l0, b0, sse = _best_states(_holt_errors(y, grid_a, grid_a * grid_share))
         i = int(np.argmin(sse))
         if best is None or sse[i] < best[-1]:
             best = (grid_a[i], grid_a[i] * grid_share[i], l0[i], b0[i], sse[i])
             centre = np.array([grid_a[i], grid_share[i]])
-        width *= 0.45
+        width, points = width * 0.4, 7
     return best
 
 

@@ -58,3 +58,13 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-partition by ``keys`` into the full number of shuffle partitions.
+
+    Adaptive execution sizes partitions by bytes and would merge small but compute-heavy groups
+    into one task. A partition number given by hand is kept, and a grouping by the same keys
+    needs no further shuffle.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 # Account and multiplier by ``l_partkey % 20``.
@@ -38,15 +40,15 @@ def ledger_from_tables(spark: SparkSession, sf_dir: str, freq: str = "quarter")
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
     supplier = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     kind = F.col("l_partkey") % 20
+    # Cents times hundredths: exact sums of ten-thousandths in a long, without wide decimals.
+    cents = (F.col("l_extendedprice").cast("decimal(18,2)") * 100).cast("bigint")
+    hundredths = [F.lit(int(Decimal(m) * 100)).cast("bigint") for _, m in LEAVES]
     leaves = (
         lines.select(
             "l_suppkey",
             period_end("l_shipdate", freq).alias("fecha_corte"),
             _pick([F.lit(code) for code, _ in LEAVES], kind).alias("leaf"),
-            (
-                F.col("l_extendedprice").cast("decimal(18,2)")
-                * _pick([F.lit(m).cast("decimal(3,2)") for _, m in LEAVES], kind)
-            ).alias("amount"),
+            (cents * _pick(hundredths, kind)).alias("amount"),
         )
         .groupBy("l_suppkey", "fecha_corte", "leaf")
         .agg(F.sum("amount").alias("amount"))
@@ -55,7 +57,8 @@ def ledger_from_tables(spark: SparkSession, sf_dir: str, freq: str = "quarter")
         leaves.withColumn("level", F.explode(F.array(*[F.lit(n) for n in LEVELS])))
         .withColumn("cuenta", F.expr("substring(leaf, 1, level)"))
         .groupBy("l_suppkey", "fecha_corte", "cuenta")
-        .agg(F.sum("amount").cast("decimal(20,4)").alias("saldo_usd"))
+        .agg(F.sum("amount").alias("amount"))
+        .withColumn("saldo_usd", (F.col("amount").cast("decimal(19,0)") / F.lit(10_000)).cast("decimal(20,4)"))
     )
     entity = supplier.select(
         F.col("s_suppkey").alias("l_suppkey"),
