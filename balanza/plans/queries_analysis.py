@@ -344,7 +344,24 @@ _points_query("pca_scores", None, lambda points: cluster.Components(points).scor
 _points_query("pca_variance", None, lambda points: cluster.Components(points).variance())
 _points_query("pca_loadings", None, lambda points: cluster.Components(points).loadings(CLUSTER_FEATURES))
 _points_query("components_for_70", None, lambda points: cluster.components_for(cluster.Components(points).variance()))
-_points_query("kmeans_sweep", None, cluster.kmeans_sweep)
+
+
+def sweep_of(spark, sf_dir):
+    """The sweep over k, fitted once per source."""
+    s = star(spark, sf_dir)
+    if not hasattr(s, "sweep"):
+        s.sweep = cluster.kmeans_sweep(points_of(spark, sf_dir))
+    return s.sweep
+
+
+@query("kmeans_sweep")
+def kmeans_sweep(spark, sf_dir):
+    return sweep_of(spark, sf_dir)
+
+
+@query("kmeans_best_k")
+def kmeans_best_k(spark, sf_dir):
+    return cluster.best_k(sweep_of(spark, sf_dir))
 
 
 def fitted(spark, sf_dir):

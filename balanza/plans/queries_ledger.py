@@ -11,6 +11,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from balanza.constants import SEGMENTS
+from balanza.functions.scalar import month_ends, month_label, next_months, short_name, truncate
 from balanza.operators import describe, pivot, ratios
 from balanza.plans.catalog import query
 from balanza.plans.oracle import quoted, rounded, sql
@@ -131,7 +132,7 @@ _SYSTEM_SUMS = ", ".join(
     f", CAST(sum(CASE WHEN cuenta IN ({quoted(codes)}) THEN saldo_usd ELSE 0 END) AS DOUBLE) / 1e6 AS {name}"
     for name, codes in (("nodev_m", pivot.NOT_ACCRUING), ("vencida_m", pivot.OVERDUE))
 )
-SYSTEM = f"""SELECT fecha_corte, month(fecha_corte) AS mes, count(DISTINCT ruc) AS n_coops, {_SYSTEM_SUMS} FROM ledger
+SYSTEM = f"""SELECT fecha_corte, CAST(month(fecha_corte) AS INTEGER) AS mes, count(DISTINCT ruc) AS n_coops, {_SYSTEM_SUMS} FROM ledger
  WHERE segmento = 'SEGMENTO 1' AND year(fecha_corte) >= 1996 AND razon_social NOT LIKE '%LIQUIDACI%' GROUP BY fecha_corte"""
 SYSTEM_RATIOS = f""", system AS ({SYSTEM}), improd AS (SELECT *, nodev_m + vencida_m AS cart_improd_m FROM system),
  ratios AS (SELECT *, ingresos_m - gastos_m AS resultado_m, patrimonio_m / activo_total_m * 100 AS sist_solvencia,
@@ -162,6 +163,27 @@ def table_counts(spark, sf_dir):
     )
 
 
+_ledger_query(
+    "short_names",
+    r""", n AS (SELECT DISTINCT razon_social, trim(regexp_replace(regexp_replace(razon_social, 'COOPERATIVA DE AHORRO Y CR[EÉ]DITO\s*', '', 'g'),
+          'LIMITADA|LTDA\.?', '', 'g')) AS t FROM ledger)
+     SELECT razon_social, array_to_string(list_transform(string_split(t, ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS nombre,
+       substr(razon_social, 1, 28) AS etiqueta FROM n""",
+    lambda ledger: ledger.select("razon_social").distinct().select(
+        "razon_social", short_name("razon_social").alias("nombre"), truncate("razon_social", 28).alias("etiqueta")
+    ),
+)
+_ledger_query(
+    "last_months",
+    """, m AS (SELECT ruc, max(fecha_corte) AS u FROM ledger GROUP BY ruc)
+     SELECT ruc, list_extract(['Ene','Feb','Mar','Abr','May','Jun','Jul','Ago','Sep','Oct','Nov','Dic'], month(u)) || ' ' || year(u) AS corte,
+       strftime(u, '%b%Y') AS etiqueta, strftime(date_trunc('month', u) + to_months(3), '%Y-%m') AS tercer_mes,
+       last_day(CAST(date_trunc('month', u) + to_months(2) AS DATE)) AS segundo_cierre FROM m""",
+    lambda ledger: ledger.groupBy("ruc").agg(F.max("fecha_corte").alias("u")).select(
+        "ruc", month_label("u", "es").alias("corte"), month_label("u", "short").alias("etiqueta"),
+        next_months("u", 3)[2].alias("tercer_mes"), month_ends("u", 2)[1].alias("segundo_cierre"),
+    ),
+)
 _LEDGER_OUT = "SELECT * REPLACE (CAST(saldo_usd AS DOUBLE) AS saldo_usd) FROM ledger"
 
 

@@ -92,4 +92,10 @@ def read_relational(spark: SparkSession, table: str, url: str | None = None, **o
 
 
 def write_directory_csv(directory: DataFrame, path: str) -> None:
-    directory.write.mode("overwrite").option("header", True).csv(path)
+    """CSV with header in UTF-8 with byte-order mark, which spreadsheets expect.
+
+    Spark writes no mark of its own, so it leads the first column's name.
+    """
+    first, *rest = directory.columns
+    marked = directory.withColumnRenamed(first, "\ufeff" + first)
+    marked.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)

@@ -93,5 +93,6 @@ def test_directory_csv(spark, tmp_path, entities_ledger):
 
     path = str(tmp_path / "directorio")
     store.write_directory_csv(build_directory(entities_ledger), path)
-    back = spark.read.option("header", True).csv(path)
-    assert back.count() == 4 and "activo_M_Dec2025" in back.columns
+    parts = [p.read_bytes() for p in (tmp_path / "directorio").glob("*.csv")]
+    assert all(p.startswith(b"\xef\xbb\xbfruc,") and b"activo_M_Dec2025" in p for p in parts if p)
+    assert sum(p.count(b"\n") - 1 for p in parts if p) == 4
