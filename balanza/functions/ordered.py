@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from balanza.functions.scalar import as_col
-from balanza.session import checkpoint
+from balanza.session import checked_small, checkpoint
 
 
 def running_total(df: DataFrame, keys: list[str], order: list, weight, out: str) -> DataFrame:
@@ -86,7 +86,7 @@ def quantiles_of_counts(ranked: DataFrame, keys: list[str], value: str, probs: l
     """``exact_quantiles`` over an existing ``value_counts`` table."""
     names = names or [quantile_name(p) for p in probs]
     if keys:
-        joined = ranked.join(ranked.groupBy(*keys).agg(F.max("_upto").alias("_n")), keys)
+        joined = ranked.join(checked_small(ranked.groupBy(*keys).agg(F.max("_upto").alias("_n"))), keys)
     else:
         joined = ranked.withColumn("_n", ranked.select(F.max("_upto")).scalar())
     first, last = F.col("_upto") - F.col("_count"), F.col("_upto") - 1

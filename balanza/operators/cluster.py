@@ -12,7 +12,7 @@ from balanza.functions.ordered import exact_quantiles, global_position
 from balanza.operators import centroids, neighbours
 from balanza.operators.describe import crosstab
 from balanza.operators.stats import robust_scale
-from balanza.session import checkpoint
+from balanza.session import checked_small, checkpoint
 from balanza.sources.store import append
 
 SEED = 42
@@ -168,7 +168,7 @@ def silhouettes(labelled: DataFrame, labelings: list[str]) -> DataFrame:
     means = (
         sums.groupBy("id", "etiquetado", "label", "other")
         .agg(F.sum("total").alias("total"))
-        .join(sizes, ["etiquetado", "other"])
+        .join(checked_small(sizes), ["etiquetado", "other"])
         .groupBy("id", "etiquetado", "label")
         .agg(
             F.max(F.when(own, F.col("_size"))).alias("_own"),
@@ -217,7 +217,7 @@ def cluster_moments(labelled: DataFrame, labelings: list[str]) -> dict[str, Clus
     for c in axes:
         square = square + (F.col(c) - F.col(f"m_{c}")) * (F.col(c) - F.col(f"m_{c}"))
     rows = (
-        long.join(centres, keys)
+        long.join(checked_small(centres), keys)
         .groupBy(*keys)
         .agg(
             F.max("_size").alias("size"), F.avg(F.sqrt(square)).alias("spread"), F.sum(square).alias("within"),

@@ -9,7 +9,8 @@ from balanza.constants import (
 )
 from balanza.functions.ordered import exact_quantiles, quantiles_of_counts, value_counts
 from balanza.functions.scalar import all_of, breaches, half_up, limit_text, short_name
-from balanza.operators.serve import active_only, at_latest_cut
+from balanza.operators.serve import active_only
+from balanza.session import checked_small
 
 MILLION = 1e6
 
@@ -224,7 +225,7 @@ def iqr_outliers(df: DataFrame, column: str, keys: list[str] | None = None) -> D
     keys = keys or []
     fences = exact_quantiles(df, keys, column, [0.25, 0.75], ["q1", "q3"])
     if keys:
-        return df.join(fences, keys).where(_outside(column))
+        return df.join(checked_small(fences), keys).where(_outside(column))
     q1, q3 = fences.select("q1").scalar(), fences.select("q3").scalar()
     return df.withColumns({"q1": q1, "q3": q3}).where(_outside(column))
 
@@ -368,6 +369,3 @@ def risk_matrix(panel: DataFrame, columns: list[str] = CLUSTER_FEATURES) -> Data
         "sc_C", "sc_A", "sc_M", "sc_E", "sc_L", *columns,
     )
 
-
-def latest_panel(panel: DataFrame) -> DataFrame:
-    return at_latest_cut(panel)

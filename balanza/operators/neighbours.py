@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from balanza.session import spread
+from balanza.session import checked_small, spread
 
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 2048
@@ -45,7 +45,7 @@ def cells(points: DataFrame, band: Column | None = None, block_rows: int = BLOCK
     after = blocks.select((F.col("_band") - 1).alias("_band"), F.col("_m").alias("_m_next"))
     before = blocks.select((F.col("_band") + 1).alias("_band"), F.col("_m").alias("_m_prev"))
     around = blocks.join(after, "_band", "left").join(before, "_band", "left").na.fill(0, ["_m_next", "_m_prev"])
-    placed = banded.join(around, "_band").withColumn("_s", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int"))
+    placed = banded.join(checked_small(around), "_band").withColumn("_s", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int"))
 
     def cell(band_key, adjacent, low, high, side):
         return F.struct(

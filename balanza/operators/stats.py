@@ -16,6 +16,7 @@ from balanza.functions.ordered import average_rank, exact_quantiles, global_posi
 from balanza.functions.scalar import stars, with_normal_quantile
 from balanza.functions.tails import chi2_p, normal_p, t_p
 from balanza.operators.describe import complete_cases, long_panel
+from balanza.session import checked_small
 
 MIN_PAIRS = 5
 
@@ -269,7 +270,7 @@ def kruskal(df: DataFrame, columns: list[str] = INDICATORS, group: str = "cluste
     long = long_panel(df.where(F.col(group).isNotNull()), columns, [group])
     cells = long.groupBy("indicador", group, "valor").agg(F.count(F.lit(1)).alias("_cell"))
     large = cells.groupBy("indicador", group).agg(F.sum("_cell").alias("_size")).where(F.col("_size") >= 2)
-    cells = cells.join(large.select("indicador", group), ["indicador", group])
+    cells = cells.join(checked_small(large.select("indicador", group)), ["indicador", group])
     ranks = average_rank(cells, ["indicador"], "valor", weight="_cell")
     ties = ranks.groupBy("indicador").agg(
         F.sum("empates").alias("n"),

@@ -187,8 +187,10 @@ _RANKING = f"SELECT razon_social, segmento, estado, rating_camel, ruc, {_R2} FRO
 
 @query("ranking_etl", sql(_RANKING + " ORDER BY camel_score DESC, ruc", "fact", "dim", "snap"))
 def ranking_etl(spark, sf_dir):
+    """From the ledger: the cut is chosen before the pivot, so the scan reads only its rows."""
     ledger = star(spark, sf_dir).ledger
-    return serve.ranking(dimensions.build_fact_indicadores(ledger, "etl"), dimensions.build_dim_entity(ledger))
+    cut = dimensions.build_fact_indicadores(serve.at_latest_cut(ledger), "etl")
+    return serve.ranking(cut, dimensions.build_dim_entity(ledger))
 
 
 _ANALYST = ["C_solvencia", "A_morosidad", "A_cobertura", "M_efic_operativa", "E_roa", "L_liq_ampliada"]
