@@ -17,15 +17,14 @@ def running_total(df: DataFrame, keys: list[str], order: list, weight, out: str)
     """Cumulative sum of ``weight`` per ``keys`` in ``order``.
 
     ``order`` must be unique within ``keys``, so that no range slice is forced to hold
-    one repeated value. The sliced rows are checkpointed: both the slice totals and the
-    rows themselves must see the same slice borders, also after an executor is lost.
+    one repeated value. Adaptive execution joins neighbouring small slices, which keeps them
+    ranges. The sliced rows are checkpointed: both the slice totals and the rows themselves
+    must see the same slice borders, also after an executor is lost.
     """
-    spark = df.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [as_col(c) for c in order]
     sliced = checkpoint(
         df.withColumn("_weight", as_col(weight))
-        .repartitionByRange(slices, *keys, *order)
+        .repartitionByRange(*keys, *order)
         .withColumn("_slice", F.spark_partition_id())
     )
     group = [*keys, "_slice"]

@@ -107,12 +107,12 @@ def ranking_rows(fact: DataFrame, dim: DataFrame) -> DataFrame:
 
 
 def _score_order(order: str):
-    """``reference`` lists the highest (worst) score first, ``best`` the lowest."""
+    """``worst`` lists the highest (worst) score first, ``best`` the lowest."""
     score = F.col("camel_score")
-    return score.desc_nulls_last() if order == "reference" else score.asc_nulls_last()
+    return score.desc_nulls_last() if order == "worst" else score.asc_nulls_last()
 
 
-def ranking(fact: DataFrame, dim: DataFrame, order: str = "reference") -> DataFrame:
+def ranking(fact: DataFrame, dim: DataFrame, order: str = "worst") -> DataFrame:
     return ranking_rows(fact, dim).orderBy(_score_order(order), "ruc")
 
 
@@ -121,7 +121,7 @@ def ranked(rows: DataFrame, order: str = "best") -> DataFrame:
     return global_position(rows, [_score_order(order), F.col("ruc")])
 
 
-def top_n(fact: DataFrame, dim: DataFrame, n: int = 5, order: str = "reference") -> DataFrame:
+def top_n(fact: DataFrame, dim: DataFrame, n: int = 5, order: str = "worst") -> DataFrame:
     return (
         snapshot(fact, dim)
         .select(

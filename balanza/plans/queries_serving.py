@@ -259,7 +259,7 @@ _served(
 _TOP = """SELECT ruc, razon_social, segmento, CAST(camel_score AS DOUBLE) AS camel_score, rating_camel,
  CAST(morosidad_pct AS DOUBLE) AS morosidad_pct, CAST(capitalizacion_pct AS DOUBLE) AS capitalizacion_pct
  FROM snap ORDER BY snap.camel_score {}, ruc LIMIT 5"""
-_served("top5", _TOP.format("DESC"), lambda f, d: serve.top_n(f, d, 5, "reference"))
+_served("top5", _TOP.format("DESC"), lambda f, d: serve.top_n(f, d, 5, "worst"))
 _served("bottom5", _TOP.format("ASC"), lambda f, d: serve.top_n(f, d, 5, "best"))
 
 _HISTORY_ROUND = ", ".join(

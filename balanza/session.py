@@ -61,13 +61,14 @@ def materialize(df: DataFrame, name: str, partition_by: str | None = None) -> Da
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash-partition by ``keys`` into the full number of shuffle partitions.
+    """Hash-partition by ``keys`` into twice the shuffle partitions, for compute-heavy groups.
 
-    Adaptive execution sizes partitions by bytes and would merge small but compute-heavy groups
-    into one task. A partition number given by hand is kept, and a grouping by the same keys
-    needs no further shuffle.
+    Adaptive execution sizes partitions by bytes and would merge small but expensive groups into
+    one task. A partition number given by hand is kept; it differs from the default, because a
+    repartition equal to the one below it is dropped. A grouping by the same keys needs no
+    further shuffle.
     """
-    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+    return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 SMALL_ROWS = 10_000
