@@ -12,7 +12,6 @@ from balanza.operators import cluster, describe, neighbours, ratios, series, sta
 from balanza.plans.catalog import query
 from balanza.plans.oracle import BREACH, LIMIT_TEXT, rounded, sql
 from balanza.plans.queries_ledger import SYSTEM_RATIOS, system
-from balanza.plans.queries_serving import doubles
 from balanza.plans.star import star
 from balanza.session import checkpoint
 
