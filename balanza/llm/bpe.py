@@ -35,6 +35,7 @@ TWO_LETTERS = ("ll", "ve", "re")
 
 BREAK_POINT = 0x110000
 CACHE_SLICES = 300_000
+STEP_IDS = 1 << 19
 
 
 def step(state: int, kind: int) -> int:
@@ -234,39 +235,30 @@ def _slice_cache(path: str) -> SliceCache:
     return SliceCache(vocabulary(path))
 
 
-def encode_column(column, path: str) -> tuple[pa.ListArray, pa.ListArray]:
-    """Ids and the byte offset of each id in its text, for a string column."""
+def encode_steps(column, path: str) -> Iterator[tuple[int, int, pa.ListArray, pa.ListArray]]:
+    """(first row, end row, ids, byte offset of each id in its text) for steps of a string column."""
     vocab, ids_of = vocabulary(path), _slice_cache(path)
-    ids, counts = [], []
     for first, end, data, offsets in utf8_steps(column):
         text = data.tobytes().decode()
         points = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        heads = np.zeros(len(data) + 1, np.int64)  # code points before each byte
+        heads = np.zeros(len(data) + 1, np.int32)  # code points before each byte
         np.cumsum((data & 0xC0) != 0x80, out=heads[1:])
-        ends = heads[offsets[1:]]
+        ends = heads[offsets[1:]].astype(np.int64)
         starts = boundaries(np.insert(points, ends, BREAK_POINT))
         # Without the breaks: a text's break began a slice of its own.
         breaks = ends + np.arange(len(ends))
         texts_before = np.searchsorted(breaks, starts, "left")
         real = starts != breaks[np.minimum(texts_before, len(breaks) - 1)]
-        cuts = (starts - texts_before)[real]
-        of_text = texts_before[real]
-        cut_list = cuts.tolist()
-        slices = [text[a:b] for a, b in zip(cut_list, cut_list[1:] + [len(text)])]
-        bounds = np.searchsorted(of_text, np.arange(end - first + 1)).tolist()
+        cuts = (starts - texts_before)[real].tolist()
+        slices = [text[a:b] for a, b in zip(cuts, cuts[1:] + [len(text)])]
+        bounds = np.searchsorted(texts_before[real], np.arange(end - first + 1)).tolist()
         get = ids_of.__getitem__
-        for a, b in zip(bounds, bounds[1:]):
-            own = b"".join(map(get, slices[a:b]))
-            ids.append(own)
-            counts.append(len(own) // 4)
-    flat = np.frombuffer(b"".join(ids), np.int32)
-    lengths = vocab.length[flat]
-    total = np.cumsum(lengths) - lengths
-    counts = np.array(counts, np.int64)
-    first_of = np.cumsum(counts) - counts
-    filled = counts > 0
-    base = np.repeat(total[first_of[filled]], counts[filled])
-    return list_array(counts, pa.array(flat)), list_array(counts, pa.array((total - base).astype(np.int32)))
+        ids = [b"".join(map(get, slices[a:b])) for a, b in zip(bounds, bounds[1:])]
+        counts = np.array([len(x) // 4 for x in ids], np.int64)
+        flat = np.frombuffer(b"".join(ids), np.int32)
+        lengths = vocab.length[flat]
+        place = np.cumsum(lengths) - lengths - np.repeat(offsets[:-1], counts)
+        yield first, end, list_array(counts, pa.array(flat)), list_array(counts, pa.array(place.astype(np.int32)))
 
 
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
@@ -280,8 +272,9 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, offsets = encode_column(batch.column(names.index(text)), path)
-            yield pa.RecordBatch.from_arrays([*batch.columns, ids, offsets], names=[*names, "ids", "offsets"])
+            for first, end, ids, offsets in encode_steps(batch.column(names.index(text)), path):
+                rows = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([*rows.columns, ids, offsets], names=[*names, "ids", "offsets"])
 
     return df.mapInArrow(run, _schema(df, "ids array<int>, offsets array<int>"))
 
@@ -292,9 +285,9 @@ def _schema(df: DataFrame, added: str):
     return StructType([*df.schema.fields, *StructType.fromDDL(added).fields])
 
 
-def decode_column(column, path: str) -> pa.Array:
+def decode_column(column: pa.ListArray, path: str) -> pa.Array:
+    """The bytes of each list of ids."""
     vocab = vocabulary(path)
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
     flat = column.flatten()
     if flat.null_count:
         raise ValueError("null among ids")
@@ -325,7 +318,15 @@ def decode(df: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = decode_column(batch.column(names.index("ids")), path)
-            yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*names, "decoded"])
+            ids = batch.column(names.index("ids"))
+            many = np.cumsum(np.asarray(ids.value_lengths().fill_null(0)))
+            row = 0
+            while row < len(ids):
+                done = many[row - 1] if row else 0
+                end = max(row + 1, int(np.searchsorted(many, done + STEP_IDS, "right")))
+                rows = batch.slice(row, end - row)
+                out = decode_column(ids.slice(row, end - row), path)
+                yield pa.RecordBatch.from_arrays([*rows.columns, out], names=[*names, "decoded"])
+                row = end
 
     return df.mapInArrow(run, _schema(df, "decoded binary"))
