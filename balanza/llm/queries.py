@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balanza.llm import bpe, chat, warc
-from balanza.llm.common import read_table
+from balanza.llm import bpe, chat, language, quality, toxicity, warc
+from balanza.llm.common import held_out, read_table
 from balanza.llm.oracles import ORACLES  # noqa: F401
 
 BPE_FILE = "byte_bpe_50k.tiktoken"
@@ -29,6 +29,26 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path(BPE_FILE))
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit_on_labels(docs, read_table(spark, sf_dir, "labels"))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", held_out("doc_id", toxicity.FOLDS, toxicity.HELD_OUT).alias("held_out"), "score", "predicted")
+
+
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit_on_labels(docs, read_table(spark, sf_dir, "labels"))
+    out = quality.score(docs, model)
+    return out.select("doc_id", held_out("doc_id", quality.FOLDS, quality.HELD_OUT).alias("held_out"), "score", "predicted")
+
+
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    out = language.predict(docs.select("doc_id", "text"), language.learn(docs))
+    return out.select("doc_id", held_out("doc_id", language.FOLDS, language.HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(read_table(spark, sf_dir, "pages"))
 
@@ -44,5 +64,5 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op8_warc, op9_chat)
+    f.__name__: f for f in (op1_bpe, op2_toxicity, op5_quality, op6_language, op8_warc, op9_chat)
 }

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from balanza.session import scratch_path
+from balanza.session import scratch_path, spread
 
 # Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC = 0x184D2A5E, 0x8F92EAB1
@@ -201,7 +201,8 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """The records that ``index`` lists, read back by ranged reads of single frames.
 
     Any subset of an index does; each frame is read once by the task that holds its rows.
-    Records of one frame meet in one task (a frame holds few records or one large one).
+    Records of one frame meet in one task (a frame holds few records or one large one). An index
+    row is small but stands for much work, so the number of tasks is given, not left to sizes.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -227,7 +228,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     frames = (
-        index.groupBy("bundle", "frame", "frame_start", "frame_bytes", "plain_bytes")
+        spread(index, "bundle", "frame").groupBy("bundle", "frame", "frame_start", "frame_bytes", "plain_bytes")
         .agg(F.collect_list(F.struct("place", "length")).alias("places"))
         .sortWithinPartitions("bundle", "frame")
     )
