@@ -25,8 +25,9 @@ SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
 PROBES = 3
 GRAM = 4
-#: Most texts of each language that a filter is learned from (by the hash of their id).
-SAMPLE_TEXTS = 1_500
+#: Most texts of each language that a filter is learned from (by the hash of their id). Spark ranks up to
+#: 1000 rows of a group before the shuffle, so a language of any size sends few rows.
+SAMPLE_TEXTS = 1_000
 #: An n-gram belongs to the languages that have at least this share of its best language's rate.
 LEAST_SHARE = 0.4
 #: and is kept if it occurs in this many of the sample's texts.

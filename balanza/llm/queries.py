@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balanza.llm import bpe, chat, language, quality, toxicity, warc
+from balanza.llm import bpe, chat, imatch, language, quality, toxicity, warc
 from balanza.llm.common import held_out, read_table
 from balanza.llm.oracles import ORACLES  # noqa: F401
 
@@ -36,6 +36,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", toxicity.FOLDS, toxicity.HELD_OUT).alias("held_out"), "score", "predicted")
 
 
+def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return imatch.edit_report(read_table(spark, sf_dir, "documents"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.fit_on_labels(docs, read_table(spark, sf_dir, "labels"))
@@ -64,5 +68,5 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_toxicity, op5_quality, op6_language, op8_warc, op9_chat)
+    f.__name__: f for f in (op1_bpe, op2_toxicity, op4_imatch, op5_quality, op6_language, op8_warc, op9_chat)
 }
