@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balanza.llm import bpe, chat, decontaminate, imatch, language, quality, toxicity, warc
+from balanza.llm import bpe, chat, decontaminate, imatch, jaccard, language, quality, toxicity, warc
 from balanza.llm.common import held_out, read_table
 from balanza.llm.oracles import ORACLES  # noqa: F401
 
@@ -36,6 +36,10 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", toxicity.FOLDS, toxicity.HELD_OUT).alias("held_out"), "score", "predicted")
 
 
+def op3_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.classes(read_table(spark, sf_dir, "documents"), words=3, numerator=90, denominator=100)
+
+
 def op4_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return imatch.edit_report(read_table(spark, sf_dir, "documents"))
 
@@ -72,5 +76,5 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_toxicity, op4_imatch, op5_quality, op6_language, op8_warc, op9_chat, op10_decontaminate)
+    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_jaccard, op4_imatch, op5_quality, op6_language, op8_warc, op9_chat, op10_decontaminate)
 }
