@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from balanza.llm.common import RangeHash, list_array, mix, signed, utf8_steps
 from balanza.llm.graph import components
-from balanza.session import materialize, spread
+from balanza.session import materialize
 
 #: Defaults of near-duplicate search; the similarity is the fraction NUMERATOR / DENOMINATOR.
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
@@ -143,7 +143,7 @@ def points(docs: DataFrame, classes: np.ndarray, words: int, numerator: int, den
                     if len(known) > REMEMBERED:
                         known.popitem(last=False)
                     vector = np.bincount(group[a:b], minlength=GROUPS)
-                    vectors.append(vector.astype(np.uint16 if vector.max() < 65_536 else np.uint32).tobytes())
+                    vectors.append(vector.astype(np.min_scalar_type(vector.max())).tobytes())
                     size = prefix_size(b - a, numerator, denominator)
                     prefixes.append(flat[a:b][np.argpartition(order[a:b], size - 1)[:size]].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -159,32 +159,32 @@ def points(docs: DataFrame, classes: np.ndarray, words: int, numerator: int, den
     return docs.select(key, text).mapInArrow(run, schema)
 
 
-def meeting_groups(found: DataFrame) -> DataFrame:
-    """(meeting, set_id): groups of sets that share a prefix n-gram; groups of equal members are one.
+def meeting_groups(found: DataFrame, numerator: int, denominator: int) -> DataFrame:
+    """(meeting, set_id): groups of sets that share a prefix n-gram, cut where sizes are too far apart to link.
 
-    Rows are sorted by n-gram within hash partitions and read as a stream, so a frequent n-gram
-    takes no memory; n-grams of a single set go.
+    Rows are sorted by n-gram and size within hash partitions and read as a stream, so a frequent
+    n-gram takes no memory. Sets that meet nobody go; meetings of equal members are one.
     """
-    rows = found.where(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("token"), "set_id")
+    rows = found.where(F.col("prefix").isNotNull()).select(F.explode("prefix").alias("token"), F.col("n").cast("int"), "set_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: OrderedDict[int, None] = OrderedDict()
-        held_token, held, large = None, np.zeros(0, np.int64), False
+        # The last group of what was read may go on: its rows, or for a long one its name and last row.
+        held, name_of_long = [np.zeros(0, np.int64)] * 3, None
 
         def send(meeting: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(meeting), pa.array(sets)], names=["meeting", "set_id"])
 
-        def closed(tokens: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
-            """Whole groups, sorted."""
-            new = np.ones(len(tokens), bool)
-            new[1:] = (tokens[1:] != tokens[:-1]) | (sets[1:] != sets[:-1])
-            tokens, sets = tokens[new], sets[new]
-            edge = np.flatnonzero(np.concatenate([[True], tokens[1:] != tokens[:-1], [True]]))
-            size = np.diff(edge)
-            codes = mix(sets.view(np.uint64))
-            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(codes)])
-            name = mix(sums[edge[1:]] - sums[edge[:-1]] + size.astype(np.uint64)).view(np.int64)
-            fresh = size > 1
+        def groups(token: np.ndarray, size: np.ndarray, sets: np.ndarray) -> np.ndarray:
+            """Where groups begin, and the end."""
+            new = (token[1:] != token[:-1]) | (denominator * size[:-1] < numerator * size[1:])
+            return np.flatnonzero(np.concatenate([[True], new, [True]]))
+
+        def closed(edge: np.ndarray, sets: np.ndarray) -> pa.RecordBatch:
+            many = np.diff(edge)
+            sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(sets.view(np.uint64)))])
+            name = mix(sums[edge[1:]] - sums[edge[:-1]] + many.astype(np.uint64)).view(np.int64)
+            fresh = many > 1
             for i in np.flatnonzero(fresh):
                 if (own := int(name[i])) in seen:
                     fresh[i] = False
@@ -192,34 +192,40 @@ def meeting_groups(found: DataFrame) -> DataFrame:
                     seen[own] = None
                     if len(seen) > REMEMBERED:
                         seen.popitem(last=False)
-            keep = np.repeat(fresh, size)
-            return send(np.repeat(name, size)[keep], sets[keep])
+            keep = np.repeat(fresh, many)
+            return send(np.repeat(name, many)[keep], sets[keep])
 
         for batch in batches:
-            tokens, sets = (batch.column(i).to_numpy() for i in (0, 1))
-            if not len(tokens):
+            if not batch.num_rows:
                 continue
-            if held_token is not None:
-                tokens, sets = np.concatenate([np.full(len(held), held_token), tokens]), np.concatenate([held, sets])
-            cut = int(np.searchsorted(tokens, tokens[-1]))  # the last group may go on
-            begin = 0
-            if large and tokens[0] == held_token:
-                begin = int(np.searchsorted(tokens, held_token, "right"))
-                begin = min(begin, cut) if tokens[-1] != held_token else begin
-                yield send(np.full(begin, held_token), sets[:begin])
-            if begin < cut:
-                yield closed(tokens[begin:cut], sets[begin:cut])
-            start = max(begin, cut)
-            large = (large and held_token == tokens[-1]) or len(sets) - start > LISTED
-            held_token = tokens[-1]
-            held = np.zeros(0, np.int64) if large else sets[start:]
-            if large and start < len(sets):
-                yield send(np.full(len(sets) - start, held_token), sets[start:])
-        if held_token is not None and not large and len(held):
-            yield closed(np.full(len(held), held_token), held)
+            token, size, sets = (
+                np.concatenate([h, batch.column(i).to_numpy().astype(np.int64)]) for i, h in enumerate(held)
+            )
+            new = np.ones(len(token), bool)  # a set that two tasks sent
+            new[1:] = (token[1:] != token[:-1]) | (sets[1:] != sets[:-1])
+            token, size, sets = token[new], size[new], sets[new]
+            edge = groups(token, size, sets)
+            if name_of_long is not None:
+                first = edge[1]
+                yield send(np.full(first - 1, name_of_long), sets[1:first])  # row 0 was sent
+                if len(edge) == 2:
+                    held = [token[-1:], size[-1:], sets[-1:]]
+                    continue
+                token, size, sets, edge = token[first:], size[first:], sets[first:], edge[1:] - first
+                name_of_long = None
+            cut = edge[-2]
+            if cut:
+                yield closed(edge[:-1], sets[:cut])
+            held = [token[cut:], size[cut:], sets[cut:]]
+            if len(held[0]) > LISTED:
+                name_of_long = int(mix(held[0][:1].view(np.uint64) + held[1][:1].astype(np.uint64)).view(np.int64)[0])
+                yield send(np.full(len(held[0]), name_of_long), held[2])
+                held = [h[-1:] for h in held]
+        if name_of_long is None and len(held[0]):
+            yield closed(groups(*held), held[2])
 
     parts = 2 * int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(parts, "token").sortWithinPartitions("token", "set_id")
+    ordered = rows.repartition(parts, "token").sortWithinPartitions("token", "n", "set_id")
     return ordered.mapInArrow(run, "meeting bigint, set_id bigint").distinct()
 
 
@@ -230,10 +236,12 @@ def leaves(meetings: DataFrame, found: DataFrame, numerator: int, denominator: i
     Groups with very many points are cut into runs before they are sorted.
     """
     sets = found.where(F.col("point").isNotNull()).select("set_id", "n", "point").dropDuplicates(["set_id"])
-    band = F.floor(F.log(F.col("n").cast("double")) / log(denominator / numerator)).cast("int")
-    rows = meetings.join(sets, "set_id").withColumn("band", band)
     sizes = meetings.groupBy("meeting").agg(F.count("*").alias("_many"))
-    rows = rows.join(sizes, "meeting").withColumn("run", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("_many") / RUN)))
+    runs = meetings.join(sizes, "meeting").select(
+        "meeting", "set_id", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("_many") / RUN)).alias("run")
+    )
+    band = F.floor(F.log(F.col("n").cast("double")) / log(denominator / numerator)).cast("int")
+    rows = runs.join(sets, "set_id").withColumn("band", band)
     packed = Window.partitionBy("meeting", "band", "run").orderBy("n", "set_id")
     rows = rows.withColumn("page", F.floor((F.row_number().over(packed) - 1) / LEAF))
     return rows.groupBy("meeting", "band", "run", "page").agg(
@@ -244,11 +252,10 @@ def leaves(meetings: DataFrame, found: DataFrame, numerator: int, denominator: i
 class Leaf:
     """Points of a leaf and the upper corner of their box."""
 
-    def __init__(self, members: list[dict], component: dict | None = None):
+    def __init__(self, members: list[dict]):
         self.ids = np.array([m["set_id"] for m in members], np.int64)
         self.sizes = np.array([m["n"] for m in members], np.int64)
-        kinds = [np.frombuffer(m["point"], np.uint16 if len(m["point"]) == 2 * GROUPS else np.uint32) for m in members]
-        self.points = np.stack(kinds)
+        self.points = np.stack([np.frombuffer(m["point"], f"u{len(m['point']) // GROUPS}") for m in members])
         self.corner = self.points.max(0)
         self.roots = np.array([m["root"] for m in members], np.int64) if "root" in members[0] else self.ids
 
@@ -378,7 +385,7 @@ def classes(
     docs = docs.select(F.col(key), F.coalesce(text, F.lit("")).alias(text))
     ranks = frequency_classes(docs, words, text)
     found = materialize(points(docs, ranks, words, numerator, denominator, key, text), "points")
-    meetings = materialize(meeting_groups(found), "meetings")
+    meetings = materialize(meeting_groups(found, numerator, denominator), "meetings")
     nodes = materialize(leaves(meetings, found, numerator, denominator), "leaves")
     sets = materialize(
         sets_of(docs, found, meetings.select("set_id").distinct(), words, key, text), "sets"
