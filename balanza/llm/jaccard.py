@@ -47,6 +47,22 @@ _BLANK[[32, *range(9, 14)]] = True
 _STEP = np.uint64(0x9FB21C651E98DF25)
 
 
+def with_length(hashes: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    """Hashes whose top six bits hold the n-gram's length in bytes (63 at most): long ones are rare ones."""
+    return (hashes >> np.uint64(6)) | (np.minimum(letters, 63).astype(np.uint64) << np.uint64(58))
+
+
+def bucket_in_sketch(hashes: np.ndarray) -> np.ndarray:
+    return (mix(hashes) >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
+
+
+def rarity(hashes: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    """Order keys, rarest first: by the sketch's class, then longest first, then by hash."""
+    top = classes[bucket_in_sketch(hashes)].astype(np.uint64) << np.uint64(56)
+    length = (np.uint64(63) - (hashes >> np.uint64(58))) << np.uint64(50)
+    return top | length | (mix(hashes) & np.uint64((1 << 50) - 1))
+
+
 def shingle_steps(column, words: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, end row, sorted distinct hashes of each text end to end, how many of each).
 
@@ -69,13 +85,15 @@ def shingle_steps(column, words: int) -> Iterator[tuple[int, int, np.ndarray, np
         for i in range(words):
             code = code * _STEP + word[i : many + i]
         whole = text[:many] == text[words - 1 : many + words - 1]
-        hashes, owner = [mix(code[whole])], [text[:many][whole]]
+        letters = np.concatenate([[0], np.cumsum(stop - start)])
+        hashes, owner = [with_length(mix(code), letters[words:][:many] - letters[:many])[whole]], [text[:many][whole]]
         for k in range(1, words):
             short = np.flatnonzero(per_text == k)
             code = np.full(len(short), k, np.uint64)
             for i in range(k):
                 code = code * _STEP + word[first_word[short] + i]
-            hashes.append(mix(code ^ np.uint64(0x5851F42D4C957F2D)))
+            at = first_word[short]
+            hashes.append(with_length(mix(code ^ np.uint64(0x5851F42D4C957F2D)), letters[at + k] - letters[at]))
             owner.append(short)
         owner = np.concatenate(owner)
         order = np.argsort(owner, kind="stable")
@@ -93,20 +111,25 @@ def frequency_classes(docs: DataFrame, words: int, text: str = "text") -> np.nda
 
     Counts cover all documents; the sketch has a fixed size.
     """
-    shift = np.uint64(64 - SKETCH_BITS)
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.int64)
         for batch in batches:
             for _, _, flat, _ in shingle_steps(batch.column(0), words):
-                counts += np.bincount((flat >> shift).astype(np.int64), minlength=1 << SKETCH_BITS)
+                counts += np.bincount(bucket_in_sketch(flat), minlength=1 << SKETCH_BITS)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(counts))), pa.array(counts)], names=["bucket", "n"])
 
     total = docs.select(text).mapInArrow(run, "bucket bigint, n bigint").groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
     counts = np.zeros(1 << SKETCH_BITS)
     counts[total.column("bucket").to_numpy()] = total.column("n").to_numpy()
     usual = max(counts.mean(), 1.0)
-    return np.maximum(np.floor(np.log2(np.maximum(counts / usual, 1.0))) - 1, 0).astype(np.uint8)
+    return np.floor(np.log2(np.maximum(counts / usual, 1.0))).astype(np.uint8)
+
+
+def set_ids(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """A 64-bit id of each set, whatever the order of its hashes."""
+    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat ^ _STEP))])
+    stop = np.cumsum(counts)
+    return mix((sums[stop] - sums[stop - counts]) + counts.astype(np.uint64))
 
 
 def prefix_size(n: int, numerator: int, denominator: int) -> int:
@@ -122,15 +145,13 @@ def points(docs: DataFrame, classes: np.ndarray, words: int, numerator: int, den
     shared = docs.sparkSession.sparkContext.broadcast(classes)  # 2**SKETCH_BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank = OrderedDict(), shared.value
-        shift, deal = np.uint64(64 - SKETCH_BITS), np.uint64(24)
+        known, rank, deal = OrderedDict(), shared.value, np.uint64(24)
         for batch in batches:
             for first, end, flat, counts in shingle_steps(batch.column(1), words):
-                sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(flat ^ _STEP))])
                 stop = np.cumsum(counts)
                 start = stop - counts
-                ids = mix((sums[stop] - sums[start]) + counts.astype(np.uint64))
-                order = (rank[(flat >> shift).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (mix(flat) >> np.uint64(8))
+                ids = set_ids(flat, counts)
+                order = rarity(flat, rank)
                 group = ((flat >> deal) & np.uint64(GROUPS - 1)).astype(np.int64)
                 vectors, prefixes, valid = [], [], counts > 0
                 for i, (a, b) in enumerate(zip(start.tolist(), stop.tolist())):
@@ -336,7 +357,7 @@ def join_leaves(nodes: DataFrame, numerator: int, denominator: int, nearest_only
 
 def sets_of(docs: DataFrame, found: DataFrame, wanted: DataFrame, words: int, key: str, text: str) -> DataFrame:
     """(set_id, shingles) of the sets in ``wanted (set_id)``: the texts of one row each, hashed again."""
-    owner = found.where(F.col("point").isNotNull() & F.col(key).isNotNull()).join(wanted, "set_id").groupBy("set_id").agg(
+    owner = found.where(F.col("point").isNotNull()).join(wanted, "set_id").groupBy("set_id").agg(
         F.min(key).alias("_owner")
     )
 
@@ -344,10 +365,17 @@ def sets_of(docs: DataFrame, found: DataFrame, wanted: DataFrame, words: int, ke
         for batch in batches:
             for first, end, flat, counts in shingle_steps(batch.column(1), words):
                 ids = batch.column(0).slice(first, end - first)
-                yield pa.RecordBatch.from_arrays([ids, list_array(counts, signed(flat))], names=["set_id", "shingles"])
+                # Another row may have the owner's key; its set is not the one that is wanted.
+                own = pa.array(set_ids(flat, counts).view(np.int64) == ids.to_numpy())
+                lists = list_array(counts, signed(flat))
+                yield pa.RecordBatch.from_arrays([ids.filter(own), lists.filter(own)], names=["set_id", "shingles"])
 
-    texts = docs.join(owner, F.col(key) == F.col("_owner")).select("set_id", F.col(text))
-    return texts.mapInArrow(run, "set_id bigint, shingles array<bigint>").dropDuplicates(["set_id"])
+    texts = docs.join(owner, F.col(key).eqNullSafe(F.col("_owner"))).select("set_id", F.col(text))
+    return texts.mapInArrow(run, "set_id bigint, shingles array<bigint>")
+
+
+def _one_way(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
 def verify(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -387,11 +415,11 @@ def classes(
     found = materialize(points(docs, ranks, words, numerator, denominator, key, text), "points")
     meetings = materialize(meeting_groups(found, numerator, denominator), "meetings")
     nodes = materialize(leaves(meetings, found, numerator, denominator), "leaves")
-    sets = materialize(
-        sets_of(docs, found, meetings.select("set_id").distinct(), words, key, text), "sets"
-    )
-    # First each set with its least possible partner, then what is not connected by that.
-    near = verify(join_leaves(nodes, numerator, denominator, True), sets, numerator, denominator)
+    # First each set with its least possible partner, then what is not connected by that. Any
+    # set that a later pair can hold has a partner here, so these are the sets to verify with.
+    nearest = materialize(join_leaves(nodes, numerator, denominator, True), "nearest")
+    sets = materialize(sets_of(docs, found, nearest.select(F.col("a").alias("set_id")), words, key, text), "sets")
+    near = verify(_one_way(nearest), sets, numerator, denominator)
     near = materialize(near, "links")
     roots = materialize(components(near), "roots")
     member = nodes.select("meeting", "band", "leaf", F.explode("members").alias("m")).select("meeting", "band", "leaf", "m.*")
