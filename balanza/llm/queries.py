@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from balanza.llm import bpe, chat, decontaminate, imatch, jaccard, language, quality, toxicity, warc
+from balanza.llm import bpe, chat, decontaminate, imatch, jaccard, language, quality, repeats, toxicity, warc
 from balanza.llm.common import held_out, read_table
 from balanza.llm.oracles import ORACLES  # noqa: F401
 
@@ -57,6 +57,14 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out("doc_id", language.FOLDS, language.HELD_OUT).alias("held_out"), "lang_pred", "score")
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_digests(read_table(spark, sf_dir, "pages"))
 
@@ -76,5 +84,5 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_jaccard, op4_imatch, op5_quality, op6_language, op8_warc, op9_chat, op10_decontaminate)
+    f.__name__: f for f in (op1_bpe, op2_toxicity, op3_jaccard, op4_imatch, op5_quality, op6_language, op7_repeats, op8_warc, op9_chat, op10_decontaminate)
 }
