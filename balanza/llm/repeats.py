@@ -178,7 +178,7 @@ def rotation_order(data: np.ndarray, depth: int) -> np.ndarray:
         key = (key << np.uint64(8)) | np.roll(data, -i).astype(np.uint64)
     known = 8
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)  # rotations equal so far may come in any order
         ordered = key[order]
         rank = np.empty(len(data), np.uint64)
         rank[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]])).astype(np.uint64)
