@@ -333,14 +333,15 @@ def merged(ranges: list[dict]) -> list[tuple[int, int]]:
     return out
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", whole_characters: bool = False) -> DataFrame:
     """``docs`` with ``n_bytes bigint``, ``spans array<struct<start, stop>>`` and ``kept binary``.
 
     Each byte covered by a string of ``length`` bytes that also starts anywhere else, in this or
     another row, is removed, in all places; spans are the maximal removed runs. A null text is
     empty; shorter texts lose nothing; equal rows are copies of each other, so they lose all.
     Columns of these names (and text_id) are replaced; all rows and other columns stay. What is
-    kept may begin or end within a character.
+    kept may begin or end within a character; with ``whole_characters`` the remains of cut
+    characters go too, and ``kept`` is text.
     """
     docs = without(docs, ["n_bytes", "spans", "kept", "text_id", "ranges"])
     ranges = repeated_ranges(docs, length, text)
@@ -349,7 +350,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         span = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
-        at = names.index(text)
+        at, kind = names.index(text), pa.string() if whole_characters else pa.binary()
         for batch in batches:
             for first, end, data, offsets in utf8_steps(batch.column(at)):
                 rows, cuts, kept = batch.slice(first, end - first), [], []
@@ -358,12 +359,14 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text") ->
                     runs = merged(own.as_py() or [])
                     cuts.append([{"start": a, "stop": b} for a, b in runs])
                     edges = [0, *(x for run in runs for x in run), len(raw)]
-                    kept.append(b"".join(raw[a:b] for a, b in zip(edges[::2], edges[1::2])))
+                    parts = [raw[a:b] for a, b in zip(edges[::2], edges[1::2])]
+                    kept.append("".join(p.decode(errors="ignore") for p in parts) if whole_characters else b"".join(parts))
                 sizes = pa.array(np.diff(offsets).astype(np.int64))
                 yield pa.RecordBatch.from_arrays(
-                    [*rows.columns[: len(names)], sizes, pa.array(cuts, span), pa.array(kept, pa.binary())],
+                    [*rows.columns[: len(names)], sizes, pa.array(cuts, span), pa.array(kept, kind)],
                     names=[*names, "n_bytes", "spans", "kept"],
                 )
 
-    added = StructType.fromDDL("n_bytes bigint, spans array<struct<start:int, stop:int>>, kept binary")
+    kept_type = "string" if whole_characters else "binary"
+    added = StructType.fromDDL(f"n_bytes bigint, spans array<struct<start:int, stop:int>>, kept {kept_type}")
     return joined.mapInArrow(run, StructType([*docs.schema.fields, *added.fields]))
