@@ -1,7 +1,7 @@
 """N-gram Jaccard join with a count-vector R-tree.
 
-A document's set holds the hashes of its distinct word n-grams. Hashes are dealt to GROUPS
-groups, and the counts per group make the set a point. Two sets share at most the sum of the
+A document's set holds the hashes of its distinct word n-grams. Hashes are dealt to groups,
+more for larger sets, and the counts per group make the set a point. Two sets share at most the sum of the
 smaller counts, group by group, so a pair whose sum is too small is no link; for boxes of
 points the same holds with the boxes' upper corners.
 
@@ -29,7 +29,9 @@ from balanza.session import materialize
 
 #: Defaults of near-duplicate search; the similarity is the fraction NUMERATOR / DENOMINATOR.
 WORDS, NUMERATOR, DENOMINATOR = 5, 80, 100
-GROUPS = 256
+#: Fewest groups; a power of two, as many as one for each PER_GROUP n-grams if that is more. With
+#: fewer, chance alone would bring large unrelated sets over the bound.
+GROUPS, PER_GROUP = 256, 8
 #: Points in a leaf.
 LEAF = 256
 #: Leaves of one key are cut from runs of about this many points, sorted by size of set.
@@ -132,6 +134,26 @@ def set_ids(flat: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return mix((sums[stop] - sums[stop - counts]) + counts.astype(np.uint64))
 
 
+def pack(groups: np.ndarray) -> bytes:
+    """Counts per group: a byte that tells the width of a count, then the counts."""
+    many = max(GROUPS, 1 << (len(groups) // PER_GROUP).bit_length())
+    counts = np.bincount(groups & (many - 1), minlength=many)
+    counts = counts.astype(np.min_scalar_type(counts.max()))
+    return bytes([counts.itemsize]) + counts.tobytes()
+
+
+def unpack(point: bytes) -> np.ndarray:
+    return np.frombuffer(point, f"u{point[0]}", offset=1).astype(np.int32)
+
+
+def fold(points: np.ndarray, groups: int) -> np.ndarray:
+    """The points of the last axis over fewer groups: groups are nested, so counts add up."""
+    while points.shape[-1] > groups:
+        half = points.shape[-1] // 2
+        points = points[..., :half] + points[..., half:]
+    return points
+
+
 def prefix_size(n: int, numerator: int, denominator: int) -> int:
     """So many of a set's first n-grams, in any order common to all sets, meet those of each link."""
     return n - -(-numerator * n // denominator) + 1
@@ -145,14 +167,14 @@ def points(docs: DataFrame, classes: np.ndarray, words: int, numerator: int, den
     shared = docs.sparkSession.sparkContext.broadcast(classes)  # 2**SKETCH_BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, rank, deal = OrderedDict(), shared.value, np.uint64(24)
+        known, rank, deal = OrderedDict(), shared.value, np.uint64(16)
         for batch in batches:
             for first, end, flat, counts in shingle_steps(batch.column(1), words):
                 stop = np.cumsum(counts)
                 start = stop - counts
                 ids = set_ids(flat, counts)
                 order = rarity(flat, rank)
-                group = ((flat >> deal) & np.uint64(GROUPS - 1)).astype(np.int64)
+                group = ((flat >> deal) & np.uint64(0xFFFFFFFF)).astype(np.int64)
                 vectors, prefixes, valid = [], [], counts > 0
                 for i, (a, b) in enumerate(zip(start.tolist(), stop.tolist())):
                     name = int(ids[i])
@@ -163,8 +185,7 @@ def points(docs: DataFrame, classes: np.ndarray, words: int, numerator: int, den
                     known[name] = None
                     if len(known) > REMEMBERED:
                         known.popitem(last=False)
-                    vector = np.bincount(group[a:b], minlength=GROUPS)
-                    vectors.append(vector.astype(np.min_scalar_type(vector.max())).tobytes())
+                    vectors.append(pack(group[a:b]))
                     size = prefix_size(b - a, numerator, denominator)
                     prefixes.append(flat[a:b][np.argpartition(order[a:b], size - 1)[:size]].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
@@ -276,7 +297,9 @@ class Leaf:
     def __init__(self, members: list[dict]):
         self.ids = np.array([m["set_id"] for m in members], np.int64)
         self.sizes = np.array([m["n"] for m in members], np.int64)
-        self.points = np.stack([np.frombuffer(m["point"], f"u{len(m['point']) // GROUPS}") for m in members])
+        own = [unpack(m["point"]) for m in members]
+        self.groups = min(len(p) for p in own)
+        self.points = np.stack([fold(p, self.groups) for p in own])
         self.corner = self.points.max(0)
         self.roots = np.array([m["root"] for m in members], np.int64) if "root" in members[0] else self.ids
 
@@ -285,16 +308,17 @@ def survivors(a: Leaf, b: Leaf, numerator: int, denominator: int) -> tuple[np.nd
     """Pairs (places in a, places in b) that the coordinate minima can't rule out, and that are not yet connected."""
     none = np.zeros(0, np.int64)
     least = int(a.sizes.min() + b.sizes.min())
-    both = numerator + denominator
-    if both * int(np.minimum(a.corner, b.corner).sum(dtype=np.int64)) < numerator * least:
+    both, groups = numerator + denominator, min(a.groups, b.groups)
+    if both * int(np.minimum(fold(a.corner, groups), fold(b.corner, groups)).sum(dtype=np.int64)) < numerator * least:
         return none, none
     apart = a.roots[:, None] != b.roots[None, :]
     small, big = np.minimum(a.sizes[:, None], b.sizes[None, :]), np.maximum(a.sizes[:, None], b.sizes[None, :])
     x, y = np.nonzero(apart & (denominator * small >= numerator * big))
-    keep = [none], [none]
-    for i in range(0, len(x), 16_384):
-        p, q = x[i : i + 16_384], y[i : i + 16_384]
-        shared = np.minimum(a.points[p], b.points[q]).sum(1, dtype=np.int64)
+    left, right = fold(a.points, groups), fold(b.points, groups)
+    keep, step = ([none], [none]), max(1, 4_000_000 // groups)
+    for i in range(0, len(x), step):
+        p, q = x[i : i + step], y[i : i + step]
+        shared = np.minimum(left[p], right[q]).sum(1, dtype=np.int64)
         ok = both * shared >= numerator * (a.sizes[p] + b.sizes[q])
         keep[0].append(p[ok])
         keep[1].append(q[ok])
