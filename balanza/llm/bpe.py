@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from balanza.llm.common import list_array, utf8_steps, without
+from balanza.llm.common import bounded_batches, list_array, utf8_steps, without
 
 # Code point classes as the scan sees them. LETTER to OTHER come from a table; SPACE_LAST and
 # BLANK_LAST are white space before something else, QUOTE_1 and QUOTE_2 begin a contraction of
@@ -34,7 +34,7 @@ ONE_LETTER = "sdmt"
 TWO_LETTERS = ("ll", "ve", "re")
 
 BREAK_POINT = 0x110000
-CACHE_SLICES = 300_000
+CACHE_SLICES = 200_000
 STEP_IDS = 1 << 19
 
 
@@ -267,6 +267,7 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     A null or empty text has no ids. Columns of ``df`` called ids or offsets are replaced; all
     others, repeated rows included, stay. Special tokens are ordinary text.
     """
+    bounded_batches(df.sparkSession)
     df = without(df, ["ids", "offsets"])
     names = df.columns
 
@@ -313,6 +314,7 @@ def decode(df: DataFrame, path: str) -> DataFrame:
 
     An id outside the vocabulary, or null, is an error: it can't come from ``encode``.
     """
+    bounded_batches(df.sparkSession)
     df = without(df, ["decoded"])
     names = df.columns
 

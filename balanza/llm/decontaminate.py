@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from balanza.llm.common import mix, utf8_steps, without
+from balanza.llm.common import bounded_batches, mix, utf8_steps, without
 
 Q = 8
 #: Edits allowed per character of a window.
@@ -225,6 +225,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame
     runs of blanks do not count), find nothing. Repeated rows are each searched; an existing
     column called matches is replaced. Each block of the benchmark adds one pass.
     """
+    bounded_batches(docs.sparkSession)
     docs = without(docs, ["matches"]).withColumn("matches", F.array().cast(FOUND))
     for block in blocks_of(benchmark):
         windows = build_windows(block)

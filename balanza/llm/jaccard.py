@@ -16,14 +16,13 @@ from __future__ import annotations
 
 from collections import OrderedDict
 from collections.abc import Iterator
-from math import log
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from balanza.llm.common import RangeHash, list_array, mix, signed, utf8_steps
+from balanza.llm.common import RangeHash, bounded_batches, list_array, mix, signed, utf8_steps
 from balanza.llm.graph import components
 from balanza.session import materialize
 
@@ -271,24 +270,28 @@ def meeting_groups(found: DataFrame, numerator: int, denominator: int) -> DataFr
     return ordered.mapInArrow(run, "meeting bigint, set_id bigint").distinct()
 
 
-def leaves(meetings: DataFrame, found: DataFrame, numerator: int, denominator: int) -> DataFrame:
-    """(meeting, band, leaf, members): R-tree leaves of at most LEAF points, packed in order of set size.
+def leaves(meetings: DataFrame, found: DataFrame) -> DataFrame:
+    """(meeting, alone, leaf, low, high, members): R-tree leaves of at most LEAF points, packed in order of set size.
 
-    A band holds sizes within one power of the similarity, so links lie in equal or adjacent bands.
-    Groups with very many points are cut into runs before they are sorted.
+    ``alone``: the meeting has no other leaf; ``low`` and ``high``: the least and largest set.
+    Meetings of very many points are cut into runs before they are sorted.
     """
     sets = found.where(F.col("point").isNotNull()).select("set_id", "n", "point").dropDuplicates(["set_id"])
     sizes = meetings.groupBy("meeting").agg(F.count("*").alias("_many"))
     runs = meetings.join(sizes, "meeting").select(
-        "meeting", "set_id", F.pmod(F.xxhash64("set_id"), F.ceil(F.col("_many") / RUN)).alias("run")
+        "meeting", "set_id", (F.col("_many") <= LEAF).alias("alone"),
+        F.pmod(F.xxhash64("set_id"), F.ceil(F.col("_many") / RUN)).alias("run"),
+    )
+    packed = Window.partitionBy("meeting", "run").orderBy("n", "set_id")
+    rows = runs.join(sets, "set_id").withColumn("page", F.floor((F.row_number().over(packed) - 1) / LEAF))
+    return (
+        rows.groupBy("meeting", "run", "page")
+        .agg(
+            F.first("alone").alias("alone"), F.min("n").alias("low"), F.max("n").alias("high"),
+            F.collect_list(F.struct("set_id", "n", "point")).alias("members"),
+        )
+        .select("meeting", "alone", F.xxhash64("run", "page").alias("leaf"), "low", "high", "members")
     )
-    band = F.floor(F.log(F.col("n").cast("double")) / log(denominator / numerator)).cast("int")
-    rows = runs.join(sets, "set_id").withColumn("band", band)
-    packed = Window.partitionBy("meeting", "band", "run").orderBy("n", "set_id")
-    rows = rows.withColumn("page", F.floor((F.row_number().over(packed) - 1) / LEAF))
-    return rows.groupBy("meeting", "band", "run", "page").agg(
-        F.collect_list(F.struct("set_id", "n", "point")).alias("members")
-    ).select("meeting", "band", F.xxhash64("band", "run", "page").alias("leaf"), "members")
 
 
 class Leaf:
@@ -327,16 +330,16 @@ def survivors(a: Leaf, b: Leaf, numerator: int, denominator: int) -> tuple[np.nd
 
 def join_leaves(nodes: DataFrame, numerator: int, denominator: int, nearest_only: bool) -> DataFrame:
     """(a, b) of pairs that survive the bound. ``nearest_only``: for each set only its least partner in a meeting."""
-    left = nodes.select("meeting", "band", "leaf", "members")
-    right = nodes.select(
-        F.col("meeting").alias("meeting2"), F.col("band").alias("band2"), F.col("leaf").alias("leaf2"),
-        F.col("members").alias("members2"),
-    )
-    # A leaf meets itself, the later leaves of its band, and the leaves of the next band.
-    meet = (F.col("meeting") == F.col("meeting2")) & (
-        ((F.col("band") == F.col("band2")) & (F.col("leaf") <= F.col("leaf2"))) | (F.col("band") + 1 == F.col("band2"))
+    columns = ["meeting", "leaf", "low", "high", "members"]
+    itself = nodes.select("meeting", "leaf", F.col("leaf").alias("leaf2"), "members", F.lit(None).cast(nodes.schema["members"].dataType).alias("members2"))
+    left = nodes.where(~F.col("alone")).select(*columns)
+    right = left.select(*[F.col(c).alias(f"{c}2") for c in columns])
+    # Boxes first by their sizes: a larger set with more than the smaller's share is no link.
+    meet = (
+        (F.col("meeting") == F.col("meeting2")) & (F.col("leaf") < F.col("leaf2"))
+        & (denominator * F.col("high") >= numerator * F.col("low2")) & (denominator * F.col("high2") >= numerator * F.col("low"))
     )
-    pairs = left.join(right, meet).select("meeting", "leaf", "leaf2", "members", "members2")
+    pairs = left.join(right, meet).select("meeting", "leaf", "leaf2", "members", "members2").unionByName(itself)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least: dict[int, int] = {}
@@ -434,11 +437,12 @@ def classes(
     never the least unless all of their class are null. Other columns are left out. No link is
     lost: order, bounds and pages only leave out pairs that can't link, or that are connected already.
     """
+    bounded_batches(docs.sparkSession)
     docs = docs.select(F.col(key), F.coalesce(text, F.lit("")).alias(text))
     ranks = frequency_classes(docs, words, text)
     found = materialize(points(docs, ranks, words, numerator, denominator, key, text), "points")
     meetings = materialize(meeting_groups(found, numerator, denominator), "meetings")
-    nodes = materialize(leaves(meetings, found, numerator, denominator), "leaves")
+    nodes = materialize(leaves(meetings, found), "leaves")
     # First each set with its least possible partner, then what is not connected by that. Any
     # set that a later pair can hold has a partner here, so these are the sets to verify with.
     nearest = materialize(join_leaves(nodes, numerator, denominator, True), "nearest")
@@ -446,7 +450,8 @@ def classes(
     near = verify(_one_way(nearest), sets, numerator, denominator)
     near = materialize(near, "links")
     roots = materialize(components(near), "roots")
-    member = nodes.select("meeting", "band", "leaf", F.explode("members").alias("m")).select("meeting", "band", "leaf", "m.*")
+    place = ["meeting", "alone", "leaf", "low", "high"]
+    member = nodes.select(*place, F.explode("members").alias("m")).select(*place, "m.*")
     member = member.join(roots.withColumnRenamed("vertex", "set_id"), "set_id", "left").withColumn(
         "root", F.coalesce("root", "set_id")
     )
@@ -454,7 +459,7 @@ def classes(
     open_ones = member.groupBy("meeting").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where(
         F.col("_low") != F.col("_high")
     ).select("meeting")
-    rest = member.join(open_ones, "meeting").groupBy("meeting", "band", "leaf").agg(
+    rest = member.join(open_ones, "meeting").groupBy(*place).agg(
         F.collect_list(F.struct("set_id", "n", "point", "root")).alias("members")
     )
     far = verify(join_leaves(rest, numerator, denominator, False), sets, numerator, denominator)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from balanza.llm.common import held_out, mix, signed, utf8_steps, without
+from balanza.llm.common import bounded_batches, held_out, mix, signed, utf8_steps, without
 
 SLOT_BITS = 20
 SLOTS = 1 << SLOT_BITS
@@ -178,6 +178,7 @@ def predict(df: DataFrame, filters: LanguageFilter, text: str = "text") -> DataF
     letters but no known n-gram gets the first language in order, score 0; ties likewise go to
     the first. Columns called lang_pred or score are replaced; all rows stay.
     """
+    bounded_batches(df.sparkSession)
     df = without(df, ["lang_pred", "score"])
     kept = [c for c in df.columns if c != text]
     shared = df.sparkSession.sparkContext.broadcast(filters)  # SLOTS masks, whatever the input

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from balanza.llm.common import RangeHash, labelled_sample, list_array, utf8_steps, without
+from balanza.llm.common import RangeHash, bounded_batches, labelled_sample, list_array, utf8_steps, without
 
 BUCKET_BITS = 18
 #: A word repeated this often in a row is an n-gram of its own, whichever word it is.
@@ -168,6 +168,7 @@ def score(df: DataFrame, model: QualityModel | float, text: str = "text") -> Dat
     classes among the labelled rows the score is the only label, or 0.5 without any. Columns
     called score or predicted are replaced; all rows and other columns stay.
     """
+    bounded_batches(df.sparkSession)
     df = without(df, ["score", "predicted"])
     if isinstance(model, float):
         return df.withColumns({"score": F.lit(model), "predicted": F.lit(int(model >= 0.5))})

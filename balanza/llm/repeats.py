@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from balanza.llm.common import RangeHash, mix, signed, utf8_steps, without
+from balanza.llm.common import RangeHash, bounded_batches, mix, signed, utf8_steps, without
 from balanza.session import materialize
 
 LENGTH = 200
@@ -343,6 +343,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", wh
     kept may begin or end within a character; with ``whole_characters`` the remains of cut
     characters go too, and ``kept`` is text.
     """
+    bounded_batches(docs.sparkSession)
     docs = without(docs, ["n_bytes", "spans", "kept", "text_id", "ranges"])
     ranges = repeated_ranges(docs, length, text)
     names = docs.columns

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from balanza.llm.common import held_out, labelled_sample, without
+from balanza.llm.common import bounded_batches, held_out, labelled_sample, without
 from balanza.session import materialize
 
 # Common insults and second-person words.
@@ -102,6 +102,7 @@ def features_of(text: str, lexicon: Lexicon) -> list[float]:
 
 def add_features(df: DataFrame, lexicon: Lexicon, text: str = "text") -> DataFrame:
     """``df`` with ``features array<double>`` in place of the text column."""
+    bounded_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(lexicon)  # at most 2 * MOST_ENTRIES strings
     kept = [c for c in without(df, ["features"]).columns if c != text]
     fields = [f for f in df.schema.fields if f.name in kept]

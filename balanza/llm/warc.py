@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from balanza.llm.common import bounded_batches
 from balanza.session import scratch_path, spread
 
 # Fixed values of the seekable format.
@@ -169,6 +170,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
     """Write bundles of ``plan_records`` rows into ``folder``; returns the index, kept as Parquet beside them."""
 
+    bounded_batches(records.sparkSession)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, names = BundleWriter(f"{folder}/bundles"), [f.split()[0] for f in INDEX.split(", ")]
 
