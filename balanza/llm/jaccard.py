@@ -307,29 +307,33 @@ class Leaf:
         self.roots = np.array([m["root"] for m in members], np.int64) if "root" in members[0] else self.ids
 
 
-def survivors(a: Leaf, b: Leaf, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (places in a, places in b) that the coordinate minima can't rule out, and that are not yet connected."""
+def survivors(a: Leaf, b: Leaf, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pairs (places in a, places in b) that the coordinate minima can't rule out, and that are not yet connected.
+
+    Third: the bound's part of both sizes together, the larger the likelier a link.
+    """
     none = np.zeros(0, np.int64)
     least = int(a.sizes.min() + b.sizes.min())
     both, groups = numerator + denominator, min(a.groups, b.groups)
     if both * int(np.minimum(fold(a.corner, groups), fold(b.corner, groups)).sum(dtype=np.int64)) < numerator * least:
-        return none, none
+        return none, none, none.astype(float)
     apart = a.roots[:, None] != b.roots[None, :]
     small, big = np.minimum(a.sizes[:, None], b.sizes[None, :]), np.maximum(a.sizes[:, None], b.sizes[None, :])
     x, y = np.nonzero(apart & (denominator * small >= numerator * big))
     left, right = fold(a.points, groups), fold(b.points, groups)
-    keep, step = ([none], [none]), max(1, 4_000_000 // groups)
+    keep, step = ([none], [none], [none.astype(float)]), max(1, 4_000_000 // groups)
     for i in range(0, len(x), step):
         p, q = x[i : i + step], y[i : i + step]
         shared = np.minimum(left[p], right[q]).sum(1, dtype=np.int64)
         ok = both * shared >= numerator * (a.sizes[p] + b.sizes[q])
         keep[0].append(p[ok])
         keep[1].append(q[ok])
-    return np.concatenate(keep[0]), np.concatenate(keep[1])
+        keep[2].append(shared[ok] / (a.sizes[p] + b.sizes[q])[ok])
+    return np.concatenate(keep[0]), np.concatenate(keep[1]), np.concatenate(keep[2])
 
 
 def join_leaves(nodes: DataFrame, numerator: int, denominator: int, nearest_only: bool) -> DataFrame:
-    """(a, b) of pairs that survive the bound. ``nearest_only``: for each set only its least partner in a meeting."""
+    """(a, b) of pairs that survive the bound. ``nearest_only``: for each set only its likeliest partner."""
     columns = ["meeting", "leaf", "low", "high", "members"]
     itself = nodes.select("meeting", "leaf", F.col("leaf").alias("leaf2"), "members", F.lit(None).cast(nodes.schema["members"].dataType).alias("members2"))
     left = nodes.where(~F.col("alone")).select(*columns)
@@ -342,44 +346,58 @@ def join_leaves(nodes: DataFrame, numerator: int, denominator: int, nearest_only
     pairs = left.join(right, meet).select("meeting", "leaf", "leaf2", "members", "members2").unionByName(itself)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        least: dict[int, int] = {}
+        best: dict[int, tuple[float, int]] = {}
         at, key, cached = None, None, None
 
-        def send(a, b) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        def send(a, b, score) -> pa.RecordBatch:
+            columns = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(score, pa.float64())]
+            return pa.RecordBatch.from_arrays(columns, names=["a", "b", "score"])
+
+        def flush() -> pa.RecordBatch:
+            return send(list(best), [-q for _, q in best.values()], [score for score, _ in best.values()])
 
         for batch in batches:
             for i in range(batch.num_rows):
                 meeting = batch.column(0)[i].as_py()
-                if least and (meeting != at or len(least) > 4 * LISTED):
-                    yield send(list(least.keys()), list(least.values()))
-                    least = {}
+                if best and (meeting != at or len(best) > 4 * LISTED):
+                    yield flush()
+                    best = {}
                 at = meeting
                 own = batch.column(1)[i].as_py()
                 if key != (meeting, own):
                     key, cached = (meeting, own), Leaf(batch.column(3)[i].as_py())
                 other = cached if own == batch.column(2)[i].as_py() else Leaf(batch.column(4)[i].as_py())
-                x, y = survivors(cached, other, numerator, denominator)
-                a, b = cached.ids[x], other.ids[y]
+                x, y, score = survivors(cached, other, numerator, denominator)
                 if other is cached:
-                    a, b = a[x < y], b[x < y]
+                    x, y, score = x[x < y], y[x < y], score[x < y]
+                a, b = cached.ids[x], other.ids[y]
                 if not nearest_only:
-                    yield send(np.maximum(a, b), np.minimum(a, b))
+                    yield send(np.maximum(a, b), np.minimum(a, b), score)
                     continue
                 for u, v in ((a, b), (b, a)):
-                    order = np.lexsort((v, u))
-                    u, v = u[order], v[order]
-                    head = np.flatnonzero(np.concatenate([[True], u[1:] != u[:-1]])) if len(u) else np.zeros(0, int)
-                    for p, q in zip(u[head].tolist(), v[head].tolist()):
-                        if least.get(p, q) >= q:
-                            least[p] = q
-        if least:
-            yield send(list(least.keys()), list(least.values()))
-
-    out = pairs.mapInArrow(run, "a bigint, b bigint")
+                    order = np.lexsort((v, -score, u))
+                    head = order[np.flatnonzero(np.concatenate([[True], np.diff(u[order]) != 0]))] if len(u) else order
+                    for p, q, r in zip(u[head].tolist(), v[head].tolist(), score[head].tolist()):
+                        best[p] = max(best.get(p, (r, -q)), (r, -q))
+        if best:
+            yield flush()
+
+    out = pairs.mapInArrow(run, "a bigint, b bigint, score double")
     if nearest_only:
-        return out.groupBy("a").agg(F.min("b").alias("b"))
-    return out.distinct()
+        return out.groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("b"))).alias("best")).select(
+            "a", (-F.col("best.b")).alias("b")
+        )
+    return out.select("a", "b").distinct()
+
+
+def with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
+    """Leaves whose members carry their component's root (their own id where there is none)."""
+    place = ["meeting", "alone", "leaf", "low", "high"]
+    member = nodes.select(*place, F.explode("members").alias("m")).select(*place, "m.*")
+    rooted = member.join(roots.withColumnRenamed("vertex", "set_id"), "set_id", "left")
+    return rooted.groupBy(*place).agg(
+        F.collect_list(F.struct("set_id", "n", "point", F.coalesce("root", "set_id").alias("root"))).alias("members")
+    )
 
 
 def sets_of(docs: DataFrame, found: DataFrame, wanted: DataFrame, words: int, key: str, text: str) -> DataFrame:
@@ -443,27 +461,32 @@ def classes(
     found = materialize(points(docs, ranks, words, numerator, denominator, key, text), "points")
     meetings = materialize(meeting_groups(found, numerator, denominator), "meetings")
     nodes = materialize(leaves(meetings, found), "leaves")
-    # First each set with its least possible partner, then what is not connected by that. Any
-    # set that a later pair can hold has a partner here, so these are the sets to verify with.
+    # First each set with its likeliest partner. Any set that a later pair can hold has one, so
+    # these are the sets to go on with and to verify.
     nearest = materialize(join_leaves(nodes, numerator, denominator, True), "nearest")
-    sets = materialize(sets_of(docs, found, nearest.select(F.col("a").alias("set_id")), words, key, text), "sets")
-    near = verify(_one_way(nearest), sets, numerator, denominator)
-    near = materialize(near, "links")
-    roots = materialize(components(near), "roots")
-    place = ["meeting", "alone", "leaf", "low", "high"]
-    member = nodes.select(*place, F.explode("members").alias("m")).select(*place, "m.*")
-    member = member.join(roots.withColumnRenamed("vertex", "set_id"), "set_id", "left").withColumn(
-        "root", F.coalesce("root", "set_id")
-    )
-    # Meetings whose sets are all connected have nothing left to compare.
-    open_ones = member.groupBy("meeting").agg(F.min("root").alias("_low"), F.max("root").alias("_high")).where(
-        F.col("_low") != F.col("_high")
-    ).select("meeting")
-    rest = member.join(open_ones, "meeting").groupBy(*place).agg(
-        F.collect_list(F.struct("set_id", "n", "point", "root")).alias("members")
+    alive = nearest.select(F.col("a").alias("set_id"))
+    sets = materialize(sets_of(docs, found, alive, words, key, text), "sets")
+    links = materialize(verify(_one_way(nearest), sets, numerator, denominator), "links")
+    together = meetings.join(alive, "set_id")
+    several = together.groupBy("meeting").agg(F.count("*").alias("_many")).where(F.col("_many") > 1).select("meeting")
+    open_nodes = materialize(
+        leaves(together.join(several, "meeting"), found.join(alive, "set_id").select("set_id", "n", "point")), "open-leaves"
     )
-    far = verify(join_leaves(rest, numerator, denominator, False), sets, numerator, denominator)
-    all_roots = components(near.unionByName(far))
+    # Then the same between components, until it brings few links; what is left shows at last.
+    while True:
+        roots = components(links)
+        rooted = with_roots(open_nodes, roots)
+        more = verify(_one_way(join_leaves(rooted, numerator, denominator, True)), sets, numerator, denominator)
+        more = materialize(more, "links")
+        found_now, known = more.count(), links.count()
+        links = links.unionByName(more)
+        if found_now * 100 <= known:
+            break
+    # At last all pairs that are still apart and that the bound lets through.
+    roots = components(links)
+    rooted = with_roots(open_nodes, roots)
+    far = materialize(verify(join_leaves(rooted, numerator, denominator, False), sets, numerator, denominator), "links")
+    all_roots = roots if far.isEmpty() else components(links.unionByName(far))
     labelled = found.select(key, "n", "set_id").join(
         all_roots.withColumnRenamed("vertex", "set_id"), "set_id", "left"
     ).withColumn("root", F.coalesce("root", "set_id"))
