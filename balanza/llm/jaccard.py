@@ -295,17 +295,26 @@ def leaves(meetings: DataFrame, found: DataFrame) -> DataFrame:
 
 
 class Leaf:
-    """Points of a leaf and the upper corner of their box."""
+    """Points of a leaf and the upper corner of their box, over as many groups as all its points have."""
 
     def __init__(self, members: list[dict]):
         self.ids = np.array([m["set_id"] for m in members], np.int64)
         self.sizes = np.array([m["n"] for m in members], np.int64)
-        own = [unpack(m["point"]) for m in members]
-        self.groups = min(len(p) for p in own)
-        self.points = np.stack([fold(p, self.groups) for p in own])
-        self.corner = self.points.max(0)
+        self.own = [unpack(m["point"]) for m in members]
+        self.groups = np.array([len(p) for p in self.own])
+        self.folded: dict[int, np.ndarray] = {}
+        self.corner = self.at(int(self.groups.min())).max(0)
         self.roots = np.array([m["root"] for m in members], np.int64) if "root" in members[0] else self.ids
 
+    def at(self, groups: int) -> np.ndarray:
+        """The points over ``groups`` groups; zeros for those that have fewer."""
+        if groups not in self.folded:
+            out = np.zeros((len(self.own), groups), np.int32)
+            for i in np.flatnonzero(self.groups >= groups):
+                out[i] = fold(self.own[i], groups)
+            self.folded[groups] = out
+        return self.folded[groups]
+
 
 def survivors(a: Leaf, b: Leaf, numerator: int, denominator: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Pairs (places in a, places in b) that the coordinate minima can't rule out, and that are not yet connected.
@@ -314,21 +323,24 @@ def survivors(a: Leaf, b: Leaf, numerator: int, denominator: int) -> tuple[np.nd
     """
     none = np.zeros(0, np.int64)
     least = int(a.sizes.min() + b.sizes.min())
-    both, groups = numerator + denominator, min(a.groups, b.groups)
+    both, groups = numerator + denominator, min(len(a.corner), len(b.corner))
     if both * int(np.minimum(fold(a.corner, groups), fold(b.corner, groups)).sum(dtype=np.int64)) < numerator * least:
         return none, none, none.astype(float)
     apart = a.roots[:, None] != b.roots[None, :]
     small, big = np.minimum(a.sizes[:, None], b.sizes[None, :]), np.maximum(a.sizes[:, None], b.sizes[None, :])
     x, y = np.nonzero(apart & (denominator * small >= numerator * big))
-    left, right = fold(a.points, groups), fold(b.points, groups)
-    keep, step = ([none], [none], [none.astype(float)]), max(1, 4_000_000 // groups)
-    for i in range(0, len(x), step):
-        p, q = x[i : i + step], y[i : i + step]
-        shared = np.minimum(left[p], right[q]).sum(1, dtype=np.int64)
-        ok = both * shared >= numerator * (a.sizes[p] + b.sizes[q])
-        keep[0].append(p[ok])
-        keep[1].append(q[ok])
-        keep[2].append(shared[ok] / (a.sizes[p] + b.sizes[q])[ok])
+    finest = np.minimum(a.groups[x], b.groups[y])
+    keep = ([none], [none], [none.astype(float)])
+    for groups in np.unique(finest).tolist():
+        left, right, step = a.at(groups), b.at(groups), max(1, 4_000_000 // groups)
+        of_these = np.flatnonzero(finest == groups)
+        for i in range(0, len(of_these), step):
+            p, q = x[of_these[i : i + step]], y[of_these[i : i + step]]
+            shared = np.minimum(left[p], right[q]).sum(1, dtype=np.int64)
+            ok = both * shared >= numerator * (a.sizes[p] + b.sizes[q])
+            keep[0].append(p[ok])
+            keep[1].append(q[ok])
+            keep[2].append(shared[ok] / (a.sizes[p] + b.sizes[q])[ok])
     return np.concatenate(keep[0]), np.concatenate(keep[1]), np.concatenate(keep[2])
 
 
