@@ -25,7 +25,7 @@ RUNS = (2, 3, 5, 10)
 FEATURES = (1 << BUCKET_BITS) + len(RUNS)
 
 #: Most labelled rows that a model is fitted on (chosen by the hash of their id).
-SAMPLE_ROWS = 12_000
+SAMPLE_ROWS = 8_000
 SMOOTHING = 1.0
 PENALTY = 10.0
 EPOCHS = 12
@@ -86,7 +86,7 @@ def feature_rows(sample: DataFrame) -> tuple[list[np.ndarray], np.ndarray]:
     order = np.argsort(found.column("doc_id").to_numpy(), kind="stable")
     lists = found.column("features").combine_chunks()
     offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False)
-    rows = [flat[offsets[i] : offsets[i + 1]].astype(np.int64) for i in order]
+    rows = [flat[offsets[i] : offsets[i + 1]] for i in order]  # views
     return rows, found.column("label").to_numpy()[order]
 
 
@@ -95,7 +95,9 @@ def log_count_ratios(rows: list[np.ndarray], labels: np.ndarray) -> np.ndarray:
     ratio = np.zeros(FEATURES)
     for label, sign in ((1, 1.0), (0, -1.0)):
         own = [r for r, y in zip(rows, labels) if y == label]
-        counts = SMOOTHING + np.bincount(np.concatenate(own), minlength=FEATURES)
+        counts = np.full(FEATURES, SMOOTHING)
+        for row in own:
+            counts[row] += 1  # a row names a feature once
         ratio += sign * np.log(counts / (2 * SMOOTHING + len(own)))
     return ratio
 
@@ -144,7 +146,7 @@ def logistic_fit(margins: np.ndarray, labels: np.ndarray) -> tuple[float, float]
 
 def unit(row: np.ndarray, ratio: np.ndarray) -> np.ndarray:
     values = ratio[row]
-    return values / max(np.sqrt(values @ values), 1e-12)
+    return (values / max(np.sqrt(values @ values), 1e-12)).astype(np.float32)
 
 
 def fit(sample: DataFrame) -> QualityModel | float:
