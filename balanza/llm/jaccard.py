@@ -345,7 +345,7 @@ def survivors(a: Leaf, b: Leaf, numerator: int, denominator: int) -> tuple[np.nd
 
 
 def join_leaves(nodes: DataFrame, numerator: int, denominator: int, nearest_only: bool) -> DataFrame:
-    """(a, b) of pairs that survive the bound. ``nearest_only``: for each set only its likeliest partner."""
+    """(a, b) of pairs that survive the bound. ``nearest_only``: for each set only its likeliest and its least partner."""
     columns = ["meeting", "leaf", "low", "high", "members"]
     itself = nodes.select("meeting", "leaf", F.col("leaf").alias("leaf2"), "members", F.lit(None).cast(nodes.schema["members"].dataType).alias("members2"))
     left = nodes.where(~F.col("alone")).select(*columns)
@@ -359,6 +359,7 @@ def join_leaves(nodes: DataFrame, numerator: int, denominator: int, nearest_only
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[int, tuple[float, int]] = {}
+        least: dict[int, int] = {}
         at, key, cached = None, None, None
 
         def send(a, b, score) -> pa.RecordBatch:
@@ -366,14 +367,15 @@ def join_leaves(nodes: DataFrame, numerator: int, denominator: int, nearest_only
             return pa.RecordBatch.from_arrays(columns, names=["a", "b", "score"])
 
         def flush() -> pa.RecordBatch:
-            return send(list(best), [-q for _, q in best.values()], [score for score, _ in best.values()])
+            score = [r for r, _ in best.values()] + [-1.0] * len(least)
+            return send([*best, *least], [*(-q for _, q in best.values()), *least.values()], score)
 
         for batch in batches:
             for i in range(batch.num_rows):
                 meeting = batch.column(0)[i].as_py()
                 if best and (meeting != at or len(best) > 4 * LISTED):
                     yield flush()
-                    best = {}
+                    best, least = {}, {}
                 at = meeting
                 own = batch.column(1)[i].as_py()
                 if key != (meeting, own):
@@ -391,14 +393,17 @@ def join_leaves(nodes: DataFrame, numerator: int, denominator: int, nearest_only
                     head = order[np.flatnonzero(np.concatenate([[True], np.diff(u[order]) != 0]))] if len(u) else order
                     for p, q, r in zip(u[head].tolist(), v[head].tolist(), score[head].tolist()):
                         best[p] = max(best.get(p, (r, -q)), (r, -q))
+                    order = np.lexsort((v, u))
+                    head = order[np.flatnonzero(np.concatenate([[True], np.diff(u[order]) != 0]))] if len(u) else order
+                    for p, q in zip(u[head].tolist(), v[head].tolist()):
+                        least[p] = min(least.get(p, q), q)
         if best:
             yield flush()
 
     out = pairs.mapInArrow(run, "a bigint, b bigint, score double")
     if nearest_only:
-        return out.groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("b"))).alias("best")).select(
-            "a", (-F.col("best.b")).alias("b")
-        )
+        chosen = out.groupBy("a").agg(F.max(F.struct("score", (-F.col("b")).alias("b"))).alias("best"), F.min("b").alias("least"))
+        return chosen.select("a", F.explode(F.array_distinct(F.array(-F.col("best.b"), "least"))).alias("b"))
     return out.select("a", "b").distinct()
 
 
@@ -473,10 +478,11 @@ def classes(
     found = materialize(points(docs, ranks, words, numerator, denominator, key, text), "points")
     meetings = materialize(meeting_groups(found, numerator, denominator), "meetings")
     nodes = materialize(leaves(meetings, found), "leaves")
-    # First each set with its likeliest partner. Any set that a later pair can hold has one, so
+    # First each set with its likeliest partner, and with its least one: in a group of near copies
+    # that is the same for most, and connects them at once. Any set that a later pair can hold has one, so
     # these are the sets to go on with and to verify.
     nearest = materialize(join_leaves(nodes, numerator, denominator, True), "nearest")
-    alive = nearest.select(F.col("a").alias("set_id"))
+    alive = nearest.select(F.col("a").alias("set_id")).distinct()
     sets = materialize(sets_of(docs, found, alive, words, key, text), "sets")
     links = materialize(verify(_one_way(nearest), sets, numerator, denominator), "links")
     together = meetings.join(alive, "set_id")
