@@ -153,7 +153,8 @@ LEDGER_COLUMNS = [
 ]
 REQUIRED_COLUMNS = ["fecha_corte", "cuenta", "saldo_usd"]
 
-# Accepted header spellings, exact first, then by substring in this order.
+# Accepted header spellings, exact first, then by substring in this order. A balance
+# column is known by its exact spellings only, so that e.g. a previous balance is never taken for it.
 HEADER_EXACT = {
     "FECHA_DE_CORTE": "fecha_corte",
     "FECHA_CORTE": "fecha_corte",
@@ -169,5 +170,4 @@ HEADER_CONTAINS = [
     ("FECHA", "fecha_corte"),
     ("RAZ", "razon_social"),
     ("DESCRIPCI", "descripcion_cuenta"),
-    ("SALDO", "saldo_usd"),
 ]

@@ -36,6 +36,7 @@ def tree(tmp_path):
 
 
 def test_header_rules():
+    assert "saldo_usd" not in text.map_header(["FECHA DE CORTE", "CUENTA", "SALDO ANTERIOR"])
     assert text.normalize_header(" Saldo  (USD) ") == "SALDO_USD"
     assert text.map_header(["FECHA CORTE MES", "RAZÓN", "RAZON SOCIAL", "CUENTA", "DESCRIPCIÓN", "SALDO"]) == [
         "fecha_corte", "RAZÓN", "razon_social", "cuenta", "descripcion_cuenta", "saldo_usd"]
