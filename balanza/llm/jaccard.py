@@ -440,6 +440,11 @@ def _one_way(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
 
 
+def _stars(roots: DataFrame) -> DataFrame:
+    """Components as edges (a, b): each vertex but the root with its root."""
+    return roots.where(F.col("vertex") != F.col("root")).select(F.col("vertex").alias("a"), F.col("root").alias("b"))
+
+
 def verify(pairs: DataFrame, sets: DataFrame, numerator: int, denominator: int) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     one = pairs.join(sets.select(F.col("set_id").alias("a"), F.col("shingles").alias("first")), "a")
@@ -490,21 +495,23 @@ def classes(
     open_nodes = materialize(
         leaves(together.join(several, "meeting"), found.join(alive, "set_id").select("set_id", "n", "point")), "open-leaves"
     )
-    # Then the same between components, until it brings few links; what is left shows at last.
+    # Then the same between components, until it brings few links; what is left shows at last. New
+    # links only join the stars that are known, so components never start again from all links.
+    roots, known = components(links), links.count()
     while True:
-        roots = components(links)
         rooted = with_roots(open_nodes, roots)
         more = verify(_one_way(join_leaves(rooted, numerator, denominator, True)), sets, numerator, denominator)
         more = materialize(more, "links")
-        found_now, known = more.count(), links.count()
-        links = links.unionByName(more)
+        found_now = more.count()
+        if found_now:
+            roots = components(_stars(roots).unionByName(more))
         if found_now * 100 <= known:
             break
+        known += found_now
     # At last all pairs that are still apart and that the bound lets through.
-    roots = components(links)
     rooted = with_roots(open_nodes, roots)
     far = materialize(verify(join_leaves(rooted, numerator, denominator, False), sets, numerator, denominator), "links")
-    all_roots = roots if far.isEmpty() else components(links.unionByName(far))
+    all_roots = roots if far.isEmpty() else components(_stars(roots).unionByName(far))
     labelled = found.select(key, "n", "set_id").join(
         all_roots.withColumnRenamed("vertex", "set_id"), "set_id", "left"
     ).withColumn("root", F.coalesce("root", "set_id"))
