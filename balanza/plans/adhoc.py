@@ -12,9 +12,15 @@ MAX_ROWS = 100
 
 VIEWS = ["dim_cooperativa", "dim_cuenta", "fact_indicadores"]
 
+#: Functions that run JVM code, or that read what no view holds.
+REFUSED_FUNCTIONS = {
+    "reflect", "java_method", "try_reflect", "input_file_name", "input_file_block_start", "input_file_block_length",
+    "read_files", "python_worker_logs",
+}
+
 
 class NotAllowed(ValueError):
-    """The statement is not a SELECT."""
+    """The statement is not a SELECT over the published views."""
 
 
 def safe_limit(requested) -> int:
@@ -35,8 +41,33 @@ def column_catalogue(spark: SparkSession, views=VIEWS) -> DataFrame:
     return spark.createDataFrame(rows, "vista string, columna string, tipo string")
 
 
-def adhoc(spark: SparkSession, query: str, limit=None) -> DataFrame:
-    """Run one SELECT with a row cap. The cap sits on the result, so inner LIMITs stay as written.
+def _parsed(spark: SparkSession, statement: str) -> str:
+    """Spark's parsed plan of a statement, as text; nothing is resolved, so no file is opened."""
+    return spark._jsparkSession.sessionState().sqlParser().parsePlan(statement).toString()
+
+
+def check_allowed(spark: SparkSession, statement: str, views=VIEWS) -> None:
+    """Refuse a statement that reads anything but ``views`` or calls a refused function.
+
+    The parsed plan is checked, not the text: it names every relation and function wherever they
+    stand, also in subqueries. Table functions are refused as a whole.
+    """
+    # String literals can't stand for a relation or a function; without them the plan's names are plain.
+    plain = re.sub(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.|\"\")*\"", "''", statement)
+    plan = _parsed(spark, plain)
+    allowed = {v.lower() for v in views}
+    for name in re.findall(r"UnresolvedRelation \[([^\]]*)\]", plan):
+        if name.strip().lower() not in allowed:
+            raise NotAllowed(f"only the published views can be read, not {name}")
+    if "UnresolvedTableValuedFunction" in plan or "UnresolvedInlineTable" in plan:
+        raise NotAllowed("table functions are not allowed")
+    called = {c.split(".")[-1].strip("`").lower() for c in re.findall(r"([\w.`]+)\s*\(", plain)}
+    if refused := sorted(called & REFUSED_FUNCTIONS):
+        raise NotAllowed(f"function not allowed: {', '.join(refused)}")
+
+
+def adhoc(spark: SparkSession, query: str, limit=None, views=VIEWS) -> DataFrame:
+    """Run one SELECT over ``views`` with a row cap. The cap sits on the result, so inner LIMITs stay as written.
 
     A trailing LIMIT of the statement is the requested cap unless ``limit`` is given.
     """
@@ -47,12 +78,13 @@ def adhoc(spark: SparkSession, query: str, limit=None) -> DataFrame:
     if trailing:
         statement = statement[: trailing.start()]
         limit = trailing.group(1) if limit is None else limit
+    check_allowed(spark, statement, views)
     return spark.sql(statement).limit(safe_limit(limit))
 
 
-def try_adhoc(spark: SparkSession, query: str, limit=None) -> DataFrame:
+def try_adhoc(spark: SparkSession, query: str, limit=None, views=VIEWS) -> DataFrame:
     """Like ``adhoc``, but a refused or failing statement gives one row with its error."""
     try:
-        return adhoc(spark, query, limit)
+        return adhoc(spark, query, limit, views)
     except (NotAllowed, PySparkException) as problem:
         return spark.createDataFrame([(str(problem).splitlines()[0],)], "error string")

@@ -6,6 +6,9 @@ from balanza.operators.serve import to_json_rows
 from balanza.plans import adhoc
 
 
+SEEN = [*adhoc.VIEWS, "muchos"]
+
+
 @pytest.fixture(scope="module")
 def views(spark, entities_ledger):
     adhoc.register_views(
@@ -22,11 +25,11 @@ def test_safe_limit(asked, rows):
 
 @pytest.mark.parametrize("tail,rows", [("", 50), (" LIMIT 10", 10), (" limit 500;", 100), (" LIMIT ALL", 50), (";", 50)])
 def test_cap(spark, views, tail, rows):
-    assert adhoc.adhoc(spark, "select id from muchos" + tail).count() == rows
+    assert adhoc.adhoc(spark, "select id from muchos" + tail, views=SEEN).count() == rows
 
 
 def test_inner_limit_stays(spark, views):
-    assert adhoc.adhoc(spark, "SELECT count(*) AS n FROM (SELECT id FROM muchos LIMIT 200) t").first().n == 200
+    assert adhoc.adhoc(spark, "SELECT count(*) AS n FROM (SELECT id FROM muchos LIMIT 200) t", views=SEEN).first().n == 200
 
 
 @pytest.mark.parametrize("statement", ["WITH x AS (SELECT 1) SELECT * FROM x", "DELETE FROM muchos", "DROP VIEW muchos", ""])
@@ -36,10 +39,36 @@ def test_guard(spark, views, statement):
     assert "SELECT" in adhoc.try_adhoc(spark, statement).first().error
 
 
+@pytest.mark.parametrize(
+    "statement",
+    [
+        "SELECT reflect('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT java_method('java.lang.System', 'getProperty', ruc) FROM dim_cooperativa",
+        "SELECT `reflect`('java.lang.System', 'getProperty', 'user.home')",
+        "SELECT * FROM text.`/etc/hostname`",
+        "SELECT * FROM parquet.`/tmp/x.parquet`",
+        "SELECT * FROM muchos",
+        "SELECT ruc FROM dim_cooperativa WHERE ruc IN (SELECT value FROM text.`/etc/hostname`)",
+        "SELECT (SELECT max(value) FROM text.`/etc/hostname`) AS x FROM dim_cooperativa",
+        "SELECT * FROM range(10)",
+        "SELECT * FROM dim_cooperativa JOIN muchos ON true",
+    ],
+)
+def test_only_views_and_plain_functions(spark, views, statement):
+    with pytest.raises(adhoc.NotAllowed):
+        adhoc.adhoc(spark, statement)
+    assert adhoc.try_adhoc(spark, statement).columns == ["error"]
+
+
+def test_text_that_looks_like_a_call_is_fine(spark, views):
+    rows = adhoc.adhoc(spark, "SELECT ruc, 'text.`/x` reflect(1)' AS nota FROM dim_cooperativa d WHERE d.ruc = 'E1'").collect()
+    assert [tuple(r) for r in rows] == [("E1", "text.`/x` reflect(1)")]
+
+
 def test_error_row(spark, views):
     with pytest.raises(AnalysisException):
-        adhoc.adhoc(spark, "SELECT nada FROM muchos")
-    assert adhoc.try_adhoc(spark, "SELECT nada FROM muchos").columns == ["error"]
+        adhoc.adhoc(spark, "SELECT nada FROM muchos", views=SEEN)
+    assert adhoc.try_adhoc(spark, "SELECT nada FROM muchos", views=SEEN).columns == ["error"]
 
 
 def test_catalogue(spark, views):
