@@ -87,13 +87,34 @@ def _scaled_inverse(matrix: np.ndarray) -> np.ndarray:
 
 
 def vif(df: DataFrame, columns: list[str] = INDICATORS) -> DataFrame:
-    """Variance inflation factors without intercept, largest first."""
+    """Variance inflation factors without intercept, largest first.
+
+    A column that the others determine exactly has an infinite factor; one of zeros has none (null).
+    """
     matrix = gram(complete_cases(df, columns), {c: F.col(c) for c in columns})
-    factors = np.diag(matrix) * np.diag(_scaled_inverse(matrix))
-    rows = sorted(zip(columns, (float(f) for f in factors)), key=lambda r: -r[1])
+    factors = inflation(matrix)
+    rows = sorted(zip(columns, factors), key=lambda r: -(r[1] or 0.0))
     return df.sparkSession.createDataFrame(rows, "indicador string, vif double")
 
 
+#: Share of a column, of unit length, that the others must leave unexplained.
+COLLINEAR = 1e-12
+
+
+def inflation(matrix: np.ndarray) -> list[float | None]:
+    """The factor of each column from its matrix of products: 1 / (share that the others don't explain)."""
+    size = np.sqrt(np.diag(matrix))
+    scale = np.where(size > 0, size, 1.0)
+    unit = matrix / np.outer(scale, scale)
+    factors: list[float | None] = []
+    for i in range(len(unit)):
+        others = np.arange(len(unit)) != i
+        cross = unit[others, i]
+        left = 1.0 - float(cross @ np.linalg.pinv(unit[np.ix_(others, others)], rcond=COLLINEAR, hermitian=True) @ cross)
+        factors.append(None if size[i] == 0 else 1.0 / left if left > COLLINEAR else float("inf"))
+    return factors
+
+
 # Regression --------------------------------------------------------------------------------
 
 

@@ -48,6 +48,13 @@ def test_vif(sample):
         assert got[name] == pytest.approx(1 / (1 - (fit @ fit) / (x[:, i] @ x[:, i])))
 
 
+def test_vif_of_a_repeated_column(spark):
+    rows = [(float(i % 7 + 1), float(i % 7 + 1), float(i * i % 11), 0.0) for i in range(40)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double")
+    got = {r.indicador: r.vif for r in stats.vif(df, ["a", "b", "c", "d"]).collect()}
+    assert got["a"] == got["b"] == float("inf") and 1 <= got["c"] < 100 and got["d"] is None
+
+
 def test_ols_hc3(sample):
     df, x, y, _ = sample
     design = np.column_stack([np.ones(N), x[:, :2]])
