@@ -306,8 +306,13 @@ def dbscan_eps(points: DataFrame, k: int = 3, share: float = 0.25) -> DataFrame:
 
 
 def _band(points: DataFrame, radius: float):
-    """Slices of width ``radius`` along the widest axis: rows further apart than one slice cannot be neighbours."""
+    """Slices of width ``radius`` along the widest axis: rows further apart than one slice cannot be neighbours.
+
+    At radius 0 only equal rows are neighbours, so a band holds the rows of one hash.
+    """
     axes = neighbours.dimensions(points)
+    if radius == 0:
+        return F.xxhash64(*[F.col(c) + F.lit(0.0) for c in axes])
     spread = points.agg(*[F.var_pop(c).alias(c) for c in axes]).first()
     widest = max(axes, key=lambda c: spread[c] or 0.0)
     return F.floor(F.col(widest) / F.lit(radius))

@@ -294,10 +294,11 @@ def compliance_alerts(panel: DataFrame) -> DataFrame:
 
 
 def breach_counts(alerts: DataFrame) -> DataFrame:
+    """Broken limits per entity key, with one of its names (the last by letter)."""
     return (
-        alerts.groupBy("cooperativa")
-        .agg(F.count(F.lit(1)).alias("n_incumplimientos"))
-        .orderBy(F.col("n_incumplimientos").desc(), "cooperativa")
+        alerts.groupBy("ruc")
+        .agg(F.max("cooperativa").alias("cooperativa"), F.count(F.lit(1)).alias("n_incumplimientos"))
+        .orderBy(F.col("n_incumplimientos").desc(), "ruc")
     )
 
 

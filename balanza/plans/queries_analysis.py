@@ -61,8 +61,7 @@ _panel_query("compliance_alerts", _ALERTS, lambda panel: describe.compliance_ale
 _panel_query(
     "breach_counts",
     f", alerts AS ({_ALERTS}) SELECT ruc, count(*) AS n_incumplimientos FROM alerts GROUP BY ruc",
-    lambda panel: describe.breach_counts(describe.compliance_alerts(panel).withColumn("cooperativa", F.col("ruc")))
-    .withColumnRenamed("cooperativa", "ruc"),
+    lambda panel: describe.breach_counts(describe.compliance_alerts(panel)).drop("cooperativa"),
     "long",
 )
 _panel_query(
@@ -318,15 +317,15 @@ _rule_query(
     lambda points: rounds(cluster.davies_bouldin(points), ["davies_bouldin"]),
 )
 _KDIST = f""", kd AS MATERIALIZED (SELECT id, k_dist FROM (SELECT a.id, {_DIST} AS k_dist, row_number() OVER (PARTITION BY a.id ORDER BY {_DIST}) AS r FROM pts a, pts b) WHERE r = 3),
- e AS (SELECT round(quantile_cont(k_dist, 0.25), 6) AS eps FROM kd)"""
+ e AS (SELECT quantile_cont(k_dist, 0.25) AS eps FROM kd)"""
 _points_query(
     "k_distance", _KDIST + " SELECT id, round(k_dist, 6) AS k_dist FROM kd", lambda points: rounds(cluster.k_distance(points), ["k_dist"])
 )
-_points_query("dbscan_eps", _KDIST + " SELECT eps FROM e", lambda points: rounds(cluster.dbscan_eps(points), ["eps"]))
+_points_query("dbscan_eps", _KDIST + " SELECT round(eps, 6) AS eps FROM e", lambda points: rounds(cluster.dbscan_eps(points), ["eps"]))
 
 
 def dbscan_of(points):
-    eps = rounds(cluster.dbscan_eps(points), ["eps"]).first().eps
+    eps = cluster.dbscan_eps(points).first().eps
     return cluster.dbscan(points, eps)
 
 

@@ -191,3 +191,11 @@ def test_cells_are_bounded(spark):
     points = frame(spark, np.zeros((300, 2)))
     sizes = neighbours.cells(points, None, 32).groupBy("_band", "_adjacent", "_low", "_high").count()
     assert sizes.agg(F.max("count")).first()[0] < 4 * 32
+
+
+def test_dbscan_at_radius_zero(spark):
+    rows = [(f"p{i}", 1.0, 2.0) for i in range(6)] + [("q", 1.0, 2.5), ("r", -0.0, 0.0), ("s", 0.0, 0.0), ("t", 0.0, 0.0)]
+    points = spark.createDataFrame(rows, "id string, x0 double, x1 double")
+    got = {r["id"]: (r["label"], r["nucleo"]) for r in cluster.dbscan(points, 0.0).collect()}
+    assert all(got[f"p{i}"] == ("p0", True) for i in range(6)) and got["q"] == (None, False)
+    assert all(got[x] == ("r", True) for x in "rst")
