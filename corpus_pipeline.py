@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from balanza.llm import bpe, decontaminate, jaccard, quality, repeats
@@ -29,14 +29,34 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     return quality.score(docs, model).where(F.col("predicted") == 1).select(*docs.columns)
 
 
+def row_name(docs: DataFrame) -> Column:
+    """struct that tells rows apart, rows with an id first: id, hash of the text, hash of the other columns.
+
+    Rows with equal names are equal in all columns.
+    """
+    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
+    return F.struct(
+        F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"),
+        F.xxhash64(others).alias("others_hash"),
+    )
+
+
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each class of near copies (five words, similarity 0.8).
+    """One row of each class of near copies (five words, similarity 0.8): the one with the least id.
 
-    Ids name documents: rows of one id stay or go together. Texts without words have no copies.
+    Null ids come after all others, and equal ids are told apart by the hashes of their rows; of
+    rows that are equal in all columns one stays. Texts without words have no copies: all stay.
     """
-    classes = jaccard.classes(docs)
-    first = classes.where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(first, F.col("doc_id").eqNullSafe(F.col("_kept")), "left_semi")
+    rows = docs.withColumn("_row", row_name(docs))
+    found = jaccard.classes(rows, key="_row")
+    first = found.where(F.col("component_id").eqNullSafe(F.col("_row"))).groupBy("_row").agg(
+        ((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("repeated")
+    )
+    first = materialize(first, "kept")
+    # Only rows that are repeated as they are need to be brought together again.
+    single = rows.join(first.where(~F.col("repeated")), "_row", "left_semi")
+    one = rows.join(first.where("repeated"), "_row", "left_semi").dropDuplicates(["_row"])
+    return single.unionByName(one).select(*docs.columns)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

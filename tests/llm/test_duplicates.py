@@ -118,5 +118,45 @@ def test_pipeline_stages_keep_columns(spark):
         assert stage(spark, docs.limit(0), sf_dir).columns == docs.columns
 
 
+def prose(chance, n):
+    return " ".join(f"{chance.choice('bcdfg')}{chance.randint(0, 999)}" for _ in range(n))
+
+
+def copies_table(spark):
+    """Repeated rows, null ids and near copies: (id, text, source), and the rows as a table."""
+    chance = random.Random(8)
+    clean, other, lone, bare, shared = (prose(chance, 120) for _ in range(5))
+    rows = [
+        (7, clean, "a"), (7, clean, "a"), (7, clean, "a"), (None, clean, "a"), (9, clean + " end", "a"),
+        (3, other, "a"), (3, other + " more", "a"), (3, other, "b"), (4, other, "a"),
+        (None, bare, "a"), (None, bare, "a"), (None, bare + " x", "a"), (None, lone, "a"),
+        (5, None, "a"), (5, None, "a"), (None, "", "a"), (None, "", "a"),
+        (11, prose(chance, 60) + " " + shared, "a"), (12, prose(chance, 60) + " " + shared, "a"),
+        (13, shared[:400] + " " + prose(chance, 200), "a"), (7, prose(chance, 90), "a"),
+    ]
+    kinds = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    return rows, spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], kinds)
+
+
+def test_pipeline_keeps_one_row_of_each_class(spark):
+    rows, docs = copies_table(spark)
+    kept = corpus_pipeline.keep_one_of_near_copies(spark, docs.repartition(3), "")
+    got = [(r["doc_id"], r["text"], r["source"]) for r in kept.collect()]
+    classes, wordless = {}, []
+    for row, (n, root) in zip(rows, brute_classes([t for _, t, _ in rows], 5, 80)):
+        (classes.setdefault(root, []) if n else wordless).append(row)
+    assert Counter(r for r in got if not r[1]) == Counter(wordless)
+    worded = [r for r in got if r[1]]
+    assert len(worded) == len(classes)
+    for members in classes.values():
+        least = min((i is None, i or 0) for i, _, _ in members)
+        assert sum(r in members and (r[0] is None, r[0] or 0) == least for r in worded) == 1
+    cut = corpus_pipeline.cut_repeats(spark, kept, "").collect()
+    assert Counter((r["doc_id"], (r["text"] or "").encode()) for r in cut) == Counter(
+        zip([i for i, _, _ in got], brute_repeats([t for _, t, _ in got], repeats.LENGTH))
+    )
+    assert sum(bool(r["text"]) and r["doc_id"] == 7 for r in cut) == 2
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
