@@ -19,6 +19,18 @@ from balanza.session import materialize
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """(doc_id, text, columns): all but the text in one struct, where no column that an operator adds can replace it."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select("doc_id", "text", F.struct(*others).alias("columns"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of ``docs`` from packed rows, some of them changed; what operators added goes."""
+    own = {"text": F.col("text"), **changed}
+    return rows.select(*[own.get(c, F.col("columns")[c]).alias(c) for c in docs.columns])
+
+
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts, fitted on the labels of these documents.
 
@@ -26,18 +38,17 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     labels are 0.
     """
     model = quality.fit_on_labels(docs, read_table(spark, sf_dir, "labels"))
-    return quality.score(docs, model).where(F.col("predicted") == 1).select(*docs.columns)
+    return unpacked(quality.score(packed(docs), model).where(F.col("predicted") == 1), docs)
 
 
-def row_name(docs: DataFrame) -> Column:
-    """struct that tells rows apart, rows with an id first: id, hash of the text, hash of the other columns.
+def row_name() -> Column:
+    """Of a packed row: a struct that tells rows apart, rows with an id first: id, hash of the text, hash of the other columns.
 
     Rows with equal names are equal in all columns.
     """
-    others = F.to_json(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]))
     return F.struct(
         F.col("doc_id").isNull().alias("nameless"), F.col("doc_id"), F.xxhash64("text").alias("text_hash"),
-        F.xxhash64(others).alias("others_hash"),
+        F.xxhash64(F.to_json("columns")).alias("others_hash"),
     )
 
 
@@ -47,16 +58,16 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
     Null ids come after all others, and equal ids are told apart by the hashes of their rows; of
     rows that are equal in all columns one stays. Texts without words have no copies: all stay.
     """
-    rows = docs.withColumn("_row", row_name(docs))
-    found = jaccard.classes(rows, key="_row")
-    first = found.where(F.col("component_id").eqNullSafe(F.col("_row"))).groupBy("_row").agg(
+    rows = packed(docs).withColumn("row", row_name())
+    found = jaccard.classes(rows, key="row")
+    first = found.where(F.col("component_id").eqNullSafe(F.col("row"))).groupBy("row").agg(
         ((F.count("*") > 1) & (F.max("n_shingles") > 0)).alias("repeated")
     )
     first = materialize(first, "kept")
     # Only rows that are repeated as they are need to be brought together again.
-    single = rows.join(first.where(~F.col("repeated")), "_row", "left_semi")
-    one = rows.join(first.where("repeated"), "_row", "left_semi").dropDuplicates(["_row"])
-    return single.unionByName(one).select(*docs.columns)
+    single = rows.join(first.where(~F.col("repeated")), "row", "left_semi")
+    one = rows.join(first.where("repeated"), "row", "left_semi").dropDuplicates(["row"])
+    return unpacked(single.unionByName(one), docs)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,17 +75,15 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null texts stay null; a text that is all repeats stays as an empty one.
     """
-    cut = repeats.remove_repeats(docs, whole_characters=True)
+    cut = repeats.remove_repeats(packed(docs), whole_characters=True)
     text = F.when(F.col("text").isNotNull(), F.col("kept"))
-    return cut.withColumn("text", text).withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(
-        *docs.columns
-    )
+    return unpacked(cut, docs, text=text, n_chars=F.char_length(text).cast(docs.schema["n_chars"].dataType))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no benchmark passage is found."""
-    found = decontaminate.find(docs, read_table(spark, sf_dir, "benchmark"))
-    return found.where(F.size("matches") == 0).select(*docs.columns)
+    found = decontaminate.find(packed(docs), read_table(spark, sf_dir, "benchmark"))
+    return unpacked(found.where(F.size("matches") == 0), docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,9 +6,11 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from balanza.llm import decontaminate, graph, jaccard, queries, repeats
+from balanza.session import scratch_path
 
 DOCS = "doc_id bigint, text string, n_bytes int, root int, point string"
 
@@ -158,5 +160,31 @@ def test_pipeline_keeps_one_row_of_each_class(spark):
     assert sum(bool(r["text"]) and r["doc_id"] == 7 for r in cut) == 2
 
 
+def test_pipeline_stages_return_their_input_columns(spark):
+    """Columns named as what the operators add come out as they went in, at every stage."""
+    rows, docs = copies_table(spark)
+    extra = {
+        "score": "x", "predicted": "no", "matches": "m", "text_id": "t", "ranges": "r", "kept": "k", "spans": "s",
+        "n_bytes": "n", "row": "w", "columns": "c", "component_id": "d", "n_shingles": "h", "set_id": "i", "Point.a": "p",
+    }
+    wide = docs.withColumns({c: F.concat(F.lit(v), F.coalesce(F.col("doc_id"), F.lit(-1)), F.col("source")) for c, v in extra.items()})
+    folder = scratch_path(spark, "stages-test")
+    labels = [(i, int(i != 4), 0) for i in (3, 4, 7, 9, 11, 12)]
+    spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, rows[9][1])], "item_id bigint, text string").write.parquet(f"{folder}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, wide, folder)
+        assert out.columns == wide.columns and out.schema["n_chars"].dataType == wide.schema["n_chars"].dataType, name
+        got = out.collect()
+        plain = stage(spark, docs, folder).collect()
+        assert got and Counter(tuple(r)[:5] for r in got) == Counter(tuple(r) for r in plain), name
+        for r in got:
+            own = f"{-1 if r['doc_id'] is None else r['doc_id']}{r['source']}"
+            assert all(r[c] == v + own for c, v in extra.items()), name
+    clean = [r for r in rows if rows[9][1] not in (r[1] or "")]
+    left = corpus_pipeline.drop_contaminated(spark, wide, folder).collect()
+    assert Counter((r["doc_id"], r["text"], r["source"]) for r in left) == Counter(clean)
+
+
 def test_every_operator_has_a_query():
     assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
