@@ -4,7 +4,7 @@ Benchmark items are cut into overlapping windows of folded text. A document regi
 ``e`` edits of a window of ``m`` characters shares at least ``m + 1 - q * (e + 1)`` q-grams with
 it, on diagonals that spread over at most ``e``. So q-gram hits are counted in overlapping
 bands of diagonals, bands below the bound are left out, and the rest is verified by banded
-alignment. The benchmark is the stated query set: it goes to the tasks in blocks of bounded
+alignment. Items of less than two q-grams are searched as they are. The benchmark is the stated query set: it goes to the tasks in blocks of bounded
 size, and documents are never shuffled.
 """
 
@@ -28,8 +28,13 @@ Q = 8
 EDIT_RATE = 0.1
 #: Items longer than a window are cut into windows at this stride.
 WINDOW, STRIDE = 120, 60
-#: Folded items shorter than this match too much by chance and are not searched.
-LEAST_CHARS = 40
+#: Folded items shorter than this match by chance within words, so they must begin and end at a word's edge.
+EDGED_CHARS = 40
+#: Scripts written without blanks between words; next to their letters every place is an edge.
+UNSPACED = (
+    (0xE00, 0x109F), (0x1780, 0x17FF), (0x2E80, 0x312F), (0x31A0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF),
+    (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF),
+)
 #: Characters of benchmark text that one pass over the documents takes along.
 BLOCK_CHARS = 4_000_000
 FILTER_BITS = 22
@@ -94,14 +99,44 @@ def edit_budget(m: int, rate: float = EDIT_RATE, q: int = Q) -> int:
     return max(0, min(int(rate * m), (m - q) // q))
 
 
+def folded_item(text: str | None) -> np.ndarray:
+    folded = fold(points_of(text or ""))[0]
+    return folded[:-1] if len(folded) and folded[-1] == BLANK else folded
+
+
+@dataclass
+class Whole:
+    """Items of one folded length that are searched as they are, in order of their hash."""
+
+    item: np.ndarray
+    text: np.ndarray  # a row of code points per item
+    hashes: np.ndarray  # distinct
+    first: np.ndarray  # item of each hash; one more at the end
+
+
+def build_whole(items: list[tuple[int, str]], q: int = Q) -> list[Whole]:
+    """The items that are too short for the lemma, by length."""
+    by_size: dict[int, list[tuple[int, np.ndarray]]] = {}
+    for item, text in items:
+        folded = folded_item(text)
+        if 0 < len(folded) < 2 * q:
+            by_size.setdefault(len(folded), []).append((item, folded))
+    out = []
+    for m, own in sorted(by_size.items()):
+        texts = np.stack([t for _, t in own])
+        flat = np.concatenate([gram_hashes(t, m) for t in texts])
+        order = np.argsort(flat, kind="stable")
+        hashes, first = np.unique(flat[order], return_index=True)
+        out.append(Whole(np.array([i for i, _ in own], np.int64)[order], texts[order], hashes, np.append(first, len(flat))))
+    return out
+
+
 def build_windows(items: list[tuple[int, str]], rate: float = EDIT_RATE, q: int = Q) -> Windows | None:
     owner, texts = [], []
     for item, text in items:
-        folded = fold(points_of(text or ""))[0]
-        if len(folded) and folded[-1] == BLANK:
-            folded = folded[:-1]
+        folded = folded_item(text)
         m = len(folded)
-        if m < max(LEAST_CHARS, 2 * q):
+        if m < 2 * q:
             continue
         starts = [0] if m <= WINDOW else [*range(0, m - WINDOW, STRIDE), m - WINDOW]
         for s in starts:
@@ -124,26 +159,66 @@ def build_windows(items: list[tuple[int, str]], rate: float = EDIT_RATE, q: int
     )
 
 
-def banded_distance(window: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int]:
-    """Least edits to align all of ``window`` with some part of ``region``, and the end of that part.
+def edits_by_end(window: np.ndarray, region: np.ndarray, budget: int, anchored: bool = False) -> np.ndarray | None:
+    """Least edits to align all of ``window`` with a part of ``region``, by the part's end; None if all are over budget.
 
-    Rows run over the window; columns are all diagonals of the region, which is only as long as
-    the window, the band and the budget together.
+    ``anchored``: the part begins where the region does. Rows run over the window; columns are
+    all diagonals of the region, which is only as long as the window, the band and the budget
+    together.
     """
     m, n = len(window), len(region)
     spread = np.arange(n + 1)
-    row = np.zeros(n + 1, np.int32)
+    row = spread.astype(np.int32) if anchored else np.zeros(n + 1, np.int32)
     for i in range(1, m + 1):
         step = np.empty(n + 1, np.int32)
         step[0] = i
         np.minimum(row[:-1] + (region != window[i - 1]), row[1:] + 1, out=step[1:])
         row = np.minimum.accumulate(step - spread) + spread
         if row.min() > budget:
-            return budget + 1, -1
+            return None
+    return row
+
+
+def banded_distance(window: np.ndarray, region: np.ndarray, budget: int) -> tuple[int, int]:
+    """Least edits to align all of ``window`` with some part of ``region``, and the end of that part."""
+    row = edits_by_end(window, region, budget)
+    if row is None:
+        return budget + 1, -1
     end = int(row.argmin())
     return int(row[end]), end
 
 
+@cache
+def _unspaced() -> np.ndarray:
+    table = np.zeros(0x110000, bool)
+    for low, high in UNSPACED:
+        table[low : high + 1] = True
+    return table
+
+
+def word_edges(folded: np.ndarray) -> np.ndarray:
+    """Whether a word can begin or end at each place of a text, its end included."""
+    free = (folded == BLANK) | _unspaced()[folded]
+    edges = np.ones(len(folded) + 1, bool)
+    edges[1:-1] = free[1:] | free[:-1]
+    return edges
+
+
+def edged_region(window: np.ndarray, own: np.ndarray, a: int, b: int, budget: int) -> tuple[int, int, int] | None:
+    """(edits, start, end) of the part of ``own[a:b]`` between word edges that is nearest to ``window``, if within budget."""
+    row = edits_by_end(window, own[a:b], budget)
+    edges, best = word_edges(own), None
+    for end in np.flatnonzero((row <= budget) & edges[a : b + 1]).tolist() if row is not None else ():
+        back = edits_by_end(window[::-1], own[a : a + end][::-1], budget, anchored=True)
+        if back is None:
+            continue
+        starts = np.arange(a + end, a - 1, -1)
+        for at in np.flatnonzero((back <= budget) & edges[starts]).tolist():
+            found = (int(back[at]), a + end - at, a + end)
+            best = found if best is None else min(best, found)
+    return best
+
+
 def runs_of(ordered: np.ndarray) -> np.ndarray:
     """Where each run of equal values begins, and the length."""
     new = np.ones(len(ordered) + 1, bool)
@@ -194,6 +269,11 @@ def matches_in(folded: np.ndarray, starts: np.ndarray, block: Windows, q: int =
         low = (int(key[i]) - 1) * wide - WINDOW
         own = folded[starts[t] : starts[t + 1]]
         a, b = max(0, low - e), min(len(own), low + 2 * wide + len(block.text[w]) + e)
+        if len(block.text[w]) < EDGED_CHARS:
+            region = edged_region(block.text[w], own, a, b, e)
+            if region is not None and (name not in out or region[0] < out[name][2]):
+                out[name] = (region[1], region[2], region[0])
+            continue
         edits, end = banded_distance(block.text[w], own[a:b], e)
         if edits <= e and (name not in out or edits < out[name][2]):
             back, length = banded_distance(block.text[w][::-1], own[a : a + end][::-1], e)
@@ -201,6 +281,33 @@ def matches_in(folded: np.ndarray, starts: np.ndarray, block: Windows, q: int =
     return [(t, int(block.item[w]), s, end, edits) for (t, w), (s, end, edits) in sorted(out.items())]
 
 
+def whole_in(folded: np.ndarray, starts: np.ndarray, whole: list[Whole]) -> list[tuple[int, int, int, int, int]]:
+    """As ``matches_in``: the first place between word edges of each short item in each text."""
+    edges = np.concatenate([*(word_edges(folded[a:b])[:-1] for a, b in zip(starts, starts[1:])), [True]])
+    out = []
+    for group in whole:
+        m = group.text.shape[1]
+        hashes = gram_hashes(folded, m)
+        if not len(hashes):
+            continue
+        found = np.searchsorted(group.hashes, hashes)
+        found[found == len(group.hashes)] = 0
+        at = np.flatnonzero(group.hashes[found] == hashes)
+        found, text = found[at], np.searchsorted(starts, at, "right") - 1
+        # A text's end is an edge even where the next text begins: that place is the next one's first.
+        good = (at + m <= starts[text + 1]) & edges[at] & edges[at + m]
+        at, found, text = at[good], found[good], text[good]
+        many = group.first[found + 1] - group.first[found]
+        one = np.repeat(group.first[found] - (np.cumsum(many) - many), many) + np.arange(many.sum())
+        at, text = np.repeat(at, many), np.repeat(text, many)
+        same = (folded[at[:, None] + np.arange(m)] == group.text[one]).all(1)
+        at, text, one = at[same], text[same], one[same]
+        _, lead = np.unique(text.astype(np.int64) * len(group.item) + one, return_index=True)
+        place = at[lead] - starts[text[lead]]
+        out += zip(text[lead].tolist(), group.item[one[lead]].tolist(), place.tolist(), (place + m).tolist(), [0] * len(lead))
+    return out
+
+
 FOUND = "array<struct<item_id:bigint, start:int, stop:int, edits:int>>"
 
 
@@ -221,27 +328,29 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame
 
     Positions are code points of the text. A window is found once per document, at its region
     of fewest edits; an item may be found by several windows. Null and empty texts match
-    nothing, items that are null, or shorter than LEAST_CHARS when folded (case, punctuation and
-    runs of blanks do not count), find nothing. Repeated rows are each searched; an existing
+    nothing; items that are null or hold no letter or digit find nothing. Case, punctuation and
+    runs of blanks do not count. Items shorter than EDGED_CHARS when folded are found between word
+    edges only, those shorter than 2 * Q without edits; a one-word item is found wherever its word
+    is. Repeated rows are each searched; an existing
     column called matches is replaced. Each block of the benchmark adds one pass.
     """
     bounded_batches(docs.sparkSession)
     docs = without(docs, ["matches"]).withColumn("matches", F.array().cast(FOUND))
     for block in blocks_of(benchmark):
-        windows = build_windows(block)
-        if windows is not None:
-            docs = _search(docs, docs.sparkSession, windows, text)
+        windows, whole = build_windows(block), build_whole(block)
+        if windows is not None or whole:
+            docs = _search(docs, docs.sparkSession, windows, whole, text)
     return docs
 
 
-def _search(docs: DataFrame, spark: SparkSession, windows: Windows, text: str) -> DataFrame:
-    shared = spark.sparkContext.broadcast(windows)  # a block: BLOCK_CHARS bounds it
+def _search(docs: DataFrame, spark: SparkSession, windows: Windows | None, whole: list[Whole], text: str) -> DataFrame:
+    shared = spark.sparkContext.broadcast((windows, whole))  # a block: BLOCK_CHARS bounds it
     names, kind = docs.columns, pa.list_(
         pa.struct([("item_id", pa.int64()), ("start", pa.int32()), ("stop", pa.int32()), ("edits", pa.int32())])
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = shared.value
+        block, short = shared.value
         for batch in batches:
             for first, end, data, offsets in utf8_steps(batch.column(names.index(text))):
                 rows = batch.slice(first, end - first)
@@ -253,7 +362,10 @@ def _search(docs: DataFrame, spark: SparkSession, windows: Windows, text: str) -
                 starts = np.zeros(len(parts) + 1, np.int64)
                 np.cumsum([len(p[0]) for p in parts], out=starts[1:])
                 before = rows.column(names.index("matches")).to_pylist()
-                for t, item, start, stop, edits in matches_in(np.concatenate([p[0] for p in parts]), starts, block):
+                folded = np.concatenate([p[0] for p in parts])
+                found = matches_in(folded, starts, block) if block is not None else []
+                found += whole_in(folded, starts, short) if short else []
+                for t, item, start, stop, edits in found:
                     at = parts[t][1]
                     before[t].append({"item_id": item, "start": int(at[start]), "stop": int(at[stop - 1]) + 1, "edits": edits})
                 columns = [pa.array(before, kind) if n == "matches" else rows.column(i) for i, n in enumerate(names)]

@@ -111,6 +111,24 @@ def test_decontamination(spark):
     assert decontaminate.contamination(table(spark, texts), benchmark.limit(0)).agg({"contaminated": "sum"}).first()[0] == 0
 
 
+def test_decontamination_finds_short_items(spark):
+    items = [
+        (1, "What is the capital of France?"), (2, "中国的首都是哪一座城市？请选择正确的答案：北京"), (3, "Yes."), (4, "¿Qué es?"),
+        (5, "長城"), (6, "7 + 5"), (7, "?!"), (8, "ha ha ha ha ha ha"), (9, "Yes."),
+    ]
+    cases = [
+        ("so: what is  the CAPITAL of france", [1]), ("What is the capital of France", [1]), ("What is the capitol of France? Paris", [1]),
+        ("What is the capital of Germany?", []), ("somewhat is the capital of france", []), ("What is the capital of Francesca", []),
+        ("他问中国的首都是哪一座城市？请选择正确的答案：北京对吗", [2]), ("yesterday eyes", []), ("oh yes", [3, 9]), ("Yes", [3, 9]), ("qué es", [4]),
+        ("我們登上長城看日出", [5]), ("17 5", []), ("(7, 5)", [6]), ("haha ha ha ha ha ha ha", [8]), ("?!", []), ("", []), (None, []),
+    ]
+    benchmark = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = decontaminate.contamination(table(spark, [t for t, _ in cases]), benchmark).orderBy("doc_id").collect()
+    assert [(t, r["item_ids"]) for (t, _), r in zip(cases, rows)] == cases
+    found = decontaminate.find(table(spark, ["oh yes", "(What is the capital of France)"]), benchmark).orderBy("doc_id").collect()
+    assert [[(m["start"], m["stop"], m["edits"]) for m in r["matches"]] for r in found] == [[(3, 6, 0)] * 2, [(1, 30, 0)]]
+
+
 def test_pipeline_stages_keep_columns(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
