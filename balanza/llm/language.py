@@ -30,9 +30,10 @@ GRAM = 4
 SAMPLE_TEXTS = 1_000
 #: An n-gram belongs to the languages that have at least this share of its best language's rate.
 LEAST_SHARE = 0.4
-#: and is kept if it occurs in this many of the sample's texts.
+#: and is kept if it occurs in this many of the sample's texts, or in all of a language with fewer.
 LEAST_TEXTS = 3
-MOST_LANGUAGES = 64
+#: Languages of one mask; a slot has as many masks as the languages need.
+MASK_BITS = 64
 
 UNKNOWN = "und"
 FOLDS, HELD_OUT = 4, 2
@@ -91,7 +92,7 @@ def slots_of(hashes: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class LanguageFilter:
-    """``masks``: one row of bits by language per slot; ``chance``: false answers by language."""
+    """``masks``: for each MASK_BITS languages their bits of every slot; ``chance``: false answers by language."""
 
     languages: list[str]
     masks: np.ndarray
@@ -101,8 +102,8 @@ class LanguageFilter:
 def sample_texts(docs: DataFrame, limit: int = SAMPLE_TEXTS) -> DataFrame:
     """(lang, text) of at most ``limit`` rows of each language outside the held-out fold.
 
-    Only ids are ranked. The chosen ids are bounded by limit and MOST_LANGUAGES, so they are
-    broadcast. Rows with null id, lang or text teach nothing.
+    Only ids are ranked. The chosen ids are bounded by limit and the number of languages, so they
+    are broadcast. Rows with null id, lang or text teach nothing.
     """
     taught = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", FOLDS, HELD_OUT))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
@@ -121,11 +122,9 @@ def learn(docs: DataFrame, limit: int = SAMPLE_TEXTS) -> LanguageFilter:
     """The filter of all languages among the teaching rows of (doc_id, lang, text)."""
     sample = sample_texts(docs, limit)
     texts = {r["lang"]: r["n"] for r in sample.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    if len(texts) > MOST_LANGUAGES:
-        raise ValueError(f"{len(texts)} languages; a slot has {MOST_LANGUAGES} bits")
     languages = sorted(texts)
     if not languages:
-        return LanguageFilter([], np.zeros(SLOTS, np.uint8), np.zeros(0))
+        return LanguageFilter([], np.zeros((1, SLOTS), np.uint8), np.zeros(0))
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = {lang: i for i, lang in enumerate(languages)}
@@ -145,31 +144,36 @@ def learn(docs: DataFrame, limit: int = SAMPLE_TEXTS) -> LanguageFilter:
     rates = [F.col(f"n{i}") / F.lit(float(texts[lang])) for i, lang in enumerate(languages)]
     best = F.greatest(*rates) if len(rates) > 1 else rates[0]
     bits = [F.when(rate >= LEAST_SHARE * best, F.lit(1).cast("long")).otherwise(F.lit(0).cast("long")) for rate in rates]
-    mask = sum((F.shiftleft(bit, i) for i, bit in enumerate(bits)), F.lit(0).cast("long"))
-    total = sum((F.col(f"n{i}") for i in range(len(languages))), F.lit(0))
-    shared_by_all = mask == F.lit(_all_bits(len(languages))) if len(languages) > 1 else F.lit(False)
-    kept = counts.where((total >= LEAST_TEXTS) & ~shared_by_all).select("gram", mask.alias("mask"))
+    parts = [bits[i : i + MASK_BITS] for i in range(0, len(bits), MASK_BITS)]
+    names = [f"mask{i}" for i in range(len(parts))]
+    masks_of = [sum((F.shiftleft(bit, i) for i, bit in enumerate(part)), F.lit(0).cast("long")).alias(n) for part, n in zip(parts, names)]
+    own = [F.col(f"n{i}") for i in range(len(languages))]
+    total = F.aggregate(F.array(*own), F.lit(0).cast("long"), lambda a, b: a + b)
+    enough = total >= LEAST_TEXTS
+    small = [(i, texts[lang]) for i, lang in enumerate(languages) if texts[lang] < LEAST_TEXTS]
+    if small:
+        enough |= F.exists(F.array(*[own[i] >= n for i, n in small]), lambda x: x)
+    shared_by_all = ~F.exists(F.array(*bits), lambda bit: bit == 0) if len(languages) > 1 else F.lit(False)
+    kept = counts.where(enough & ~shared_by_all).select("gram", *masks_of)
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             hashes = batch.column("gram").to_numpy().view(np.uint64)
             slots = np.concatenate(slots_of(hashes)).astype(np.int32)
-            masks = np.tile(batch.column("mask").to_numpy(), PROBES)
-            yield pa.RecordBatch.from_arrays([pa.array(slots), pa.array(masks)], names=["slot", "mask"])
+            masks = [pa.array(np.tile(batch.column(n).to_numpy(), PROBES)) for n in names]
+            yield pa.RecordBatch.from_arrays([pa.array(slots), *masks], names=["slot", *names])
 
     # At most SLOTS rows come back, however many texts the sample has.
-    found = kept.mapInArrow(place, "slot int, mask bigint").groupBy("slot").agg(F.bit_or("mask").alias("mask")).toArrow()
-    kind = next(k for bits, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32), (64, np.uint64)) if len(languages) <= bits)
-    masks = np.zeros(SLOTS, kind)
-    masks[found.column("slot").to_numpy()] = found.column("mask").to_numpy().view(np.uint64).astype(kind)
-    fill = np.array([np.count_nonzero(masks & kind(1 << i)) / SLOTS for i in range(len(languages))])
+    schema = ", ".join(["slot int", *(f"{n} bigint" for n in names)])
+    found = kept.mapInArrow(place, schema).groupBy("slot").agg(*[F.bit_or(n).alias(n) for n in names]).toArrow()
+    kind = next((k for bits, k in ((8, np.uint8), (16, np.uint16), (32, np.uint32)) if len(languages) <= bits), np.uint64)
+    masks = np.zeros((len(names), SLOTS), kind)
+    for part, n in zip(masks, names):
+        part[found.column("slot").to_numpy()] = found.column(n).to_numpy().view(np.uint64).astype(kind)
+    fill = np.array([np.count_nonzero(masks[i // MASK_BITS] & kind(1 << i % MASK_BITS)) / SLOTS for i in range(len(languages))])
     return LanguageFilter(languages, masks, fill**PROBES)
 
 
-def _all_bits(n: int) -> int:
-    return (1 << n) - 1 if n < 64 else -1
-
-
 def predict(df: DataFrame, filters: LanguageFilter, text: str = "text") -> DataFrame:
     """``df`` without its text, with ``lang_pred string`` and ``score double`` (0 to 1).
 
@@ -181,7 +185,7 @@ def predict(df: DataFrame, filters: LanguageFilter, text: str = "text") -> DataF
     bounded_batches(df.sparkSession)
     df = without(df, ["lang_pred", "score"])
     kept = [c for c in df.columns if c != text]
-    shared = df.sparkSession.sparkContext.broadcast(filters)  # SLOTS masks, whatever the input
+    shared = df.sparkSession.sparkContext.broadcast(filters)  # SLOTS masks for each MASK_BITS languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
@@ -190,11 +194,11 @@ def predict(df: DataFrame, filters: LanguageFilter, text: str = "text") -> DataF
             names, scores = [], []
             for first, end, hashes, row, lettered in steps(batch.column(text)):
                 n = end - first
-                answer = None
-                for slot in slots_of(hashes):
-                    answer = own.masks[slot] if answer is None else answer & own.masks[slot]
+                slots = slots_of(hashes)
+                answers = [np.bitwise_and.reduce([part[slot] for slot in slots]) for part in own.masks]
+                kind = own.masks.dtype.type
                 hits = np.stack([
-                    np.bincount(row, weights=((answer >> answer.dtype.type(i)) & answer.dtype.type(1)), minlength=n)
+                    np.bincount(row, weights=(answers[i // MASK_BITS] >> kind(i % MASK_BITS)) & kind(1), minlength=n)
                     for i in range(count)
                 ]) if count else np.zeros((1, n))
                 asked = np.bincount(row, minlength=n)

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import zlib
 
 import pyarrow as pa
 import pytest
@@ -123,3 +124,16 @@ def test_language(spark):
     assert all(got[i]["lang_pred"] == lang for i, _, lang in rows)
     assert got[100]["lang_pred"] == got[101]["lang_pred"] == "und" and got[102]["lang_pred"] == "de"
     assert language.predict(docs.drop("lang"), language.learn(docs.limit(0))).where("lang_pred != 'und'").count() == 0
+
+
+def test_language_of_many_and_small_languages(spark):
+    names = [f"l{i:02d}" for i in range(70)]
+    words = {n: [chr(0x4E00 + 20 * i + j) * 5 for j in range(8)] for i, n in enumerate(names)}
+    rows = [(100 * k + i, " ".join(words[n][:6]) + f" {k}", n) for i, n in enumerate(names) for k in range(8)]
+    taught = [x for x in range(10_000, 10_100) if zlib.crc32(str(x).encode()) % language.FOLDS != language.HELD_OUT][:2]
+    rows += [(taught[0], "только один", "one"), (taught[1], "ένα μόνο", "two")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    filters = language.learn(docs)
+    assert filters.languages == sorted([*names, "one", "two"])
+    got = {r["doc_id"]: r["lang_pred"] for r in language.predict(docs.drop("lang"), filters).collect()}
+    assert got == {i: lang for i, _, lang in rows}
