@@ -87,4 +87,27 @@ FROM {out}
 """
 
 
-ORACLES = {"op8_warc": OP8_WARC, "op9_chat": OP9_CHAT, "op11_merkle": merkle()}
+TERMS = r"regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+OP12_SEARCH = f"""
+WITH d AS (
+    SELECT doc_id, {TERMS} AS ts, len(ts) AS n FROM documents WHERE len({TERMS}) > 0
+), s AS (
+    SELECT count(*)::BIGINT AS total, sum(n)::BIGINT AS terms FROM d
+), q AS (
+    SELECT DISTINCT item_id, unnest({TERMS}) AS t FROM benchmark
+), p AS (
+    SELECT doc_id, n, t, count(*)::BIGINT AS tf FROM (SELECT doc_id, n, unnest(ts) AS t FROM d) WHERE t IN (SELECT t FROM q) GROUP BY doc_id, n, t
+), w AS (
+    SELECT t, CAST(floor(1000 * ln((2 * total + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE)) AS BIGINT) AS w FROM p, s GROUP BY t, total
+), r AS (
+    SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + ((90 * n * total) // terms))))) AS BIGINT) AS score
+    FROM q JOIN p USING (t) JOIN w USING (t), s GROUP BY item_id, doc_id
+), k AS (
+    SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM r WHERE score > 0
+)
+SELECT * FROM k WHERE rank <= 10
+"""
+
+
+ORACLES = {"op8_warc": OP8_WARC, "op9_chat": OP9_CHAT, "op11_merkle": merkle(), "op12_search": OP12_SEARCH}
