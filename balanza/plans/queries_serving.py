@@ -539,3 +539,47 @@ def _register_adhoc(name, statement):
 
 for _name, _statement in ADHOC.items():
     _register_adhoc(_name, _statement)
+
+
+#: Statements that must not run, and what they would reach.
+REFUSED = {
+    "shell": "SELECT TRANSFORM(cuenta) USING 'echo ran' AS (o string) FROM dim_cuenta",
+    "jvm": "SELECT reflect/**/('java.lang.System', 'getProperty', 'java.version') FROM dim_cuenta",
+    "jvm by name": "SELECT IDENTIFIER('reflect')('java.lang.System', 'getProperty', 'java.version') FROM dim_cuenta",
+    "jvm in a subquery": "SELECT ruc FROM dim_cooperativa WHERE ruc IN (SELECT reflect('java.lang.System', 'getProperty', cuenta) FROM dim_cuenta)",
+    "file": "SELECT * FROM text.`/etc/hostname`",
+    "file names": "SELECT input_file_name/**/() FROM dim_cuenta",
+    "other view": "SELECT * FROM IDENTIFIER('not_published')",
+    "generator": "SELECT explode(sequence(1, 1000)) AS x FROM dim_cuenta",
+    "command": "DROP VIEW dim_cuenta",
+}
+
+
+@query("adhoc_refused", sql(", probe(caso) AS (VALUES " + ", ".join(f"('{k}')" for k in REFUSED)
+    + ") SELECT caso, true AS rechazado, (SELECT count(*) FROM dim) AS entidades FROM probe", "dim"))
+def adhoc_refused(spark, sf_dir):
+    """Each statement is tried over the published tables; afterwards these are all still there."""
+    s = star(spark, sf_dir)
+    surface.register_views({"dim_cooperativa": s.dim_entity, "dim_cuenta": s.dim_account, "fact_indicadores": s.fact})
+    spark.table("dim_cuenta").createOrReplaceTempView("not_published")
+    tried = [(case, surface.try_adhoc(spark, statement).columns == ["error"]) for case, statement in REFUSED.items()]
+    left = surface.adhoc(spark, "SELECT count(*) AS n FROM dim_cooperativa").first().n
+    return spark.createDataFrame([(case, refused, left) for case, refused in tried], "caso string, rechazado boolean, entidades bigint")
+
+
+_CATALOGUE = {
+    "dim_cooperativa": "ruc string, razon_social string, segmento string, primera_fecha date, ultima_fecha date, meses_activo smallint, estado string",
+    "dim_cuenta": "cuenta string, descripcion_cuenta string, nivel smallint",
+    "fact_indicadores": "fecha_corte date, ruc string, activo_total decimal(20,4), patrimonio decimal(20,4), cartera_bruta decimal(20,4), depositos decimal(20,4), "
+    "capitalizacion_pct decimal(20,4), morosidad_pct decimal(20,4), cobertura_pct decimal(20,4), roa_pct decimal(20,4), roe_pct decimal(20,4), nim_pct decimal(20,4), "
+    "liquidez_ampliada decimal(20,4), eficiencia_op_pct decimal(20,4), apalancamiento decimal(20,4), intermediacion decimal(20,4), camel_score decimal(5,3), rating_camel string",
+}
+
+
+@query("column_catalogue", "SELECT * FROM (VALUES " + ", ".join(
+    "('{}', '{}', '{}')".format(view, *column.split(" ")) for view, columns in _CATALOGUE.items() for column in columns.split(", ")
+) + ") AS t(vista, columna, tipo)")
+def column_catalogue(spark, sf_dir):
+    s = star(spark, sf_dir)
+    surface.register_views({"dim_cooperativa": s.dim_entity, "dim_cuenta": s.dim_account, "fact_indicadores": s.fact})
+    return surface.column_catalogue(spark)
