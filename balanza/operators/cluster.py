@@ -3,17 +3,17 @@
 from __future__ import annotations
 
 import numpy as np
+from pyspark.ml.clustering import BisectingKMeans
 from pyspark.ml.feature import PCA, StandardScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window, functions as F
 
 from balanza.constants import CLUSTER_FEATURES
 from balanza.functions.ordered import exact_quantiles, global_position
-from balanza.operators import centroids, neighbours
+from balanza.operators import centroids, grid, neighbours
 from balanza.operators.describe import crosstab
 from balanza.operators.stats import robust_scale
-from balanza.session import checked_small, checkpoint
-from balanza.sources.store import append
+from balanza.session import checkpoint
 
 SEED = 42
 
@@ -168,7 +168,7 @@ def silhouettes(labelled: DataFrame, labelings: list[str]) -> DataFrame:
     means = (
         sums.groupBy("id", "etiquetado", "label", "other")
         .agg(F.sum("total").alias("total"))
-        .join(checked_small(sizes), ["etiquetado", "other"])
+        .join(sizes, ["etiquetado", "other"])
         .groupBy("id", "etiquetado", "label")
         .agg(
             F.max(F.when(own, F.col("_size"))).alias("_own"),
@@ -217,7 +217,7 @@ def cluster_moments(labelled: DataFrame, labelings: list[str]) -> dict[str, Clus
     for c in axes:
         square = square + (F.col(c) - F.col(f"m_{c}")) * (F.col(c) - F.col(f"m_{c}"))
     rows = (
-        long.join(checked_small(centres), keys)
+        long.join(centres, keys)
         .groupBy(*keys)
         .agg(
             F.max("_size").alias("size"), F.avg(F.sqrt(square)).alias("spread"), F.sum(square).alias("within"),
@@ -294,100 +294,56 @@ def cluster_members(df: DataFrame, label: str, name: str) -> DataFrame:
 # Density -----------------------------------------------------------------------------------
 
 
-def k_distance(points: DataFrame, k: int = 3) -> DataFrame:
-    """Distance to the k-th nearest row; a row is its own first neighbour."""
-    near = neighbours.per_cell(points, neighbours.nearest_k(k), "id string, near array<double>")
+def k_distance(points: DataFrame, k: int = 3, by: list[str] | None = None) -> DataFrame:
+    """Distance to the k-th nearest row, of the row's own group ``by`` if given; a row is its own first neighbour."""
+    by = by or []
+    near = neighbours.per_cell(points, neighbours.nearest_k(k), "id string, near array<double>", by=by)
     merged = near.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
-    return merged.where(F.size("near") >= k).select("id", F.col("near")[k - 1].alias("k_dist"))
+    found = merged.where(F.size("near") >= k).select("id", F.col("near")[k - 1].alias("k_dist"))
+    return found.join(points.select("id", *by), "id").select(*by, "id", "k_dist") if by else found
 
 
-def dbscan_eps(points: DataFrame, k: int = 3, share: float = 0.25) -> DataFrame:
-    return exact_quantiles(k_distance(points, k), [], "k_dist", [share], ["eps"])
+def dbscan_eps(points: DataFrame, k: int = 3, share: float = 0.25, by: list[str] | None = None) -> DataFrame:
+    return exact_quantiles(k_distance(points, k, by), by or [], "k_dist", [share], ["eps"])
 
 
-def _band(points: DataFrame, radius: float):
-    """Slices of width ``radius`` along the widest axis: rows further apart than one slice cannot be neighbours.
-
-    At radius 0 only equal rows are neighbours, so a band holds the rows of one hash.
-    """
-    axes = neighbours.dimensions(points)
-    if radius == 0:
-        return F.xxhash64(*[F.col(c) + F.lit(0.0) for c in axes])
-    spread = points.agg(*[F.var_pop(c).alias(c) for c in axes]).first()
-    widest = max(axes, key=lambda c: spread[c] or 0.0)
-    return F.floor(F.col(widest) / F.lit(radius))
-
-
-def connected_components(edges: DataFrame) -> DataFrame:
-    """(u, v) edges → (id, label): smallest reachable id, by alternating star contractions.
-
-    Each round links the neighbours of a node to its smallest neighbour, which needs a number of
-    rounds logarithmic in the component size. It ends when every node hangs on one root.
-    """
-    current = checkpoint(edges.where(F.col("u") != F.col("v")).distinct())
-    while not _all_stars(current):
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("_min"))
-        large = both.join(low, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("_min").alias("v"))
-        # Every edge now points from its larger end to a smaller one.
-        down = large.where(F.col("u") != F.col("v")).distinct()
-        small = down.join(down.groupBy("u").agg(F.min("v").alias("_min")), "u")
-        current = checkpoint(
-            small.select(F.col("v").alias("u"), F.col("_min").alias("v"))
-            .unionByName(small.select("u", F.col("_min").alias("v")))
-            .where(F.col("u") != F.col("v"))
-            .distinct()
-        )
-    return current.select(F.greatest("u", "v").alias("id"), F.least("u", "v").alias("label"))
-
-
-def _all_stars(edges: DataFrame) -> bool:
-    """Whether each node is either a root or linked to exactly one smaller root."""
-    links = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    ends = links.select(F.col("u").alias("id"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
-        links.select(F.col("v").alias("id"), F.lit(0).alias("out"), F.lit(1).alias("into"))
-    )
-    degrees = ends.groupBy("id").agg(F.sum("out").alias("out"), F.sum("into").alias("into"))
-    return degrees.where((F.col("out") > 1) | ((F.col("out") == 1) & (F.col("into") > 0))).isEmpty()
-
-
-def dbscan(points: DataFrame, eps: float, min_points: int = 3) -> DataFrame:
+def dbscan(points: DataFrame, eps, min_points: int = 3, by: list[str] | None = None) -> DataFrame:
     """(id, label, nucleo): label is the smallest core id of the cluster, null for noise.
 
+    ``eps`` is a number, or with groups ``by`` a column of ``points`` that is the same within a
+    group; rows of different groups are never neighbours. Rows meet in the cells of a grid.
     Neighbour counts, links between cores and border labels each leave a cell as per-row partial
     results. Core rows of a dense region are linked by a spanning set of edges, not by all pairs.
     """
-    coords = neighbours.dimensions(points)
-    band = _band(points, eps)
-    counts = neighbours.per_cell(points, neighbours.count_within(eps), "id string, n bigint", band)
-    core = counts.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_points).select("id")
-    cores = checkpoint(points.join(core, "id").select("id", *coords))
-    links = neighbours.per_cell(cores, neighbours.links_within(eps), "u string, v string", band, both_ways=False)
-    parts = connected_components(links)
-    labels = cores.join(parts, "id", "left").select("id", *coords, F.coalesce("label", "id").alias("label"), F.lit(True).alias("nucleo"))
+    by = by or []
+    coords, radius = neighbours.dimensions(points), F.col(eps) if isinstance(eps, str) else eps
+    kept = ["id", *coords, *by, *([eps] if isinstance(eps, str) else [])]
+    counts = grid.within(points.select(*kept), radius, grid.neighbour_counts, "id string, n bigint", by)
+    core = counts.groupBy("id").agg(F.sum("n").alias("n")).where(F.col("n") >= min_points).select("id", F.lit(True).alias("nucleo"))
+    marked = checkpoint(points.select(*kept).join(core, "id", "left").na.fill(False, ["nucleo"]))
+    links = grid.within(marked.where("nucleo").drop("nucleo"), radius, grid.local_links, "u string, v string", by)
+    parts = grid.connected_components(links)
+    labels = marked.join(parts, "id", "left").withColumn("label", F.when(F.col("nucleo"), F.coalesce("label", "id")))
     labels = checkpoint(labels)
-    everyone = points.join(labels.select("id", "label", "nucleo"), "id", "left")
-    border = neighbours.per_cell(
-        everyone.select("id", *coords, "label"), neighbours.smallest_label_within(eps), "id string, label string", band
+    border = grid.within(
+        labels.drop("nucleo"), radius, grid.smallest_labels, "id string, label string", by, F.col("label").isNull(), F.col("label").isNotNull()
     )
     nearest = border.groupBy("id").agg(F.min("label").alias("_border"))
-    return (
-        everyone.join(nearest, "id", "left")
-        .select("id", F.coalesce("label", "_border").alias("label"), F.coalesce("nucleo", F.lit(False)).alias("nucleo"))
-    )
+    return labels.join(nearest, "id", "left").select(*by, "id", F.coalesce("label", "_border").alias("label"), "nucleo")
 
 
-def numbered(clusters: DataFrame) -> DataFrame:
-    """DBSCAN labels as 0, 1, ... in the order of their smallest core id; noise is −1."""
-    names = clusters.where(F.col("label").isNotNull()).select("label").distinct()
-    numbers = global_position(names, [F.col("label")], "_number")
-    return clusters.join(numbers, "label", "left").select(
-        "id", F.coalesce(F.col("_number") - 1, F.lit(-1)).alias("cluster"), "nucleo"
+def numbered(clusters: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """DBSCAN labels as 0, 1, ... (per group) in the order of their smallest core id; noise is −1."""
+    by = by or []
+    names = clusters.where(F.col("label").isNotNull()).select(*by, "label").distinct()
+    numbers = global_position(names, [F.col("label")], "_number", by)
+    return clusters.join(numbers, [*by, "label"], "left").select(
+        *by, "id", F.coalesce(F.col("_number") - 1, F.lit(-1)).alias("cluster"), "nucleo"
     )
 
 
-def dbscan_summary(clusters: DataFrame) -> DataFrame:
-    return clusters.agg(
+def dbscan_summary(clusters: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return clusters.groupBy(*(by or [])).agg(
         F.countDistinct("label").alias("clusters"), F.count(F.when(F.col("label").isNull(), 1)).alias("ruido")
     )
 
@@ -395,51 +351,27 @@ def dbscan_summary(clusters: DataFrame) -> DataFrame:
 # Hierarchy ---------------------------------------------------------------------------------
 
 
-def ward_merges(points: DataFrame, finish_rows: int = 512) -> DataFrame:
-    """All merges of Ward's hierarchy as (a, b, altura): cluster ids and merge height.
+def hierarchical(points: DataFrame, k: int = 3, seed: int = SEED) -> DataFrame:
+    """Points with ``label``, the leaf of a divisive tree: the largest cluster is cut in two until there are ``k``.
 
-    Ward's criterion is reducible, so clusters that are each other's nearest may merge at the
-    same time without changing the hierarchy. Each round finds every cluster's nearest in blocked
-    cells and merges the mutual pairs; a merged cluster takes its smaller id. The last clusters,
-    at most ``finish_rows`` centres however many points there are, are merged in one step.
+    Labels are numbered by their centres, so that they repeat between runs. Fewer than ``k``
+    different points give fewer labels.
     """
+    if k < 2:
+        return points.withColumn("label", F.lit(0))
     axes = neighbours.dimensions(points)
-    active = checkpoint(points.select("id", *axes, F.lit(1.0).alias("w")))
-    rounds: list[DataFrame] = []
-    while active.count() > finish_rows:
-        costs = neighbours.per_cell(active, neighbours.cheapest_merge, "id string, other string, cost double")
-        best = costs.groupBy("id").agg(F.min(F.struct("cost", "other")).alias("_m"))
-        nearest = checkpoint(best.select("id", F.col("_m.other").alias("other"), F.col("_m.cost").alias("cost")))
-        back = nearest.select(F.col("id").alias("other"), F.col("other").alias("_back"))
-        mutual = (
-            nearest.join(back, "other")
-            .where((F.col("_back") == F.col("id")) & (F.col("id") < F.col("other")))
-            .select(F.col("id").alias("a"), F.col("other").alias("b"), F.sqrt(F.lit(2.0) * F.col("cost")).alias("altura"))
-        )
-        rounds.append(mutual)
-        moved = active.join(mutual.select(F.col("b").alias("id"), F.col("a").alias("_into")), "id", "left")
-        active = checkpoint(
-            moved.groupBy(F.coalesce("_into", "id").alias("id")).agg(
-                *[(F.sum(F.col(c) * F.col("w")) / F.sum("w")).alias(c) for c in axes], F.sum("w").alias("w")
-            )
-        )
-    rounds.append(active.withColumn("_all", F.lit(0)).groupBy("_all").applyInPandas(neighbours.merge_all, "a string, b string, altura double"))
-    return checkpoint(append(rounds))
-
+    model = BisectingKMeans(k=k, seed=seed, maxIter=50, featuresCol="features", predictionCol="_leaf").fit(_assembled(points))
+    leaves = checkpoint(model.transform(_assembled(points)).drop("features"))
+    centres = leaves.groupBy("_leaf").agg(*[F.avg(c).alias(c) for c in axes])  # k rows
+    number = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*axes, "_leaf")) - 1
+    return leaves.join(F.broadcast(centres.select("_leaf", number.alias("label"))), "_leaf").drop("_leaf")
 
-def hierarchical(points: DataFrame, k: int = 3, merges: DataFrame | None = None) -> DataFrame:
-    """Ward clusters cut to k: every merge but the k−1 highest joins its two sides."""
-    merges = ward_merges(points) if merges is None else merges
-    # A cluster id disappears in exactly one merge, so ``b`` identifies the merge.
-    kept = merges.join(_highest(merges, k - 1).select("b"), "b", "left_anti")
-    parts = connected_components(kept.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    return points.join(parts, "id", "left").withColumn("label", F.coalesce("label", "id"))
 
-
-def _highest(merges: DataFrame, n: int) -> DataFrame:
-    return merges.orderBy(F.col("altura").desc(), F.col("a").desc(), F.col("b").desc()).limit(n)
-
-
-def cut_distance(merges: DataFrame, k: int = 3) -> DataFrame:
-    """Height of the lowest merge that the cut to k undoes."""
-    return _highest(merges, k - 1).agg(F.min("altura").alias("corte"))
+def tree_costs(points: DataFrame, ks: list[int], seed: int = SEED) -> DataFrame:
+    """(k, inercia): the sum of squares within the leaves of the divisive tree, for each number of leaves."""
+    axes = neighbours.dimensions(points)
+    rows = []
+    for k in ks:
+        cut = hierarchical(points, k, seed)
+        rows.append((k, float(cluster_moments(cut.select("id", *axes, "label"), ["label"])["label"].within.sum())))
+    return points.sparkSession.createDataFrame(rows, "k int, inercia double")

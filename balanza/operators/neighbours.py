@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, functions as F
 
-from balanza.session import checked_small, spread
+from balanza.session import spread
 
 BLOCK_ROWS = 4096
 CHUNK_ROWS = 2048
@@ -38,14 +38,18 @@ def to_points(df: DataFrame, id_column: str, features: list[str], keep: list[str
     )
 
 
-def cells(points: DataFrame, band: Column | None = None, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Every point once per cell it takes part in, with its side (0 low block, 1 high block)."""
+def cells(points: DataFrame, band: Column | None = None, block_rows: int = BLOCK_ROWS, by: list[str] | None = None) -> DataFrame:
+    """Every point once per cell it takes part in, with its side (0 low block, 1 high block).
+
+    Rows of different groups ``by`` share no cell.
+    """
+    key = [*(by or []), "_band"]
     banded = points.withColumn("_band", (band if band is not None else F.lit(0)).cast("long"))
-    blocks = banded.groupBy("_band").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_m"))
-    after = blocks.select((F.col("_band") - 1).alias("_band"), F.col("_m").alias("_m_next"))
-    before = blocks.select((F.col("_band") + 1).alias("_band"), F.col("_m").alias("_m_prev"))
-    around = blocks.join(after, "_band", "left").join(before, "_band", "left").na.fill(0, ["_m_next", "_m_prev"])
-    placed = banded.join(checked_small(around), "_band").withColumn("_s", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int"))
+    blocks = banded.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_m"))
+    after = blocks.select(*key[:-1], (F.col("_band") - 1).alias("_band"), F.col("_m").alias("_m_next"))
+    before = blocks.select(*key[:-1], (F.col("_band") + 1).alias("_band"), F.col("_m").alias("_m_prev"))
+    around = blocks.join(after, key, "left").join(before, key, "left").na.fill(0, ["_m_next", "_m_prev"])
+    placed = banded.join(around, key).withColumn("_s", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int"))
 
     def cell(band_key, adjacent, low, high, side):
         return F.struct(
@@ -95,7 +99,10 @@ def _views(pdf: pd.DataFrame, both_ways: bool):
             yield others, rows, between.T
 
 
-def per_cell(points: DataFrame, function, schema: str, band: Column | None = None, both_ways: bool = True, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def per_cell(
+    points: DataFrame, function, schema: str, band: Column | None = None, both_ways: bool = True, block_rows: int = BLOCK_ROWS,
+    by: list[str] | None = None,
+) -> DataFrame:
     """Apply ``function(rows, others, distances) -> DataFrame`` to every cell.
 
     The results are partial: a row appears once per cell (and chunk) and the caller combines
@@ -108,7 +115,8 @@ def per_cell(points: DataFrame, function, schema: str, band: Column | None = Non
         parts = [p for p in parts if len(p)]
         return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
 
-    return spread(cells(points, band, block_rows), *_CELL).groupBy(*_CELL).applyInPandas(run, schema)
+    keys = [*(by or []), *_CELL]
+    return spread(cells(points, band, block_rows, by), *keys).groupBy(*keys).applyInPandas(run, schema)
 
 
 def distance_sums(labelings: list[str]):
@@ -147,89 +155,4 @@ def nearest_k(k: int):
     return function
 
 
-def count_within(radius: float):
-    def function(rows, others, distances):
-        return pd.DataFrame({"id": rows["id"].to_numpy(), "n": (distances <= radius).sum(axis=1)})
-
-    return function
-
-
-def links_within(radius: float):
-    """Edges that keep the cell's ε-graph connected: one per row and component, not one per pair."""
-
-    def function(rows, others, distances):
-        near = distances <= radius
-        ids, other_ids = rows["id"].to_numpy(), others["id"].to_numpy()
-        ranks = np.argsort(np.argsort(np.concatenate([ids, other_ids]), kind="stable"), kind="stable")
-        everyone = np.concatenate([ids, other_ids])
-        none = len(everyone)
-        label, other = ranks[: len(ids)].copy(), ranks[len(ids):].copy()
-        while True:
-            from_rows = np.where(near, label[:, None], none).min(axis=0)
-            new_other = np.minimum(other, from_rows)
-            new_label = np.minimum(label, np.where(near, new_other[None, :], none).min(axis=1))
-            if (new_other == other).all() and (new_label == label).all():
-                break
-            label, other = new_label, new_other
-        by_rank = everyone[np.argsort(ranks)]
-        ends = pd.DataFrame({"u": everyone, "v": by_rank[np.concatenate([label, other])]})
-        return ends[ends["u"] != ends["v"]].drop_duplicates()
-
-    return function
-
-
-def smallest_label_within(radius: float):
-    """Per row: the smallest label among the labelled others within the radius."""
-
-    def function(rows, others, distances):
-        labelled = others["label"].notna().to_numpy()
-        labels = others["label"].to_numpy()[labelled]
-        if not len(labels):
-            return pd.DataFrame({"id": [], "label": []})
-        order = np.argsort(labels)
-        near = (distances[:, labelled] <= radius)[:, order]
-        found = near.any(axis=1)
-        return pd.DataFrame({"id": rows["id"].to_numpy()[found], "label": labels[order][near.argmax(axis=1)][found]})
-
-    return function
-
-
-def cheapest_merge(rows, others, distances):
-    """Per row: the cluster whose merge adds least to the within-cluster sum of squares.
-
-    Equal costs go to the smallest id, which always leaves at least one mutual pair.
-    """
-    w, v = rows["w"].to_numpy(float)[:, None], others["w"].to_numpy(float)[None, :]
-    cost = distances * distances * (w * v / (w + v))
-    ids, other_ids = rows["id"].to_numpy(), others["id"].to_numpy()
-    order = np.argsort(other_ids)
-    cost = np.where(ids[:, None] == other_ids[order][None, :], np.inf, cost[:, order])
-    best = cost.argmin(axis=1)
-    lowest = cost[np.arange(len(ids)), best]
-    found = np.isfinite(lowest)
-    return pd.DataFrame({"id": ids[found], "other": other_ids[order][best[found]], "cost": lowest[found]})
-
-
-def merge_all(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Ward merges of a bounded set of weighted centres, cheapest first."""
-    pdf = pdf.sort_values("id")
-    ids, w = pdf["id"].to_numpy(), pdf["w"].to_numpy(float)
-    centres = pdf[[c for c in pdf.columns if c.startswith("x") and c[1:].isdigit()]].to_numpy(float)
-    gaps = _distances(centres, centres)
-    cost = gaps * gaps * (w[:, None] * w[None, :] / (w[:, None] + w[None, :]))
-    np.fill_diagonal(cost, np.inf)
-    merges = []
-    for _ in range(len(ids) - 1):
-        i, j = sorted(divmod(int(cost.argmin()), len(ids)))
-        merges.append((ids[i], ids[j], float(np.sqrt(2 * cost[i, j]))))
-        centres[i] = (centres[i] * w[i] + centres[j] * w[j]) / (w[i] + w[j])
-        w[i] += w[j]
-        w[j] = np.nan
-        gap = ((centres - centres[i]) ** 2).sum(axis=1)
-        renewed = np.nan_to_num(gap * (w * w[i] / (w + w[i])), nan=np.inf)
-        renewed[i] = np.inf
-        cost[i], cost[:, i], cost[j], cost[:, j] = renewed, renewed, np.inf, np.inf
-    return pd.DataFrame(merges, columns=["a", "b", "altura"])
-
-
 cloudpickle.register_pickle_by_value(sys.modules[__name__])

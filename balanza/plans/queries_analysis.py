@@ -336,8 +336,49 @@ _points_query(
     SELECT id, id IN (SELECT id FROM c) AS nucleo, id NOT IN (SELECT id FROM near) AS ruido FROM pts""",
     lambda points: dbscan_of(points).select("id", "nucleo", F.col("label").isNull().alias("ruido")),
 )
-_points_query("dbscan", None, lambda points: cluster.numbered(dbscan_of(points)))
-_points_query("dbscan_summary", None, lambda points: cluster.dbscan_summary(dbscan_of(points)))
+
+# At each cut by itself: radius, neighbours and numbers never cross dates.
+_CUTS = f""", p AS MATERIALIZED (SELECT *, split_part(id, '|', 2) AS cut FROM pts),
+ near AS MATERIALIZED (SELECT a.cut, a.id AS a, b.id AS b, {_DIST} AS d FROM p a JOIN p b ON a.cut = b.cut),
+ kc AS MATERIALIZED (SELECT cut, a AS id, d AS k_dist FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY d) AS r FROM near) WHERE r = 3),
+ ec AS MATERIALIZED (SELECT cut, quantile_cont(k_dist, 0.25) AS eps FROM kc GROUP BY cut)"""
+_CLUSTERS = _CUTS + """, close AS MATERIALIZED (SELECT n.* FROM near n JOIN ec USING (cut) WHERE d <= eps),
+ core AS MATERIALIZED (SELECT a AS id FROM close GROUP BY a HAVING count(*) >= 3),
+ hop AS MATERIALIZED (SELECT a, b FROM close WHERE a IN (SELECT id FROM core) AND b IN (SELECT id FROM core)),
+ reach AS (SELECT id, id AS r FROM core UNION SELECT reach.id, hop.b FROM reach JOIN hop ON hop.a = reach.r),
+ named AS MATERIALIZED (SELECT id, min(r) AS label FROM reach GROUP BY id),
+ edge AS (SELECT a AS id, min(label) AS label FROM close JOIN named ON named.id = close.b GROUP BY a),
+ lab AS MATERIALIZED (SELECT p.cut, p.id, coalesce(named.label, edge.label) AS label, named.id IS NOT NULL AS nucleo
+   FROM p LEFT JOIN named USING (id) LEFT JOIN edge USING (id))"""
+
+
+def cut_points(spark, sf_dir):
+    """The points with their cut date and the radius of that date."""
+    s = star(spark, sf_dir)
+    dated = points_of(spark, sf_dir).join(s.panel.select(F.concat_ws("|", "ruc", "fecha_corte").alias("id"), F.col("fecha_corte").cast("string").alias("cut")), "id")
+    return checkpoint(dated)
+
+
+def clusters_by_cut(spark, sf_dir):
+    points = cut_points(spark, sf_dir)
+    radii = cluster.dbscan_eps(points, by=["cut"])
+    return cluster.dbscan(points.join(radii, "cut"), "eps", by=["cut"])
+
+
+def _cut_query(name, oracle, function):
+    recursive = sql(_POINTS + oracle, "panel").replace("WITH", "WITH RECURSIVE", 1)
+    query(name, recursive)(function)
+
+
+_cut_query("k_distance_by_cut", _CUTS + " SELECT cut, id, round(k_dist, 6) AS k_dist FROM kc",
+    lambda spark, sf_dir: rounds(cluster.k_distance(cut_points(spark, sf_dir), by=["cut"]), ["k_dist"]))
+_cut_query("dbscan_eps_by_cut", _CUTS + " SELECT cut, round(eps, 6) AS eps FROM ec",
+    lambda spark, sf_dir: rounds(cluster.dbscan_eps(cut_points(spark, sf_dir), by=["cut"]), ["eps"]))
+_cut_query("dbscan", _CLUSTERS + """ SELECT lab.cut, id, CASE WHEN label IS NULL THEN -1 ELSE n END AS cluster, nucleo FROM lab
+   LEFT JOIN (SELECT cut, label, row_number() OVER (PARTITION BY cut ORDER BY label) - 1 AS n FROM (SELECT DISTINCT cut, label FROM lab WHERE label IS NOT NULL)) USING (cut, label)""",
+    lambda spark, sf_dir: cluster.numbered(clusters_by_cut(spark, sf_dir), ["cut"]))
+_cut_query("dbscan_summary", _CLUSTERS + " SELECT cut, count(DISTINCT label) AS clusters, count(*) FILTER (WHERE label IS NULL) AS ruido FROM lab GROUP BY cut",
+    lambda spark, sf_dir: cluster.dbscan_summary(clusters_by_cut(spark, sf_dir), ["cut"]))
 _points_query("pca_scores", None, lambda points: cluster.Components(points).scores())
 _points_query("pca_variance", None, lambda points: cluster.Components(points).variance())
 _points_query("pca_loadings", None, lambda points: cluster.Components(points).loadings(CLUSTER_FEATURES))
@@ -398,43 +439,25 @@ def biplot(spark, sf_dir):
     return cluster.biplot(cluster.Components(points_of(spark, sf_dir)), CLUSTER_FEATURES, fitted(spark, sf_dir)[1])
 
 
-def merges_of(spark, sf_dir):
-    """Ward's hierarchy of the points, built once per source."""
-    s = star(spark, sf_dir)
-    if not hasattr(s, "merges"):
-        s.merges = cluster.ward_merges(points_of(spark, sf_dir))
-    return s.merges
-
-
 @query("hierarchical")
 def hierarchical(spark, sf_dir):
-    return cluster.hierarchical(points_of(spark, sf_dir), 3, merges_of(spark, sf_dir)).select("id", "label")
-
-
-@query("ward_merges")
-def ward_merges(spark, sf_dir):
-    return merges_of(spark, sf_dir)
-
-
-@query("ward_cut_distance")
-def ward_cut_distance(spark, sf_dir):
-    return cluster.cut_distance(merges_of(spark, sf_dir), 3)
+    return cluster.hierarchical(points_of(spark, sf_dir)).select("id", "label")
 
 
 def two_labelings(spark, sf_dir):
-    ward = cluster.hierarchical(points_of(spark, sf_dir), 3, merges_of(spark, sf_dir))
+    tree = cluster.hierarchical(points_of(spark, sf_dir))
     labelled = fitted(spark, sf_dir)[0].withColumnRenamed("label", "K-Means")
-    return checkpoint(labelled.join(ward.select("id", F.col("label").alias("Ward")), "id"))
+    return checkpoint(labelled.join(tree.select("id", F.col("label").alias("Jerarquico")), "id"))
 
 
 @query("validation_table")
 def validation_table(spark, sf_dir):
-    return cluster.validation_table(two_labelings(spark, sf_dir), ["K-Means", "Ward"])
+    return cluster.validation_table(two_labelings(spark, sf_dir), ["K-Means", "Jerarquico"])
 
 
-@query("kmeans_vs_ward")
-def kmeans_vs_ward(spark, sf_dir):
-    return cluster.adjusted_rand(two_labelings(spark, sf_dir), "K-Means", "Ward")
+@query("kmeans_vs_hierarchical")
+def kmeans_vs_hierarchical(spark, sf_dir):
+    return cluster.adjusted_rand(two_labelings(spark, sf_dir), "K-Means", "Jerarquico")
 
 
 # Time series ---------------------------------------------------------------------------------

@@ -70,15 +70,3 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     """
     return df.repartition(2 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
-
-SMALL_ROWS = 10_000
-
-
-def checked_small(df: DataFrame) -> DataFrame:
-    """``df`` as a local table when it has at most ``SMALL_ROWS`` rows, else unchanged.
-
-    Joining many rows to a few hot keys should not shuffle the many rows. A local table has an
-    exact size, so Spark broadcasts it below its threshold; a larger one joins by shuffle.
-    """
-    rows = df.limit(SMALL_ROWS + 1).collect()
-    return df.sparkSession.createDataFrame(rows, df.schema) if len(rows) <= SMALL_ROWS else df

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from balanza.operators import centroids, cluster, neighbours
+from balanza.operators import centroids, cluster, grid, neighbours
 
 BLOCK = 16
 
@@ -10,7 +10,8 @@ BLOCK = 16
 @pytest.fixture()
 def small_blocks(monkeypatch):
     """Several cells, chunks and views even for a small fixture."""
-    monkeypatch.setattr(neighbours.per_cell, "__defaults__", (None, True, BLOCK))
+    monkeypatch.setattr(neighbours.per_cell, "__defaults__", (None, True, BLOCK, None))
+    monkeypatch.setattr(grid.within, "__defaults__", (None, None, None, BLOCK))
     monkeypatch.setattr(neighbours, "CHUNK_ROWS", 7)
 
 
@@ -89,41 +90,67 @@ def test_dbscan(spark, blobs, small_blocks, eps):
 
 def test_connected_components(spark):
     chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(40)] + [("a", "b"), ("c", "b"), ("hub", "x1"), ("hub", "x2"), ("x3", "hub"), ("q", "q")]
-    rows = {r.id: r.label for r in cluster.connected_components(spark.createDataFrame(chain, "u string, v string")).collect()}
+    rows = {r.id: r.label for r in grid.connected_components(spark.createDataFrame(chain, "u string, v string")).collect()}
     assert {rows[f"n{i:03d}"] for i in range(1, 41)} == {"n000"} and rows["b"] == rows["c"] == "a"
     assert rows["x1"] == rows["x2"] == rows["x3"] == "hub"
 
 
-def brute_ward(x):
-    members = {i: [i] for i in range(len(x))}
-    heights = []
-    while len(members) > 1:
-        best = None
-        for i in members:
-            for j in members:
-                if i < j:
-                    a, b = x[members[i]], x[members[j]]
-                    cost = len(a) * len(b) / (len(a) + len(b)) * ((a.mean(axis=0) - b.mean(axis=0)) ** 2).sum()
-                    if best is None or cost < best[0]:
-                        best = (cost, i, j)
-        heights.append(np.sqrt(2 * best[0]))
-        members[best[1]] += members.pop(best[2])
-        if len(members) == 3:
-            three = sorted(sorted(m) for m in members.values())
-    return heights, three
-
-
-def test_ward(spark, small_blocks):
-    x = np.random.default_rng(6).normal(size=(45, 2)) * [1, 3]
-    heights, three = brute_ward(x)
-    for finish in (512, 4):
-        merges = cluster.ward_merges(frame(spark, x), finish)
-        assert sorted(r.altura for r in merges.collect()) == pytest.approx(heights)
-        assert cluster.cut_distance(merges, 3).first().corte == pytest.approx(heights[-2])
-        found = {}
-        for r in cluster.hierarchical(frame(spark, x), 3, merges).collect():
-            found.setdefault(r.label, []).append(int(r.id[1:]))
-        assert sorted(sorted(m) for m in found.values()) == three
+def test_components_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(grid, "EDGES_A_TASK", 5)
+    chain = [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(60)] + [("hub", f"x{i}") for i in range(20)] + [("a", "b")]
+    edges = spark.createDataFrame(chain, "u string, v string").repartition(6)
+    rows = {r.id: r.label for r in grid.connected_components(edges).collect()}
+    assert rows == {**{f"n{i:03d}": "n000" for i in range(61)}, **{f"x{i}": "hub" for i in range(20)}, "hub": "hub", "a": "a", "b": "a"}
+    assert grid.connected_components(edges.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("crowded", [False, True])
+def test_dbscan_by_group(spark, blobs, small_blocks, crowded):
+    """The same points at three dates, with a radius each: no date sees another's."""
+    radii = {"d1": 0.3, "d2": 3.0, "d3": 0.0}
+    x = np.vstack([blobs, np.full((60, 2), 2.5)]) if crowded else blobs
+    rows = [(f"{d}{i:04d}", *map(float, v), d, r) for d, r in radii.items() for i, v in enumerate(x)]
+    points = spark.createDataFrame(rows, "id string, x0 double, x1 double, fecha string, eps double")
+    got = {r.id: (r.label, r.nucleo, r.fecha) for r in cluster.dbscan(points, "eps", by=["fecha"]).collect()}
+    for d, r in radii.items():
+        labels, core = brute_dbscan(x, r, 3)
+        for i in range(len(x)):
+            assert got[f"{d}{i:04d}"] == (None if labels[i] is None else f"{d}{labels[i]:04d}", bool(core[i]), d)
+    summary = {r.fecha: (r.clusters, r.ruido) for r in cluster.dbscan_summary(cluster.dbscan(points, "eps", by=["fecha"]), ["fecha"]).collect()}
+    labels, _ = brute_dbscan(x, 3.0, 3)
+    assert summary["d2"] == (len(set(labels) - {None}), labels.count(None))
+
+
+def test_cells_of_the_grid(spark):
+    """Rows that are far apart share no cell, and a crowded cell is cut."""
+    rng = np.random.default_rng(2)
+    x = np.vstack([rng.uniform(0, 100, size=(400, 3)), np.full((200, 3), 50.0)])
+    marked = frame(spark, x).withColumns({"_r": F.lit(1.0), "_target": F.lit(True), "_other": F.lit(True)})
+    parts = grid._cells(marked, [], 32)
+    sizes = parts.groupBy("_g0", "_g1", "_low", "_high").agg(F.count_if("_as_target").alias("a"), F.count_if(~F.col("_as_target")).alias("b"))
+    most = sizes.agg(F.max("a"), F.max("b"), F.sum(F.col("a") * F.col("b"))).first()
+    assert most[0] < 80 and most[1] < 80 and most[2] < 600 * 600 / 5
+
+
+def test_k_distance_by_group(spark, blobs, small_blocks):
+    rows = [(f"{d}{i:04d}", *map(float, v), d) for d in ("a", "b") for i, v in enumerate(blobs)]
+    points = spark.createDataFrame(rows, "id string, x0 double, x1 double, fecha string")
+    want = list(np.sort(gaps(blobs), axis=1)[:, 2])
+    got = cluster.k_distance(points, by=["fecha"]).orderBy("id").collect()
+    assert [r.k_dist for r in got] == pytest.approx(want * 2)
+    assert [r.eps for r in cluster.dbscan_eps(points, by=["fecha"]).collect()] == pytest.approx([np.quantile(want, 0.25)] * 2)
+
+
+def test_divisive_tree(spark, blobs):
+    points = frame(spark, blobs[:75])
+    label = np.array([r.label for r in cluster.hierarchical(points, 3).orderBy("id").collect()])
+    assert sorted(np.bincount(label)) == [25, 25, 25] and len({label[0], label[30], label[60]}) == 3
+    again = cluster.hierarchical(points.repartition(5), 3).orderBy("id").collect()
+    assert [r.label for r in again] == list(label)
+    costs = [r.inercia for r in cluster.tree_costs(points, [1, 2, 3]).orderBy("k").collect()]
+    x = blobs[:75]
+    assert costs[0] == pytest.approx(((x - x.mean(axis=0)) ** 2).sum()) and costs[0] > costs[1] > costs[2]
+    assert cluster.hierarchical(frame(spark, [[1.0, 1.0]] * 5), 3).select("label").distinct().count() == 1
 
 
 def test_indices(spark, blobs):
