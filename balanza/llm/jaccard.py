@@ -159,7 +159,7 @@ def prefix_size(n: int, numerator: int, denominator: int) -> int:
 
 
 def points(docs: DataFrame, classes: np.ndarray, words: int, numerator: int, denominator: int, key: str, text: str) -> DataFrame:
-    """(key, n, set_id, point, prefix) of each row; prefix is null for a set that its task sent before.
+    """(key, text_hash, n, set_id, point, prefix) of each row; prefix is null for a set that its task sent before.
 
     Sets are equal when their 64-bit ids are. ``set_id`` is null for an empty set.
     """
@@ -189,15 +189,15 @@ def points(docs: DataFrame, classes: np.ndarray, words: int, numerator: int, den
                     prefixes.append(flat[a:b][np.argpartition(order[a:b], size - 1)[:size]].view(np.int64))
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, end - first), pa.array(counts.astype(np.int64)),
+                        batch.column(0).slice(first, end - first), batch.column(2).slice(first, end - first), pa.array(counts.astype(np.int64)),
                         pa.array(ids.view(np.int64), mask=~valid), pa.array(vectors, pa.binary()),
                         pa.array(prefixes, pa.list_(pa.int64())),
                     ],
-                    names=[key, "n", "set_id", "point", "prefix"],
+                    names=[key, "text_hash", "n", "set_id", "point", "prefix"],
                 )
 
-    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, n bigint, set_id bigint, point binary, prefix array<bigint>"
-    return docs.select(key, text).mapInArrow(run, schema)
+    schema = f"`{key}` {docs.schema[key].dataType.simpleString()}, text_hash bigint, n bigint, set_id bigint, point binary, prefix array<bigint>"
+    return docs.select(key, text, F.xxhash64(F.col(text))).mapInArrow(run, schema)
 
 
 def meeting_groups(found: DataFrame, numerator: int, denominator: int) -> DataFrame:
@@ -418,21 +418,26 @@ def with_roots(nodes: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, found: DataFrame, wanted: DataFrame, words: int, key: str, text: str) -> DataFrame:
-    """(set_id, shingles) of the sets in ``wanted (set_id)``: the texts of one row each, hashed again."""
+    """(set_id, shingles) of the sets in ``wanted (set_id)``: the texts of one row each, hashed again.
+
+    A row is found again by its key and the hash of its text, so rows that share a key, null
+    included, are not joined with each other; of rows that are equal in both one is read.
+    """
     owner = found.where(F.col("point").isNotNull()).join(wanted, "set_id").groupBy("set_id").agg(
-        F.min(key).alias("_owner")
-    )
+        F.min(F.struct(F.col("text_hash").alias("_hash"), F.col(key).alias("_owner"))).alias("_row")
+    ).select("set_id", "_row.*")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, end, flat, counts in shingle_steps(batch.column(1), words):
                 ids = batch.column(0).slice(first, end - first)
-                # Another row may have the owner's key; its set is not the one that is wanted.
+                # Two texts may have one hash; the set of the other is not the one that is wanted.
                 own = pa.array(set_ids(flat, counts).view(np.int64) == ids.to_numpy())
                 lists = list_array(counts, signed(flat))
                 yield pa.RecordBatch.from_arrays([ids.filter(own), lists.filter(own)], names=["set_id", "shingles"])
 
-    texts = docs.join(owner, F.col(key).eqNullSafe(F.col("_owner"))).select("set_id", F.col(text))
+    same = (F.xxhash64(F.col(text)) == F.col("_hash")) & F.col(key).eqNullSafe(F.col("_owner"))
+    texts = docs.select(F.col(key), F.col(text)).join(owner, same).select("set_id", F.col(text)).dropDuplicates(["set_id", text])
     return texts.mapInArrow(run, "set_id bigint, shingles array<bigint>")
 
 

@@ -56,6 +56,54 @@ def test_components(spark):
     assert got == {1: 1, 2: 1, 3: 1, 7: 1, 8: 1, 9: 1, 20: 20, 21: 20}
 
 
+@pytest.mark.parametrize("a_task", [200_000, 10])
+def test_components_of_chains_stars_and_chance(spark, monkeypatch, a_task):
+    monkeypatch.setattr(graph, "EDGES_A_TASK", a_task)
+    chance = random.Random(8)
+    edges = [(i, i + 1) for i in range(0, 40)] + [(100, 101 + i) for i in range(30)] + [(299, 200 + i) for i in range(30)]
+    edges += [(chance.randrange(1000, 1100), chance.randrange(1000, 1100)) for _ in range(60)] + [(-5, 3), (700, 700)]
+    root = {}
+    for e in edges:
+        for v in e:
+            root.setdefault(v, v)
+    for a, b in edges:
+        low, high = sorted((root[a], root[b]))
+        root = {v: low if r == high else r for v, r in root.items()}
+    linked = {v for a, b in edges if a != b for v in (a, b)}
+    chance.shuffle(edges)
+    got = dict(tuple(r) for r in graph.components(spark.createDataFrame(edges, "a bigint, b bigint").repartition(7)).collect())
+    assert got == {v: root[v] for v in linked}
+    assert graph.components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_jaccard_of_null_and_repeated_keys(spark):
+    chance = random.Random(2)
+    pool = [f"w{i}" for i in range(300)]
+    texts = [" ".join(chance.choice(pool) for _ in range(60)) for _ in range(40)]
+    texts += [f"{t} tail" for t in texts[:20]] + texts[:10]
+    keys = [None if i % 3 else (i // 30) for i in range(len(texts))]
+    docs = spark.createDataFrame(list(zip(keys, texts)), "doc_id bigint, text string")
+    got = sorted((tuple(r) for r in jaccard.classes(docs).collect()), key=repr)
+    want = []
+    for key, (n, first) in zip(keys, brute_classes(texts, 5, 80)):
+        members = [k for k, (_, r) in zip(keys, brute_classes(texts, 5, 80)) if r == first and k is not None]
+        want.append((key, n, min(members) if members else None))
+    assert got == sorted(want, key=repr)
+    # Rows that share a key are not joined with each other: each wanted set is read once.
+    ranks = jaccard.frequency_classes(docs, 5)
+    found = jaccard.points(docs, ranks, 5, 80, 100, "doc_id", "text")
+    sets = jaccard.sets_of(docs, found, found.select("set_id").distinct(), 5, "doc_id", "text")
+    assert sets.count() == len(set(texts))
+
+
+def test_jaccard_of_long_texts(spark):
+    chance = random.Random(6)
+    long = [f"w{chance.randrange(5000)}" for _ in range(150_000)]
+    texts = [" ".join(long), " ".join([*long[:-1], "other"]), "short one here", "x " * 200_000]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in jaccard.classes(table(spark, texts)).collect()}
+    assert [got[i] for i in range(4)] == brute_classes(texts, 5, 80)
+
+
 def brute_repeats(texts, length):
     raw = [(t or "").encode() for t in texts]
     seen = Counter(r[i : i + length] for r in raw for i in range(len(r) - length + 1))
@@ -95,6 +143,18 @@ def test_transform_against_counting():
             assert got.tolist() == [seen[p[i : i + length]] > 1 for i in range(max(len(p) - length + 1, 0))]
 
 
+def test_windows_of_equal_and_nested_pieces():
+    chance = random.Random(9)
+    passage = bytes(chance.randrange(97, 105) for _ in range(60))
+    pieces = [bytes(chance.randrange(97, 105) for _ in range(chance.randrange(30))) + passage[chance.randrange(20) : 60 - chance.randrange(20)] for _ in range(40)]
+    pieces += [passage] * 5 + [pieces[0]] * 2 + [b"a" * 80]
+    pieces = [p for p in pieces if len(p) >= 12]
+    seen = Counter(p[i : i + 12] for p in pieces for i in range(len(p) - 11))
+    for piece, flags in zip(pieces, repeats.repeated_windows(pieces, 12)):
+        assert flags.tolist() == [seen[piece[i : i + 12]] > 1 for i in range(len(piece) - 11)]
+    assert [f.tolist() for f in repeats.repeated_windows([b"abcdefghijklmnop"], 12)] == [[False] * 5]
+
+
 def test_decontamination(spark):
     chance = random.Random(6)
     def prose(n):
