@@ -55,11 +55,23 @@ def clean_text(c) -> Column:
     return F.btrim(F.trim(as_col(c)), F.lit('"'))
 
 
-def parse_amount(c) -> Column:
-    """Decimal comma or point; anything that is not one plain number counts as 0."""
+#: Balances keep four decimals; the type holds 34 digits before them.
+AMOUNT = "decimal(38,4)"
+
+
+def _number(c) -> Column:
     text = F.replace(F.trim(as_col(c)), F.lit(","), F.lit("."))
-    number = F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text)
-    return F.coalesce(number.try_cast("decimal(20,4)"), F.lit(0).cast("decimal(20,4)"))
+    return F.when(text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"), text).try_cast(AMOUNT)
+
+
+def is_amount(c) -> Column:
+    """Whether a text is one plain number, with decimal comma or point, that a balance can hold."""
+    return _number(c).isNotNull()
+
+
+def parse_amount(c) -> Column:
+    """Decimal comma or point; anything that is not one plain number counts as 0 (``is_amount`` tells which)."""
+    return F.coalesce(_number(c), F.lit(0).cast(AMOUNT))
 
 
 DATE_FORMATS = ("yyyy-MM-dd", "yyyy/MM/dd", "M/d/yyyy", "d/M/yyyy", "d-M-yyyy", "yyyyMMdd")

@@ -7,8 +7,9 @@ import sys
 import zipfile
 
 import pandas as pd
+from pyarrow import fs
 from pyspark import cloudpickle
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from balanza.constants import SEGMENTS
 from balanza.functions.scalar import month_ends, month_label, next_months, short_name, truncate
@@ -17,7 +18,7 @@ from balanza.plans.catalog import query
 from balanza.plans.oracle import quoted, rounded, sql
 from balanza.plans.queries_serving import doubles
 from balanza.plans.star import star
-from balanza.session import scratch_path
+from balanza.session import checkpoint, scratch_path
 from balanza.sources import store, text
 
 
@@ -229,24 +230,89 @@ def ingest_refresh_year(spark, sf_dir):
     return describe.load_report(store.read_ledger(spark, path))
 
 
-def _archive(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One archive per entity and year; its first member lacks the required columns."""
-    first = pdf.iloc[0]
-    body = pdf.drop(columns=["anio"]).to_csv(sep=";", index=False)
-    packed = io.BytesIO()
-    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
-        z.writestr("leame.txt", "NOTA\nsin datos\n")
-        z.writestr("balance.csv", body.encode("latin-1"))
-    path = f"raw/{first['anio']} {first['RUC']}.zip"
-    return pd.DataFrame({"path": [path], "content": [packed.getvalue()]})
+def _write_archives(raw, root: str, members) -> int:
+    """Write one ZIP file per entity and year (bounded by cuts × chart of accounts), in tasks; ``members(csv text)`` lists its files."""
+
+    def pack(pdf: pd.DataFrame) -> pd.DataFrame:
+        first = pdf.iloc[0]
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, body in members(pdf.drop(columns=["anio"]).to_csv(sep=";", index=False)):
+                z.writestr(name, body.encode("latin-1"))
+        files, folder = fs.FileSystem.from_uri(root)
+        files.create_dir(f"{folder}/archivos", recursive=True)
+        with files.open_output_stream(f"{folder}/archivos/{first['anio']} {first['RUC']}.zip") as out:
+            out.write(packed.getvalue())
+        return pd.DataFrame({"bytes": [len(packed.getvalue())]})
+
+    return raw.groupBy("RUC", "anio").applyInPandas(pack, "bytes bigint").agg(F.sum("bytes")).first()[0]
 
 
 @query("ingest_zip", sql(_LEDGER_OUT))
 def ingest_zip(spark, sf_dir):
-    """Pack each entity's year (bounded by cuts × chart of accounts), then read the archives."""
-    raw = _raw_text(star(spark, sf_dir).ledger, True)
-    archives = raw.groupBy("RUC", "anio").applyInPandas(_archive, "path string, content binary")
-    return doubles(text.conform(text.zip_rows(archives)))
+    """Archives whose first member lacks the required columns and whose last repeats the ledger."""
+    root = scratch_path(spark, "zips")
+    _write_archives(
+        _raw_text(star(spark, sf_dir).ledger, True), root,
+        lambda csv: [("leame.txt", "NOTA\nsin datos\n"), ("balance.csv", csv), ("copia.csv", csv)],
+    )
+    return doubles(text.read_ledger_tree(spark, root))
+
+
+@query(
+    "ingest_refused",
+    sql("""SELECT anio, ruc, CAST(count(*) AS BIGINT) AS filas, 'datos.csv: late, leame.txt: missing fecha_corte, cuenta, saldo_usd' AS motivos
+     FROM ledger WHERE CAST(anio AS INTEGER) % 2 = 0 GROUP BY anio, ruc
+     UNION ALL SELECT DISTINCT anio, ruc, CAST(0 AS BIGINT), 'archive: none' FROM ledger WHERE CAST(anio AS INTEGER) % 2 = 1"""),
+)
+def ingest_refused(spark, sf_dir):
+    """Even years: a member that breaks off after all its rows, then a whole one. Odd years: only the broken one."""
+    raw, root = _raw_text(star(spark, sf_dir).ledger, True), scratch_path(spark, "zips")
+    broken = lambda csv: csv + '"abierto;'
+    even = F.col("anio").cast("int") % 2 == 0
+    _write_archives(raw.where(even), root, lambda csv: [("leame.txt", "NOTA\nx\n"), ("datos.csv", broken(csv)), ("todo.csv", csv)])
+    _write_archives(raw.where(~even), root, lambda csv: [("datos.csv", broken(csv))])
+    tree = text.scan_tree(spark, root)
+    name = F.try_url_decode(F.col("path"))
+    part = F.regexp_extract(name, r"!([^!]+)$", 1)
+    why = F.when(F.col("motivo").startswith("Error tokenizing"), "late").when(F.col("motivo") == "no readable member", "none").otherwise(F.col("motivo"))
+    said = F.concat_ws(": ", F.when(part == "", "archive").otherwise(part), why)
+    refused = text.refused_files(spark, tree).select(
+        F.regexp_extract(name, r"([0-9]{4}) ([0-9]+)[.]zip", 1).alias("anio"), F.regexp_extract(name, r"([0-9]{4}) ([0-9]+)[.]zip", 2).alias("ruc"),
+        part.alias("part"), said.alias("said"),
+    )
+    # In odd years the member's own reason comes besides the archive's.
+    told = refused.where((F.col("anio").cast("int") % 2 == 0) | (F.col("part") == "")).groupBy("anio", "ruc").agg(
+        F.array_join(F.array_sort(F.collect_list("said")), ", ").alias("motivos")
+    )
+    rows = text.read_ledger_tree(spark, root).groupBy("anio", "ruc").agg(F.count(F.lit(1)).alias("filas"))
+    return told.join(rows, ["anio", "ruc"], "left").select("anio", "ruc", F.coalesce("filas", F.lit(0)).alias("filas"), "motivos")
+
+
+@query(
+    "rejected_amounts",
+    sql("""SELECT l_returnflag AS segmento, CAST(count(*) AS BIGINT) AS filas, count(*) FILTER (WHERE l_linenumber % 4 = 3) AS ceros,
+     CAST(sum(CASE l_linenumber % 4 WHEN 0 THEN CAST('123456789' || lpad(CAST(l_orderkey AS VARCHAR), 8, '0') || '.25' AS DECIMAL(38,4))
+       WHEN 1 THEN CAST('12345678901234567' || lpad(CAST(l_orderkey AS VARCHAR), 8, '0') AS DECIMAL(38,4))
+       WHEN 2 THEN CAST(l_linenumber AS DECIMAL(38,4)) ELSE 0 END) AS VARCHAR) AS total,
+     (SELECT count(*) FROM lineitem WHERE l_linenumber % 4 = 3) AS rechazados FROM lineitem GROUP BY l_returnflag"""),
+)
+def rejected_amounts(spark, sf_dir):
+    """Balances of 17 and 25 digits stay as they are; what is no number is 0 and counted beside the rows."""
+    lines, key = spark.read.parquet(f"{sf_dir}/lineitem.parquet"), F.lpad(F.col("l_orderkey").cast("string"), 8, "0")
+    kind = F.col("l_linenumber") % 4
+    amount = (
+        F.when(kind == 0, F.concat(F.lit("123456789"), key, F.lit(",25"))).when(kind == 1, F.concat(F.lit("12345678901234567"), key))
+        .when(kind == 2, F.concat(F.lit(" +"), F.col("l_linenumber").cast("string"), F.lit("e0 "))).otherwise(F.lit("n/d"))
+    )
+    watch = Observation()
+    ledger = text.conform(lines.select(F.col("l_returnflag").alias("segmento"), amount.alias("saldo_usd"), F.lit("x").alias("anio")), watch)
+    sums = checkpoint(
+        ledger.groupBy("segmento").agg(
+            F.count(F.lit(1)).alias("filas"), F.count_if(F.col("saldo_usd") == 0).alias("ceros"), F.sum("saldo_usd").cast("string").alias("total")
+        )
+    )
+    return sums.withColumn("rechazados", F.lit(watch.get["rechazados"]).cast("bigint"))
 
 
 @query(

@@ -7,6 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from balanza.constants import LEDGER_COLUMNS
+from balanza.functions.scalar import AMOUNT
 
 
 def clustered(ledger: DataFrame) -> DataFrame:
@@ -16,7 +17,9 @@ def clustered(ledger: DataFrame) -> DataFrame:
     entity is spread over several tasks, which hashing by year would not do.
     """
     order = ["anio", "fecha_corte", "ruc", "cuenta"]
-    return ledger.select(*LEDGER_COLUMNS).repartitionByRange(*order).sortWithinPartitions(*order)
+    # A year that is replaced must have the type of those that stay.
+    typed = ledger.select(*LEDGER_COLUMNS).withColumn("saldo_usd", F.col("saldo_usd").cast(AMOUNT))
+    return typed.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def write_ledger(ledger: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -39,7 +42,7 @@ def refresh_year(ledger: DataFrame, path: str, anio: str) -> None:
 
 LEDGER_SCHEMA = (
     "fecha_corte date, segmento string, ruc string, razon_social string, "
-    "cuenta string, descripcion_cuenta string, saldo_usd decimal(20,4), anio string"
+    f"cuenta string, descripcion_cuenta string, saldo_usd {AMOUNT}, anio string"
 )
 
 

@@ -2,6 +2,8 @@ import datetime as dt
 import zipfile
 
 import pytest
+from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from balanza.operators import describe
 from balanza.sources import store, text
@@ -60,7 +62,60 @@ def test_tree(spark, tree):
 
 def test_refused(spark, tree):
     refused = {r.path.rsplit("/", 1)[1]: r.motivo for r in text.refused_files(spark, text.scan_tree(spark, tree)).collect()}
-    assert refused == {"malo.csv": "missing fecha_corte, saldo_usd", "blanco.txt": "no header", "notas.pdf": "unknown extension"}
+    assert refused == {
+        "malo.csv": "missing fecha_corte, saldo_usd", "blanco.txt": "no header", "notas.pdf": "unknown extension",
+        "2010%20balances.zip!indice.txt": "missing fecha_corte, cuenta, saldo_usd", "2011%20roto.zip": "File is not a zip file",
+    }
+
+
+def archive(path, **members):
+    path.parent.mkdir(parents=True, exist_ok=True)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for name, body in members.items():
+            z.writestr(name.replace("_", "."), body)
+
+
+def test_archives_are_read_as_a_whole_or_not_at_all(spark, tmp_path):
+    head, row = "FECHA CORTE;RUC;CUENTA;SALDO USD\n", "2010-12-31;{};1;{}\n"
+    many = "".join(row.format(f"R{i}", i) for i in range(120_000))
+    archive(tmp_path / "z/2010 a.zip", datos_csv=head + many + '"abierto;', otro_csv=head + row.format("0190", 7))
+    archive(tmp_path / "z/2011 b.zip", datos_csv=head + many + '"abierto;')
+    archive(tmp_path / "z/2012 c.zip", vacio_csv="", otro_csv=head + row.format("0191", 8))
+    cut = (tmp_path / "z/2010 a.zip").read_bytes()
+    (tmp_path / "z/2013 d.zip").write_bytes(cut[: len(cut) // 2])
+    spoilt = bytearray(cut)
+    spoilt[2000:2400] = bytes(400)
+    (tmp_path / "z/2014 e.zip").write_bytes(bytes(spoilt))
+    tree = text.scan_tree(spark, str(tmp_path))
+    rows = sorted((r.anio, r.ruc, float(r.saldo_usd)) for r in text.read_ledger_tree(spark, str(tmp_path)).collect())
+    assert rows == [("2010", "0190", 7.0), ("2012", "0191", 8.0), ("2014", "0190", 7.0)]
+    refused = {r.path.rsplit("/", 1)[1]: r.motivo for r in text.refused_files(spark, tree).collect()}
+    assert set(refused) == {
+        "2010%20a.zip!datos.csv", "2011%20b.zip!datos.csv", "2011%20b.zip", "2012%20c.zip!vacio.csv", "2013%20d.zip", "2014%20e.zip!datos.csv",
+    }
+    assert "EOF inside string" in refused["2010%20a.zip!datos.csv"] and refused["2011%20b.zip"] == "no readable member"
+
+
+def test_long_headers_and_many_layouts(spark, tmp_path):
+    (tmp_path / "2015").mkdir()
+    wide = ";".join(f"OTRA COLUMNA {i}" for i in range(6_000))
+    assert len(wide) > 100_000
+    for i in range(5):
+        body = f"{wide};FECHA CORTE;CUENTA;RUC;SALDO\n" + ";" * 6_000 + f"2015-01-31;1;{i};{i},5\n"
+        (tmp_path / f"2015/ancho{i}.csv").write_text(body if i % 2 else body.replace("OTRA", "UNA"))
+    (tmp_path / "2015/otro.TXT").write_text("RUC\tCUENTA\tFECHA CORTE\tSALDO\n9\t2\t31/01/2015\t4\nRUC\tCUENTA\tFECHA CORTE\tSALDO\n\n8\t2\t31/01/2015\t4\n")
+    rows = sorted((r.ruc, r.cuenta, float(r.saldo_usd), r.anio) for r in text.read_ledger_tree(spark, str(tmp_path)).collect())
+    assert rows == [(str(i), "1", i + 0.5, "2015") for i in range(5)] + [("8", "2", 4.0, "2015"), ("9", "2", 4.0, "2015")]
+
+
+def test_balances_of_any_size_and_their_rejects(spark):
+    given = {"12345678901234567": "12345678901234567.0000", "-1234567890123456789012345,5": "-1234567890123456789012345.5000", "1e3": "1000.0000",
+             "9" * 35: "0.0000", "1.234,5": "0.0000", "": "0.0000", None: "0.0000", "abc": "0.0000"}
+    raw = spark.createDataFrame([(k, "a") for k in given], "saldo_usd string, anio string")
+    watch = Observation()
+    got = text.conform(raw, watch).select(F.col("saldo_usd").cast("string")).collect()
+    assert [r[0] for r in got] == list(given.values())
+    assert watch.get == {"filas": 8, "rechazados": 5}
 
 
 def test_empty_tree(spark, tmp_path):
