@@ -35,8 +35,8 @@ INDEX_ROWS = 20_000
 SHORT_PART = 1 / 32
 #: Documents of a window.
 WINDOW = 1024
-#: Terms of the queries that run in one pass over the index; more queries take more passes.
-BLOCK_TERMS = 500_000
+#: Characters of the query terms that run in one pass over the index, and are broadcast; more queries take more passes.
+BLOCK_CHARS = 4_000_000
 
 INDEX = "shard bigint, term string, rows bigint, terms bigint, gaps array<int>, counts array<int>, ids array<bigint>"
 HITS = "item_id bigint, doc_id bigint, score bigint"
@@ -261,8 +261,8 @@ def _blocks(queries: DataFrame) -> Iterator[list[Row]]:
     block, held = [], 0
     for row in queries.toLocalIterator():
         block.append(row)
-        held += len(row["terms"])
-        if held >= BLOCK_TERMS:
+        held += sum(map(len, row["terms"]))
+        if held >= BLOCK_CHARS:
             yield block
             block, held = [], 0
     if block:
@@ -270,15 +270,21 @@ def _blocks(queries: DataFrame) -> Iterator[list[Row]]:
 
 
 def _search_block(index: DataFrame, block: list[Row], total: int, terms: int, k: int) -> DataFrame:
-    spark = index.sparkSession
-    known = spark.createDataFrame([(t,) for t in sorted({t for row in block for t in row["terms"]})], "term string")
-    lists = index.where(F.col("term").isNotNull()).join(known, "term", "left_semi")
-    having = lists.select("term", "rows").groupBy("term").agg(F.sum("rows")).collect()  # at most the block's terms
+    """The shards' best for one block of queries.
+
+    The block's terms are bounded, so they go to the index and not the index to them: all
+    shards' lists of one frequent term would meet in one task otherwise.
+    """
+    def of(wanted) -> DataFrame:
+        table = index.sparkSession.createDataFrame([(t,) for t in sorted(wanted)], "term string")
+        return index.where(F.col("term").isNotNull()).join(F.broadcast(table), "term", "left_semi")
+
+    # At most one row for each of the block's terms.
+    having = of({t for row in block for t in row["terms"]}).groupBy("term").agg(F.sum("rows")).collect()
     weights = {term: weight(total, int(n)) for term, n in having}
     weights = {term: w for term, w in weights.items() if w > 0}
     queries = [(row["item_id"], [t for t in row["terms"] if t in weights]) for row in block]
-    useful = lists.join(spark.createDataFrame([(t,) for t in weights], "term string"), "term", "left_semi") if weights else lists.limit(0)
-    shards = spread(useful.select(*index.columns).unionByName(index.where(F.col("term").isNull())), "shard")
+    shards = spread(of(weights).select(*index.columns).unionByName(index.where(F.col("term").isNull())), "shard")
     return shards.groupBy("shard").applyInArrow(lambda table: search_shard(table, queries, weights, total, terms, k), HITS)
 
 

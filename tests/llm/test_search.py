@@ -69,9 +69,8 @@ def test_empty_tables(spark):
     check(spark, [(1, None)], some)
 
 
-def test_many_shards_and_blocks(spark, monkeypatch):
-
-    monkeypatch.setattr(search, "BLOCK_TERMS", 20)
+def test_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(search, "BLOCK_CHARS", 60)
     check(spark, list(enumerate(texts(200, 8))), list(enumerate(texts(9, 9))))
 
 
