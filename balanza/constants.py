@@ -171,3 +171,10 @@ HEADER_CONTAINS = [
     ("RAZ", "razon_social"),
     ("DESCRIPCI", "descripcion_cuenta"),
 ]
+
+# Provinces by the first two digits of a tax number, from 01 on.
+PROVINCES = [
+    "Azuay", "Bolívar", "Cañar", "Carchi", "Cotopaxi", "Chimborazo", "El Oro", "Esmeraldas", "Guayas", "Imbabura", "Loja", "Los Ríos",
+    "Los Ríos", "Manabí", "Morona Santiago", "Napo", "Pichincha", "Tungurahua", "Zamora Chinchipe", "Galápagos", "Sucumbíos", "Orellana",
+    "Santo Domingo", "Santa Elena",
+]

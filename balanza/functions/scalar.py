@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from balanza.constants import MONTHS_ES, NEUTRAL_SCORE
+from balanza.constants import MONTHS_ES, NEUTRAL_SCORE, PROVINCES
 
 _COMPARE = {
     ">=": lambda v, c: v >= c,
@@ -83,6 +83,13 @@ def parse_date(c, formats=DATE_FORMATS) -> Column:
     return F.coalesce(*[F.try_to_date(text, f) for f in formats])
 
 
+def province(ruc) -> Column:
+    """Province of a tax number; null if its first two digits are none's."""
+    names = F.array(*[F.lit(n) for n in PROVINCES])
+    code = F.substring(as_col(ruc), 1, 2).try_cast("int")
+    return F.when(code.between(1, len(PROVINCES)), F.element_at(names, F.greatest(code, F.lit(1))))
+
+
 def short_name(c) -> Column:
     """Entity name without the legal prefix and suffix, in title case."""
     name = F.regexp_replace(as_col(c), r"COOPERATIVA DE AHORRO Y CR[EÉ]DITO\s*", "")

@@ -191,21 +191,22 @@ def adf(df: DataFrame, key: str = "ruc", date: str = "fecha_corte", value: str =
     )
 
 
-def mark_periods(df: DataFrame, date: str = "fecha_corte") -> DataFrame:
-    """December highlight and the shaded event band of the trend charts."""
-    day = F.col(date)
-    return df.withColumns(
-        {
-            "es_diciembre": F.month(day) == 12,
-            "en_evento": day.between(F.lit("2020-03-01").cast("date"), F.lit("2021-03-01").cast("date")),
-        }
-    )
+#: Shaded in the trend charts unless other periods are given.
+EVENTS = [("2020-03-01", "2021-03-01")]
+
+
+def mark_periods(df: DataFrame, date: str = "fecha_corte", events: list[tuple[str, str]] = EVENTS) -> DataFrame:
+    """December highlight and the shaded event bands of the trend charts, ends included."""
+    day, inside = F.col(date), F.lit(False)
+    for start, end in events:
+        inside = inside | day.between(F.lit(start).cast("date"), F.lit(end).cast("date"))
+    return df.withColumns({"es_diciembre": F.month(day) == 12, "en_evento": inside})
 
 
-def system_trends(ratios: DataFrame) -> DataFrame:
+def system_trends(ratios: DataFrame, events: list[tuple[str, str]] = EVENTS) -> DataFrame:
     """The nine system series in long form with their limits."""
     names = list(SYSTEM_LIMITS)
     limits = F.create_map(*[c for n in names for c in (F.lit(n), F.lit(SYSTEM_LIMITS[n]).cast("double"))])
     wide = ratios.select("fecha_corte", *[F.col(n).cast("double").alias(n) for n in names])
     long = wide.unpivot(["fecha_corte"], names, "indicador", "valor")
-    return mark_periods(long.withColumn("umbral", limits[F.col("indicador")]))
+    return mark_periods(long.withColumn("umbral", limits[F.col("indicador")]), events=events)

@@ -10,6 +10,7 @@ from balanza.plans import adhoc as surface
 from balanza.plans.catalog import query
 from balanza.plans.oracle import rounded, sql
 from balanza.plans.star import star
+from balanza.session import checkpoint
 from balanza.sources.adapter import ledger_from_tables
 
 
@@ -213,6 +214,12 @@ def ranking_analyst(spark, sf_dir):
     )
 
 
+def in_order(rows):
+    """Rows with their position in the order that they come in: partitions and rows of a sorted table are in order."""
+    placed = checkpoint(rows.withColumn("_place", F.monotonically_increasing_id()))
+    return serve.global_position(placed, [F.col("_place")]).drop("_place")
+
+
 def _served(name, oracle, function):
     @query(name, sql(oracle, "fact", "dim", "snap"))
     def run(spark, sf_dir):
@@ -302,10 +309,13 @@ _served(
 )
 _served(
     "sort_ranking_nulls",
-    f"SELECT *, row_number() OVER (ORDER BY capitalizacion_pct DESC NULLS LAST, ruc) AS posicion FROM ({_RANKING})",
-    lambda f, d: serve.global_position(
-        serve.ranking_rows(f, d), [F.col("capitalizacion_pct").desc_nulls_last(), F.col("ruc")]
-    ),
+    f"""SELECT *, row_number() OVER (ORDER BY capitalizacion_pct DESC NULLS LAST, ruc) AS posicion FROM ({_RANKING})""",
+    lambda f, d: in_order(serve.sort_ranking(serve.ranking_rows(f, d), "capitalizacion_pct", ascending=False)),
+)
+_served(
+    "sort_ranking_names",
+    f"""SELECT *, row_number() OVER (ORDER BY razon_social NULLS LAST, ruc) AS posicion FROM ({_RANKING})""",
+    lambda f, d: in_order(serve.sort_ranking(serve.ranking_rows(f, d), "razon_social")),
 )
 _served(
     "ranked",

@@ -102,3 +102,9 @@ def write_directory_csv(directory: DataFrame, path: str) -> None:
     first, *rest = directory.columns
     marked = directory.withColumnRenamed(first, "\ufeff" + first)
     marked.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def write_ranking_csv(ranked: DataFrame, path: str, position: str = "posicion") -> None:
+    """The ranking as spreadsheet files with a byte-order mark, position first, rows in its order from file to file."""
+    ordered = ranked.select(position, *[c for c in ranked.columns if c != position]).orderBy(position)
+    write_directory_csv(ordered, path)
