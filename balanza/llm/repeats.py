@@ -223,8 +223,8 @@ def separated_rows(data: np.ndarray, order: np.ndarray, length: int) -> np.ndarr
     return apart
 
 
-def repeated_windows(pieces: list[bytes], length: int) -> list[np.ndarray]:
-    """For each piece, which of its windows of ``length`` bytes also start elsewhere in the pieces."""
+def sorted_windows(pieces: list[bytes], length: int) -> list[np.ndarray]:
+    """For each piece, which of its windows of ``length`` bytes also start elsewhere in the pieces, by the transform."""
     sizes = np.array([len(p) for p in pieces])
     data = np.frombuffer(bytes([GAP]).join(pieces) + bytes([GAP]), np.uint8)
     order = rotation_order(data, length + 1)
@@ -237,6 +237,32 @@ def repeated_windows(pieces: list[bytes], length: int) -> list[np.ndarray]:
     return [repeated[s : s + max(n - length + 1, 0)] for s, n in zip(starts.tolist(), sizes.tolist())]
 
 
+def runs_of(flags: np.ndarray) -> list[tuple[int, int]]:
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
+    return list(zip(edge[::2].tolist(), edge[1::2].tolist()))
+
+
+def repeated_windows(pieces: list[bytes], length: int) -> list[np.ndarray]:
+    """For each piece, which of its windows of ``length`` bytes also start elsewhere in the pieces.
+
+    A window whose hash occurs once is no repeat, so only runs of the other windows are sorted;
+    of equal runs, which repeat each other, one is sorted with the rest.
+    """
+    hashes = [RangeHash(np.frombuffer(p, np.uint8)).grams(length) for p in pieces]
+    _, name, times = np.unique(np.concatenate(hashes), return_inverse=True, return_counts=True)
+    often = np.split(times[name] > 1, np.cumsum([len(h) for h in hashes])[:-1])
+    places: dict[bytes, list[tuple[int, int, int]]] = {}
+    for i, (piece, flags) in enumerate(zip(pieces, often)):
+        for a, b in runs_of(flags):
+            places.setdefault(piece[a : b - 1 + length], []).append((i, a, b))
+    out = [np.zeros(len(h), bool) for h in hashes]
+    found = sorted_windows(list(places), length) if places else []
+    for spots, repeated in zip(places.values(), found):
+        for i, a, b in spots:
+            out[i][a:b] = True if len(spots) > 1 else repeated
+    return out
+
+
 def compared(docs: DataFrame, marks: DataFrame, length: int, text: str) -> DataFrame:
     """(text_id, start, windows) of repeated windows in the open segments."""
     wanted = marks.where("open").groupBy("text_id").agg(F.collect_list(F.struct("name", "digest", "start", "windows")).alias("cuts"))
@@ -268,8 +294,7 @@ def compared(docs: DataFrame, marks: DataFrame, length: int, text: str) -> DataF
         def solved() -> pa.RecordBatch:
             out: list[tuple] = []
             for (text_id, start, _), repeated in zip(block, repeated_windows([p for _, _, p in block], length)):
-                edge = np.flatnonzero(np.diff(np.concatenate([[0], repeated.astype(np.int8), [0]])))
-                out += [(text_id, start + a, b - a) for a, b in zip(edge[::2].tolist(), edge[1::2].tolist())]
+                out += [(text_id, start + a, b - a) for a, b in runs_of(repeated)]
             columns = zip(*out) if out else ((), (), ())
             kinds = (pa.int64(), pa.int32(), pa.int32())
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["text_id", "start", "windows"])
