@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from balanza.constants import CLUSTER_FEATURES
 from balanza.functions.ordered import exact_quantiles, global_position
-from balanza.operators import centroids, grid, neighbours
+from balanza.operators import centroids, grid, neighbours, pivots
 from balanza.operators.describe import crosstab
 from balanza.operators.stats import robust_scale
 from balanza.session import checkpoint
@@ -150,15 +150,12 @@ def _long_labels(labelled: DataFrame, labelings: list[str], columns: list[str])
 
 
 def silhouettes(labelled: DataFrame, labelings: list[str]) -> DataFrame:
-    """Euclidean silhouette of every row under each labeling; distances are computed once.
+    """Euclidean silhouette of every row under each labeling; a cluster of one scores 0.
 
-    A cluster of one scores 0.
+    A row meets its own cluster and those that may be its nearest other one.
     """
-    schema = "id string, etiquetado string, label string, other string, total double"
-    texts = labelled.select(
-        "id", *neighbours.dimensions(labelled), *[F.col(c).cast("string").alias(c) for c in labelings]
-    )
-    sums = neighbours.per_cell(texts, neighbours.distance_sums(labelings), schema)
+    texts = labelled.select("id", *neighbours.dimensions(labelled), *[F.col(c).cast("string").alias(c) for c in labelings])
+    sums = pivots.distance_sums(_long_labels(texts, labelings, ["id", *neighbours.dimensions(labelled)]))
     sizes = (
         _long_labels(labelled, labelings, ["id"])
         .groupBy("etiquetado", F.col("label").alias("other"))
@@ -166,9 +163,7 @@ def silhouettes(labelled: DataFrame, labelings: list[str]) -> DataFrame:
     )
     own = F.col("other") == F.col("label")
     means = (
-        sums.groupBy("id", "etiquetado", "label", "other")
-        .agg(F.sum("total").alias("total"))
-        .join(sizes, ["etiquetado", "other"])
+        sums.join(sizes, ["etiquetado", "other"])
         .groupBy("id", "etiquetado", "label")
         .agg(
             F.max(F.when(own, F.col("_size"))).alias("_own"),
@@ -296,11 +291,7 @@ def cluster_members(df: DataFrame, label: str, name: str) -> DataFrame:
 
 def k_distance(points: DataFrame, k: int = 3, by: list[str] | None = None) -> DataFrame:
     """Distance to the k-th nearest row, of the row's own group ``by`` if given; a row is its own first neighbour."""
-    by = by or []
-    near = neighbours.per_cell(points, neighbours.nearest_k(k), "id string, near array<double>", by=by)
-    merged = near.groupBy("id").agg(F.sort_array(F.flatten(F.collect_list("near"))).alias("near"))
-    found = merged.where(F.size("near") >= k).select("id", F.col("near")[k - 1].alias("k_dist"))
-    return found.join(points.select("id", *by), "id").select(*by, "id", "k_dist") if by else found
+    return pivots.k_distance(points, k, by)
 
 
 def dbscan_eps(points: DataFrame, k: int = 3, share: float = 0.25, by: list[str] | None = None) -> DataFrame:

@@ -1,26 +1,8 @@
-"""Distance work between rows without emitting pairs.
-
-Rows fall into bands (a band key may differ by at most one between rows that can matter to
-each other) and, inside a band, into hashed blocks of bounded size. A cell is one pair of
-blocks. Each cell's distances are computed in numpy inside one task, and only per-row partial
-results leave it, so neither a hot band nor a hot value builds an unbounded group.
-"""
+"""Points: rows as an id and coordinate columns."""
 
 from __future__ import annotations
 
-import sys
-
-import numpy as np
-import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, functions as F
-
-from balanza.session import spread
-
-BLOCK_ROWS = 4096
-CHUNK_ROWS = 2048
-
-_CELL = ["_band", "_adjacent", "_low", "_high"]
+from pyspark.sql import DataFrame, functions as F
 
 
 def dimensions(points: DataFrame) -> list[str]:
@@ -36,123 +18,3 @@ def to_points(df: DataFrame, id_column: str, features: list[str], keep: list[str
         *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features)],
         *(keep or []),
     )
-
-
-def cells(points: DataFrame, band: Column | None = None, block_rows: int = BLOCK_ROWS, by: list[str] | None = None) -> DataFrame:
-    """Every point once per cell it takes part in, with its side (0 low block, 1 high block).
-
-    Rows of different groups ``by`` share no cell.
-    """
-    key = [*(by or []), "_band"]
-    banded = points.withColumn("_band", (band if band is not None else F.lit(0)).cast("long"))
-    blocks = banded.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("_m"))
-    after = blocks.select(*key[:-1], (F.col("_band") - 1).alias("_band"), F.col("_m").alias("_m_next"))
-    before = blocks.select(*key[:-1], (F.col("_band") + 1).alias("_band"), F.col("_m").alias("_m_prev"))
-    around = blocks.join(after, key, "left").join(before, key, "left").na.fill(0, ["_m_next", "_m_prev"])
-    placed = banded.join(around, key).withColumn("_s", F.pmod(F.xxhash64("id"), F.col("_m")).cast("int"))
-
-    def cell(band_key, adjacent, low, high, side):
-        return F.struct(
-            band_key.alias("_band"), F.lit(adjacent).alias("_adjacent"), low.alias("_low"),
-            high.alias("_high"), side.cast("int").alias("_side"),
-        )
-
-    def indices(count):
-        """0 .. count-1, empty for 0."""
-        return F.when(count > 0, F.sequence(F.lit(0), count - 1)).otherwise(F.array().cast("array<int>"))
-
-    b, s = F.col("_band"), F.col("_s")
-    own = F.transform(
-        indices(F.col("_m")),
-        lambda j: cell(b, 0, F.least(s, j), F.greatest(s, j), F.when(s > j, 1).otherwise(0)),
-    )
-    following = F.transform(indices(F.col("_m_next")), lambda j: cell(b, 1, s, j, F.lit(0)))
-    preceding = F.transform(indices(F.col("_m_prev")), lambda j: cell(b - 1, 1, j, s, F.lit(1)))
-    return placed.select(
-        *points.columns, F.explode(F.concat(own, following, preceding)).alias("_cell")
-    ).select(*points.columns, "_cell.*")
-
-
-def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    total = np.zeros((len(a), len(b)))
-    for d in range(a.shape[1]):
-        gap = a[:, d][:, None] - b[:, d][None, :]
-        total += gap * gap
-    return np.sqrt(total)
-
-
-def _views(pdf: pd.DataFrame, both_ways: bool):
-    """(rows, other rows, distances) of a cell in chunks: one block with itself, or two blocks."""
-    axes = [c for c in pdf.columns if c.startswith("x") and c[1:].isdigit()]
-    low, high = pdf[pdf["_side"] == 0], pdf[pdf["_side"] == 1]
-    cell = pdf.iloc[0]
-    same = cell["_adjacent"] == 0 and cell["_low"] == cell["_high"]
-    others = low if same else high
-    if low.empty or others.empty:
-        return
-    target = others[axes].to_numpy(float)
-    for start in range(0, len(low), CHUNK_ROWS):
-        rows = low.iloc[start : start + CHUNK_ROWS]
-        between = _distances(rows[axes].to_numpy(float), target)
-        yield rows, others, between
-        if both_ways and not same:
-            yield others, rows, between.T
-
-
-def per_cell(
-    points: DataFrame, function, schema: str, band: Column | None = None, both_ways: bool = True, block_rows: int = BLOCK_ROWS,
-    by: list[str] | None = None,
-) -> DataFrame:
-    """Apply ``function(rows, others, distances) -> DataFrame`` to every cell.
-
-    The results are partial: a row appears once per cell (and chunk) and the caller combines
-    them. ``both_ways`` also shows each pair of blocks from the other side.
-    """
-    names = [f.split()[0] for f in schema.split(",")]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        parts = [function(*view) for view in _views(pdf, both_ways)]
-        parts = [p for p in parts if len(p)]
-        return pd.concat(parts)[names] if parts else pd.DataFrame(columns=names)
-
-    keys = [*(by or []), *_CELL]
-    return spread(cells(points, band, block_rows, by), *keys).groupBy(*keys).applyInPandas(run, schema)
-
-
-def distance_sums(labelings: list[str]):
-    """Per row, labeling and label of the others: summed distance."""
-
-    def function(rows, others, distances):
-        parts = []
-        for name in labelings:
-            labels, codes = np.unique(others[name].to_numpy(str), return_inverse=True)
-            member = np.zeros((len(others), len(labels)))
-            member[np.arange(len(others)), codes] = 1.0
-            parts.append(
-                pd.DataFrame(
-                    {
-                        "id": np.repeat(rows["id"].to_numpy(), len(labels)),
-                        "etiquetado": name,
-                        "label": np.repeat(rows[name].to_numpy(), len(labels)),
-                        "other": np.tile(labels, len(rows)),
-                        "total": (distances @ member).ravel(),
-                    }
-                )
-            )
-        return pd.concat(parts)
-
-    return function
-
-
-def nearest_k(k: int):
-    """Per row: the k smallest distances in the cell (a row itself is its first neighbour)."""
-
-    def function(rows, others, distances):
-        if distances.shape[1] > k:
-            distances = np.partition(distances, k - 1, axis=1)[:, :k]
-        return pd.DataFrame({"id": rows["id"].to_numpy(), "near": list(np.sort(distances, axis=1))})
-
-    return function
-
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])

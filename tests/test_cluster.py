@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from balanza.operators import centroids, cluster, grid, neighbours
+from balanza.operators import centroids, cluster, grid, pivots
 
 BLOCK = 16
 
@@ -10,9 +10,9 @@ BLOCK = 16
 @pytest.fixture()
 def small_blocks(monkeypatch):
     """Several cells, chunks and views even for a small fixture."""
-    monkeypatch.setattr(neighbours.per_cell, "__defaults__", (None, True, BLOCK, None))
     monkeypatch.setattr(grid.within, "__defaults__", (None, None, None, BLOCK))
-    monkeypatch.setattr(neighbours, "CHUNK_ROWS", 7)
+    monkeypatch.setattr(pivots.k_distance, "__defaults__", (None, BLOCK))
+    monkeypatch.setattr(pivots.distance_sums, "__defaults__", (BLOCK,))
 
 
 def frame(spark, x, label=None):
@@ -213,11 +213,40 @@ def test_adjusted_rand(spark):
     assert cluster.adjusted_rand(df, "c", "c").first()[0] == pytest.approx(1)
 
 
-def test_cells_are_bounded(spark):
-    """One band with all points still splits into blocks of bounded size."""
-    points = frame(spark, np.zeros((300, 2)))
-    sizes = neighbours.cells(points, None, 32).groupBy("_band", "_adjacent", "_low", "_high").count()
-    assert sizes.agg(F.max("count")).first()[0] < 4 * 32
+def test_parts_are_bounded(spark):
+    """A group with all points still splits into parts of bounded size, in which every pair meets once."""
+    points = frame(spark, np.zeros((300, 2))).withColumns({"g": F.lit(1), "_home": F.lit(True), "_other": F.lit(True)})
+    sizes = grid.parts(points, ["g"], 32).groupBy("_low", "_high").agg(F.count_if("_as_target").alias("a"), F.count_if(~F.col("_as_target")).alias("b"))
+    most = sizes.agg(F.max("a"), F.max("b"), F.sum(F.col("a") * F.col("b"))).first()
+    assert most[0] < 64 and most[1] < 64 and most[2] == 300 * 300
+
+
+def test_few_blocks_are_compared(spark):
+    """Far-apart clouds: most pairs of blocks are ruled out, and the distances stay exact."""
+    rng = np.random.default_rng(3)
+    x = np.vstack([rng.normal(c, 1.0, size=(60, 3)) for c in rng.uniform(-400, 400, size=(12, 3))] + [np.full((240, 3), 7.0)])
+    points = frame(spark, x)
+    _, pairs = pivots.nearest_lists(points, 3, None, 30)
+    blocks = len(x) // 30
+    assert pairs.count() < blocks * (blocks - 1) / 4
+    rows = pivots.k_distance(points, 3, None, 30).orderBy("id").collect()
+    assert [r.k_dist for r in rows] == pytest.approx(list(np.sort(gaps(x), axis=1)[:, 2]))
+
+
+def test_few_clusters_are_compared(spark):
+    rng = np.random.default_rng(4)
+    centres = rng.uniform(-100, 100, size=(10, 2))
+    x, label = np.vstack([rng.normal(c, 1.0, size=(20, 2)) for c in centres]), np.repeat(np.arange(10), 20)
+    long = frame(spark, x, label).withColumn("label", F.col("label").cast("string")).withColumn("etiquetado", F.lit("e"))
+    met = pivots.candidate_clusters(long).agg(F.sum(F.size("_meets"))).first()[0]
+    assert met < 200 * 10 / 3
+    d, want = gaps(x), []
+    for i in range(200):
+        a = d[i, label == label[i]].sum() / 19
+        b = min(d[i, label == g].mean() for g in range(10) if g != label[i])
+        want.append((b - a) / max(a, b))
+    got = cluster.silhouette(frame(spark, x, label)).orderBy("id").collect()
+    assert [r.silhouette for r in got] == pytest.approx(want)
 
 
 def test_dbscan_at_radius_zero(spark):
