@@ -26,4 +26,4 @@ def query(name: str, oracle: str | None = None):
 
 def load() -> None:
     """Import the query modules, which register themselves."""
-    from balanza.plans import queries_analysis, queries_ledger, queries_outlook, queries_serving  # noqa: F401
+    from balanza.plans import queries_analysis, queries_closed, queries_ledger, queries_outlook, queries_serving  # noqa: F401
