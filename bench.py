@@ -20,7 +20,7 @@ HEADLINE = [
     "account_series_assets", "system_ratios", "entity_pivot", "traffic_light", "ingest_tree", "describe_by_segment",
     "indicator_profile", "compliance_alerts", "spearman_matrix", "spearman_target", "kruskal", "vif", "ols_hc3",
     "robust_scaled", "silhouette", "k_distance", "dbscan", "kmeans3", "pca_scores", "asof_monthly", "linear_trend",
-    "forecast4", "forecast_frame", "holt", "adf", "adhoc_npl_over_10",
+    "forecast4", "forecast_frame", "holt", "adf", "adhoc_npl_over_10", "period_profile", "backtest_3m", "robust_distance",
 ]
 
 
