@@ -17,7 +17,9 @@ from pyspark.sql import functions as F
 LEAST_PART, MOST_PART = 0.001, 0.1
 SUBSETS = 32
 LEAST_LEVEL = 5  # 2**5 = SUBSETS
-NONE = "-" * 8
+#: The least part of a text's terms that the lexicon must hold for the others to be left out.
+LEAST_KEPT = 0.25
+NONE = 0
 BUCKETS_A_PARTITION = 8
 
 TERM_BREAK = r"[\s\p{Punct}]+"
@@ -56,32 +58,49 @@ def candidates(terms: Column, level: Column) -> Column:
     return F.filter(terms, lambda t: F.pmod(subset_bits(t), two_to(level)) < SUBSETS)
 
 
-def short_hash(terms: Column) -> Column:
-    return F.lower(F.lpad(F.hex(F.xxhash64(terms).bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0"))
-
-
 def subset_hashes(terms: Column, level: Column) -> Column:
-    """One hash per subset of sorted terms; NONE for a subset without terms."""
+    """One hash per subset of sorted terms; NONE for a subset without terms.
+
+    Terms are sorted by subset and hashed in one pass, in which a subset ends where the next begins.
+    """
     width = two_to(level)
-    dealt = F.transform(terms, lambda t: F.struct(F.pmod(subset_bits(t), width).alias("subset"), t.alias("term")))
+    dealt = F.transform(terms, lambda t: F.struct(F.pmod(subset_bits(t), width).cast("int").alias("subset"), t.alias("term")))
+    dealt = F.array_sort(F.filter(dealt, lambda x: x["subset"] < SUBSETS))
+    empty = F.array().cast("array<bigint>")
+
+    def state(out: Column, at: Column, value: Column) -> Column:
+        return F.struct(out.alias("out"), at.alias("at"), value.alias("hash"))
+
+    def closed(s: Column, upto: Column) -> Column:
+        """The hashes so far, with the open subset's and NONE for those up to ``upto``."""
+        own = F.when(s["at"] >= 0, F.array(s["hash"].bitwiseAND(F.lit(0xFFFFFFFF)))).otherwise(empty)
+        return F.concat(s["out"], own, F.array_repeat(F.lit(NONE).cast("long"), upto - s["at"] - 1))
+
+    def step(s: Column, x: Column) -> Column:
+        goes_on = state(s["out"], s["at"], F.xxhash64(s["hash"], x["term"]))
+        return F.when(x["subset"] == s["at"], goes_on).otherwise(state(closed(s, x["subset"]), x["subset"], F.xxhash64(x["term"])))
+
+    start = state(empty, F.lit(-1), F.lit(0).cast("long"))
+    return F.aggregate(dealt, start, step, lambda s: closed(s, F.lit(SUBSETS)))
 
-    def one(subset: Column) -> Column:
-        own = F.transform(F.filter(dealt, lambda x: x["subset"] == subset), lambda x: x["term"])
-        return F.when(F.size(own) == 0, F.lit(NONE)).otherwise(short_hash(own))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(SUBSETS - 1)), one)
+def hex_of(hashes: Column) -> Column:
+    return F.lower(F.array_join(F.transform(hashes, lambda h: F.lpad(F.hex(h), 8, "0")), ""))
 
 
-def print_of(found: Column, level: Column, plain: Column) -> Column:
+def print_of(found: Column, own: Column, level: Column, plain: Column) -> Column:
     """struct<level, low, high, text>: subset hashes of a level and the next, and the fingerprint.
 
-    ``found``: sorted terms of the lexicon; ``plain``: the hash of all terms, which alone is the
-    fingerprint of a text without terms in the lexicon's subsets.
+    ``found``: terms of the lexicon; ``own``: all terms of the subsets. A text of which the
+    lexicon holds less than LEAST_KEPT of these is known by all of them: in a group of copies
+    that is a large part of the table every term is frequent, and what is left tells them apart.
+    ``plain``, the digest of all terms, alone is the fingerprint of a text without terms in the
+    subsets.
     """
-    low, high = subset_hashes(found, level), subset_hashes(found, level + 1)
-    bare = F.size(found) == 0
-    text = F.when(bare, F.concat(F.lit("all:"), plain)).otherwise(
-        F.concat_ws(":", level.cast("string"), F.array_join(low, ""), F.array_join(high, ""))
+    chosen = F.when(F.size(found) >= LEAST_KEPT * F.size(own), found).otherwise(own)
+    low, high = subset_hashes(chosen, level), subset_hashes(chosen, level + 1)
+    text = F.when(F.size(own) == 0, F.concat(F.lit("all:"), plain)).otherwise(
+        F.concat_ws(":", level.cast("string"), hex_of(low), hex_of(high))
     )
     return F.struct(level.alias("level"), low.alias("low"), high.alias("high"), text.alias("text"))
 
@@ -120,7 +139,8 @@ def with_fingerprints(rows: DataFrame, texts: dict[str, str], words: DataFrame)
         rows = rows.withColumn(f"{name}_terms", term_hashes(F.col(column)))
     for name in texts.values():
         terms = F.col(f"{name}_terms")
-        rows = rows.withColumns({f"{name}_level": level_of(terms), f"{name}_plain": short_hash(F.sort_array(terms))})
+        digest = F.substring(F.sha2(F.array_join(F.sort_array(terms), ","), 256), 1, 32)
+        rows = rows.withColumns({f"{name}_level": level_of(terms), f"{name}_plain": digest})
 
     def marked(i: int, name: str) -> Column:
         chosen = candidates(F.col(f"{name}_terms"), F.col(f"{name}_level"))
@@ -135,13 +155,13 @@ def with_fingerprints(rows: DataFrame, texts: dict[str, str], words: DataFrame)
     gathered = matched.groupBy("bucket", "place").agg(
         *[F.first(c).alias(c) for c in others],
         *[
-            F.sort_array(F.collect_list(F.when(F.col("which") == i, F.col("known")))).alias(f"{n}_found")
-            for i, n in enumerate(texts.values())
+            F.collect_list(F.when(F.col("which") == i, F.col(c))).alias(f"{n}_{x}")
+            for i, n in enumerate(texts.values()) for c, x in (("known", "found"), ("term", "own"))
         ],
     )
     return gathered.select(
         *kept,
-        *[print_of(F.col(f"{n}_found"), F.col(f"{n}_level"), F.col(f"{n}_plain")).alias(n) for n in texts.values()],
+        *[print_of(*[F.col(f"{n}_{x}") for x in ("found", "own", "level", "plain")]).alias(n) for n in texts.values()],
     )
 
 
@@ -197,7 +217,9 @@ def edit_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
     One row per row of ``docs``; null text is empty. Texts with equal terms have equal
     fingerprints, two texts without terms likeness 1. An empty table gives no rows. The lexicon
-    comes from all documents, not from edited texts.
+    comes from all documents, not from edited texts. Rows with a null key come last, in the order
+    of their texts' hashes, as rows that share a key do; equal rows follow each other. Other
+    columns are not read. Texts of any length are read whole.
     """
     words = lexicon(docs, text)
     rows = neighbours(docs, key, text).withColumn("_edited", edited(F.col(text), F.coalesce("next", F.lit(""))))

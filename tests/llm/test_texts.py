@@ -2,11 +2,20 @@
 
 import base64
 import hashlib
+import io
+import math
+import random
+import re
+import struct
 import zlib
+from collections import Counter
 
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
+import zstandard
+from pyarrow import fs
 from pyspark.sql import functions as F
 
 import public_tokenizers
@@ -99,6 +108,115 @@ def test_imatch_edits_and_equal_texts(spark):
     assert single["near_next"] == 1.0
 
 
+def test_warc_footer_and_repeated_ids(spark):
+    """The seek table at a bundle's end lists the frames as they lie; equal ids, and columns named like results, do no harm."""
+    rows = [(i % 50, "u", f"page {i} " * 3000, "x", 7) for i in range(100)] + [(900, None, "é" * 100, "y", 8), (900, "v", "é" * 100, "y", 8), (901, "v", "é" * 100, "z", 9)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, record_type string, frame int").repartition(2)
+    folder = scratch_path(spark, "warc-footer")
+    index = warc.write_archives(warc.plan_records(pages), folder)
+    files, root = fs.FileSystem.from_uri(f"{folder}/bundles")
+    names = {r.bundle: r.frames for r in index.groupBy("bundle").agg(F.max("frame").alias("frames")).collect()}
+    for name, last in names.items():
+        with files.open_input_file(f"{root}/{name}") as source:
+            table, size = warc.read_seek_table(source), source.size()
+            assert len(table) == last + 1 and last > 2
+            for at, packed, plain in table:
+                source.seek(at)
+                assert len(zstandard.ZstdDecompressor().decompress(source.read(packed), max_output_size=plain)) == plain
+            assert table[-1][0] + table[-1][1] + 8 + 8 * len(table) + 9 == size
+            source.seek(0)
+            whole = zstandard.ZstdDecompressor().stream_reader(source, read_across_frames=True).read()
+            assert whole.count(b"WARC/1.1\r\n") == index.where(F.col("bundle") == name).count()
+    got = sorted((r["page_id"], r["record_type"], r["refers_to"]) for r in warc.archive_digests(pages).collect() if r["page_id"] >= 900)
+    assert got == [(900, "response", None), (900, "response", None), (901, "revisit", 900)]
+    assert warc.archive_digests(pages).count() == 103
+    cut = io.BytesIO(b"no footer here")
+    cut.size = lambda: 14
+    with pytest.raises(ValueError):
+        warc.read_seek_table(cut)
+
+
+def spark_hash(*values):
+    """Spark's xxhash64 of some columns: 64-bit hashes that seed one another."""
+    seed = 42
+    for v in values:
+        seed = xxhash.xxh64(v.encode() if isinstance(v, str) else struct.pack("<q", v), seed=seed % 2**64).intdigest()
+    return seed - 2**64 if seed >= 2**63 else seed
+
+
+def brute_prints(texts):
+    """I-Match in plain Python: (level, low, high, fingerprint) of each text, with the lexicon of all."""
+    def terms_of(text):
+        return {spark_hash(w) for w in re.split(r"[\s!-/:-@\[-`{-~]+", text.lower()) if w}
+
+    counts = Counter(t for text in texts for t in terms_of(text))
+    known = {t for t, n in counts.items() if max(1, 0.001 * len(texts)) <= n <= max(1, 0.1 * len(texts))}
+
+    def print_of(text):
+        terms = terms_of(text)
+        level = max(5, int(math.log2(max(1, len(terms)))))
+        bits = {t: (t % 2**64) >> 17 for t in terms}
+        own = {t for t in terms if bits[t] % 2**level < 32}
+        found = own & known
+        chosen = found if len(found) >= 0.25 * len(own) else own
+
+        def hashes(level):
+            out = []
+            for subset in range(32):
+                value = 0
+                for i, t in enumerate(sorted(t for t in chosen if bits[t] % 2**level == subset)):
+                    value = spark_hash(value, t) if i else spark_hash(t)
+                out.append(value & 0xFFFFFFFF)
+            return out
+
+        low, high = hashes(level), hashes(level + 1)
+        whole = "all:" + hashlib.sha256(",".join(map(str, sorted(terms))).encode()).hexdigest()[:32]
+        return level, low, high, f"{level}:{''.join(f'{h:08x}' for h in low)}:{''.join(f'{h:08x}' for h in high)}" if own else whole
+
+    return print_of
+
+
+def brute_likeness(a, b):
+    if a[3] == b[3]:
+        return 1.0
+    pairs = {0: [(a[1], b[1]), (a[2], b[2])], 1: [(a[1], b[2])], -1: [(a[2], b[1])]}.get(a[0] - b[0], [])
+    used = [(x, y) for p, q in pairs for x, y in zip(p, q) if x or y]
+    return sum(x == y for x, y in used) / len(used) if used else 0.0
+
+
+def test_imatch_against_a_plain_version(spark):
+    chance = random.Random(12)
+    words = [f"w{int(chance.paretovariate(0.6))}" for _ in range(3000)]
+    texts = [" ".join(chance.choice(words) for _ in range(chance.choice([3, 40, 300]))) for _ in range(120)] + ["", None, "same", "same", "!?"]
+    keys = list(range(100)) + [None] * 5 + [200] * 10 + list(range(300, 310))
+    docs = spark.createDataFrame(list(zip(keys, texts)), "doc_id bigint, text string").withColumn("fingerprint", F.lit("x")).withColumn("bucket", F.lit(1))
+    rows = imatch.edit_report(docs).collect()
+    print_of = brute_prints([t or "" for t in texts])
+    order = sorted(((k is None, -(k or 0), spark_hash(t or "") if t else spark_hash(""), t or "") for k, t in zip(keys, texts)))
+    want = []
+    for i, (missing, key, _, text) in enumerate(order):
+        other = order[(i + 1) % len(order)][3]
+        many = len(text) // 3
+        changed = text[: len(text) - many] + other[:many]
+        own, new, following = print_of(text), print_of(changed), print_of(other)
+        want.append((None if missing else -key, len(text), hashlib.sha256(changed.encode()).hexdigest(), own[3], new[3], brute_likeness(own, new), brute_likeness(own, following)))
+    assert sorted((tuple(r) for r in rows), key=repr) == sorted(want, key=repr)
+
+
+def test_imatch_in_a_large_group_of_near_copies(spark):
+    chance = random.Random(3)
+    words = [f"w{i}" for i in range(4000)]
+    base = [chance.choice(words) for _ in range(120)]
+    copies = [" ".join([*base[:i % 120], f"own{i}", *base[i % 120 + 1:]]) for i in range(400)]
+    others = [" ".join(chance.choice(words) for _ in range(120)) for _ in range(800)]
+    rows = {r["doc_id"]: r for r in imatch.edit_report(table(spark, copies + others)).collect()}
+    group = [rows[i] for i in range(1, 400)]
+    assert min(r["near_next"] for r in group) > 0.5
+    mean = lambda rs: sum(r["near_edited"] for r in rs) / len(rs)
+    assert mean(group) > 0.8 * mean([rows[i] for i in range(401, 1200)])
+    assert max(rows[i]["near_next"] for i in range(401, 1200)) < 0.3
+
+
 def labels(spark, rows):
     return spark.createDataFrame(rows, "doc_id bigint, quality int, toxic int")
 
