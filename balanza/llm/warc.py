@@ -3,7 +3,8 @@
 Records are grouped into independent frames. A bundle ends with the seek table of the
 Zstandard seekable format (a skippable frame that lists compressed and plain frame sizes), so
 ordinary tools can read it too. An index table maps each record to (bundle, frame, place in
-the frame), so that one record costs one ranged read of one frame.
+the frame); where a frame lies is read from the bundle's own seek table, so one record costs
+a read of the footer and one ranged read of one frame.
 
 Bundles are written and read by tasks through the file system that the folder's URI names, so
 the folder must be one that all executors share.
@@ -35,7 +36,7 @@ LEAST_REVISIT = 100
 #: Records without a date of their own carry this one, so that equal input gives equal archives.
 DATE = "1970-01-01T00:00:00Z"
 
-INDEX = "record_id string, bundle string, frame int, place int, length int, frame_start bigint, frame_bytes int, plain_bytes int"
+INDEX = "record_id string, bundle string, frame int, place int, length int"
 
 
 def seek_table(frames: list[tuple[int, int]]) -> bytes:
@@ -114,8 +115,7 @@ class BundleWriter:
         packed = self.packer.compress(bytes(self.plain))
         self.out.write(packed)
         rows = [
-            (name, self.name, len(self.frames), place, length, self.written, len(packed), len(self.plain))
-            for name, place, length in self.waiting
+            (name, self.name, len(self.frames), place, length) for name, place, length in self.waiting
         ]
         self.frames.append((len(packed), len(self.plain)))
         self.written += len(packed)
@@ -142,6 +142,7 @@ def plan_records(pages: DataFrame) -> DataFrame:
     A null html is an empty payload, a null url an empty one; equal ids are all written. Among
     payloads of at least ``LEAST_REVISIT`` bytes that are equal, all rows with the smallest
     page_id are responses and the others revisit it; a null page_id is larger than any other.
+    Other columns are not read, and an empty table gives no rows.
     The join's small side is one row for each payload that occurs again, and Spark broadcasts it
     only if it is below its own size limit.
     """
@@ -168,16 +169,20 @@ def plan_records(pages: DataFrame) -> DataFrame:
 
 
 def write_archives(records: DataFrame, folder: str) -> DataFrame:
-    """Write bundles of ``plan_records`` rows into ``folder``; returns the index, kept as Parquet beside them."""
+    """Write bundles of ``plan_records`` rows into ``folder``; returns the index, kept as Parquet beside them.
 
+    A task without records writes no bundle, and an empty table gives an empty index. Other
+    columns of ``records`` are not written.
+    """
     bounded_batches(records.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         writer, names = BundleWriter(f"{folder}/bundles"), [f.split()[0] for f in INDEX.split(", ")]
 
         def table(rows: list[tuple]) -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
-        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+        types = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.int32()]
         for batch in batches:
             rows = []
             columns = [batch.column(i) for i in range(batch.num_columns)]
@@ -202,7 +207,8 @@ READ = "record_id string, kind string, refers_id string, uri string, digest stri
 def read_archives(index: DataFrame, folder: str) -> DataFrame:
     """The records that ``index`` lists, read back by ranged reads of single frames.
 
-    Any subset of an index does; each frame is read once by the task that holds its rows.
+    Any subset of an index does; each frame is read once by the task that holds its rows, at the
+    place that the footer of its bundle gives.
     Records of one frame meet in one task (a frame holds few records or one large one). An index
     row is small but stands for much work, so the number of tasks is given, not left to sizes.
     """
@@ -212,10 +218,12 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
         names, unpack = [f.split()[0] for f in READ.split(", ")], zstandard.ZstdDecompressor()
         types = [pa.string()] * 5 + [pa.int64(), pa.binary()]
         for batch in batches:
-            rows = [(r["bundle"], r["frame"], r["frame_start"], r["frame_bytes"], r["plain_bytes"], r["places"]) for r in batch.to_pylist()]
+            rows = [(r["bundle"], r["frame"], r["places"]) for r in batch.to_pylist()]
             for bundle, frames in groupby(rows, key=lambda r: r[0]):
                 with files.open_input_file(f"{root}/{bundle}") as source:
-                    for _, _, start, packed, plain, places in frames:
+                    table = read_seek_table(source)
+                    for _, frame, places in frames:
+                        start, packed, plain = table[frame]
                         source.seek(start)
                         data = unpack.decompress(source.read(packed), max_output_size=plain)
                         out = []
@@ -230,7 +238,7 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=names)
 
     frames = (
-        spread(index, "bundle", "frame").groupBy("bundle", "frame", "frame_start", "frame_bytes", "plain_bytes")
+        spread(index, "bundle", "frame").groupBy("bundle", "frame")
         .agg(F.collect_list(F.struct("place", "length")).alias("places"))
         .sortWithinPartitions("bundle", "frame")
     )
@@ -238,7 +246,10 @@ def read_archives(index: DataFrame, folder: str) -> DataFrame:
 
 
 def archive_digests(pages: DataFrame) -> DataFrame:
-    """Write ``pages`` to archives in the shared folder, read them back and digest what was read."""
+    """Write ``pages`` to archives in the shared folder, read them back and digest what was read.
+
+    One row per page, repeated ids included; an empty table gives none. Other columns are not read.
+    """
     folder = scratch_path(pages.sparkSession, "warc")
     back = read_archives(write_archives(plan_records(pages), folder), folder)
     page = F.substring("record_id", len("urn:page:") + 1, 40)
