@@ -102,13 +102,20 @@ class LanguageFilter:
 def sample_texts(docs: DataFrame, limit: int = SAMPLE_TEXTS) -> DataFrame:
     """(lang, text) of at most ``limit`` rows of each language outside the held-out fold.
 
-    Only ids are ranked. The chosen ids are bounded by limit and the number of languages, so they
-    are broadcast. Rows with null id, lang or text teach nothing.
+    Only ids are ranked, by hash, and only those whose hash is so small that about twice the limit
+    are left: a language of any size is a few rows of the ranking. The chosen ids are bounded by
+    limit and the number of languages, so they are broadcast. Rows with null id, lang or text
+    teach nothing.
     """
     taught = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & ~held_out("doc_id", FOLDS, HELD_OUT))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    # A row per language. Distinct ids: one id repeated through the table is one chance.
+    sizes = taught.groupBy(F.col("lang").alias("of")).agg(F.approx_count_distinct("doc_id", 0.02).alias("ids"))
+    share = F.least(F.lit(1.0), F.lit(2.0 * limit + 100) / F.col("ids"))
+    place = F.shiftrightunsigned(F.xxhash64("doc_id"), 32)
+    near = taught.select("doc_id", "lang").join(F.broadcast(sizes), F.col("lang") == F.col("of")).where(place <= share * F.lit(2.0**32))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("place", "doc_id"))
     ids = (
-        taught.select("doc_id", "lang").withColumn("rank", rank).where(F.col("rank") <= limit)
+        near.select("doc_id", "lang", place.alias("place")).distinct().withColumn("rank", rank).where(F.col("rank") <= limit)
         .groupBy(F.col("doc_id").alias("_id")).agg(F.min("lang").alias("_lang"))
     )
     return (
