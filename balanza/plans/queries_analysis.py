@@ -360,9 +360,10 @@ def cut_points(spark, sf_dir):
 
 
 def clusters_by_cut(spark, sf_dir):
+    """Clusters of each cut; a cut of fewer than three points has no radius, and all of it is noise."""
     points = cut_points(spark, sf_dir)
     radii = cluster.dbscan_eps(points, by=["cut"])
-    return cluster.dbscan(points.join(radii, "cut"), "eps", by=["cut"])
+    return cluster.dbscan(points.join(radii, "cut", "left").na.fill(0.0, ["eps"]), "eps", by=["cut"])
 
 
 def _cut_query(name, oracle, function):
