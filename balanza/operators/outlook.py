@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from balanza.constants import CLUSTER_FEATURES
 from balanza.functions.ordered import exact_quantiles
 from balanza.functions.tails import chi2_upper
+from balanza.session import scratch_path
 
 SEED = 42
 
@@ -129,7 +130,10 @@ def fit_warning(
     ready = empty.assembled(rows).select("_features", F.col(label).cast("double").alias("_label"), *[f"_f{i}" for i in range(len(features))])
     ready = ready.repartitionByRange(4, *[f"_f{i}" for i in range(len(features))]).sortWithinPartitions(*[f"_f{i}" for i in range(len(features))], "_label")
     forest = RandomForestClassifier(featuresCol="_features", labelCol="_label", numTrees=trees, maxDepth=depth, seed=seed)
-    return WarningModel(features, medians, forest.fit(ready.select("_features", "_label")), split)
+    # Written and read again: a fresh fit drags its training data along, which tasks can't be sent.
+    path = scratch_path(labelled.sparkSession, "forest")
+    forest.fit(ready.select("_features", "_label")).write().save(path)
+    return WarningModel(features, medians, RandomForestClassificationModel.load(path), split)
 
 
 def early_warning(labelled: DataFrame, split, date: str = "fecha_corte", **fit) -> tuple[DataFrame, WarningModel]:
@@ -166,7 +170,7 @@ def with_target(
     return df.withColumn("_month", month_number(date)).withColumn(out, F.first(value).over(ahead)).drop("_month")
 
 
-def _solve(features: list[str]):
+def _solve(features: list[str], means: list[float]):
     names = ["_one", *features]
 
     def run(batches):
@@ -180,6 +184,8 @@ def _solve(features: list[str]):
                 scaled = gram / unit[:, None] / unit[None, :]
                 full = np.linalg.matrix_rank(scaled, tol=1e-10) == len(names)
                 weights = np.linalg.solve(scaled, right / unit) / unit if full else None
+                if full:
+                    weights[0] += means[-1] - weights[1:] @ np.array(means[:-1])
                 out.append((row["_fold"], int(row["_n"]), None if weights is None else list(map(float, weights))))
             yield pd.DataFrame(out, columns=["_fold", "n_entrena", "_weights"])
 
@@ -196,16 +202,20 @@ def expanding_fits(pairs: DataFrame, features: list[str], months: int = 3, date:
     known = pairs.where(F.col(target).isNotNull())
     for c in features:
         known = known.where(F.col(c).isNotNull())
-    terms = [F.lit(1.0), *[F.col(c).cast("double") for c in features]]
+    # Moved to their means, so that sums of products keep their digits; the intercept moves back.
+    means = known.agg(*[F.avg(F.col(c).cast("double")) for c in [*features, target]]).first()
+    means = [0.0 if m is None else float(m) for m in means]
+    terms = [F.lit(1.0), *[F.col(c).cast("double") - F.lit(m) for c, m in zip(features, means)]]
+    goal = F.col(target).cast("double") - F.lit(means[-1])
     sums = {f"_s_{i}_{j}": F.sum(terms[i] * terms[j]) for i in range(len(terms)) for j in range(i, len(terms))}
-    sums |= {f"_t_{i}": F.sum(terms[i] * F.col(target).cast("double")) for i in range(len(terms))}
+    sums |= {f"_t_{i}": F.sum(terms[i] * goal) for i in range(len(terms))}
     monthly = known.groupBy((month_number(date) + months).alias("_seen")).agg(F.count(F.lit(1)).alias("_n"), *[v.alias(k) for k, v in sums.items()])
     # One row a month from here on. A month without new targets still is a fold: it knows what the last one knew.
     folds = pairs.select(month_number(date).alias("_fold")).distinct()
     upto = Window.partitionBy(F.lit(0)).orderBy("_fold").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = folds.join(monthly.withColumnRenamed("_seen", "_fold"), "_fold", "full_outer").na.fill(0)
     totals = rows.select("_fold", *[F.sum(c).over(upto).alias(c) for c in ("_n", *sums)])
-    return totals.where(F.col("_n") > len(features)).mapInPandas(_solve(features), "_fold int, n_entrena bigint, _weights array<double>")
+    return totals.where(F.col("_n") > len(features)).mapInPandas(_solve(features, means), "_fold int, n_entrena bigint, _weights array<double>")
 
 
 def backtest(
