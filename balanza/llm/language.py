@@ -81,7 +81,8 @@ def steps(column) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray
         lettered = np.zeros(end - first, bool)
         # The first gram of a text's first letter may have one letter only; ask the letters themselves.
         lettered[row[np.flatnonzero(_letters()[points] != 0)]] = True
-        yield first, end, hashes[at], row[np.minimum(at + GRAM - 1, len(row) - 1)], lettered
+        # A margin belongs to the text behind it, so the place where an n-gram begins tells its text.
+        yield first, end, hashes[at], row[at], lettered
 
 
 def slots_of(hashes: np.ndarray) -> list[np.ndarray]:

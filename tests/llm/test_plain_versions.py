@@ -3,12 +3,13 @@
 import random
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
-from pyspark.sql import functions as F
 
-from balanza.llm import decontaminate, quality, toxicity
+from balanza.llm import decontaminate, language, quality, toxicity
 
 DOCS = "doc_id bigint, text string, score string, predicted string, matches int, features int"
 
@@ -160,3 +161,28 @@ def test_held_out_rows_and_repeats(spark, module, label):
     assert all(len(v) == 1 for i, v in by_id.items() if i >= 0)
     right = sum(said == sign[i] for i in held for _, said in by_id[i])
     assert right >= 0.95 * len(held)
+
+
+# Language ------------------------------------------------------------------------------------
+
+
+def test_language_filter_answers_and_odd_rows(spark):
+    """Every n-gram that was taught is known to its languages, and repeats, long texts and clashing columns are fine."""
+    chance = random.Random(14)
+    words = {n: ["".join(chance.choice(a) for _ in range(6)) for _ in range(60)] for n, a in (("aa", "abcdefgh"), ("bb", "efghijkl"), ("cc", "mnopqrst"))}
+    rows = [(i, " ".join(chance.choice(words[n]) for _ in range(30)), n) for i, n in enumerate(["aa", "bb", "cc"] * 60)]
+    docs = spark.createDataFrame(rows * 2 + [(5, rows[5][1], "aa"), (None, "abc", "aa"), (7, None, "bb")], "doc_id bigint, text string, lang string")
+    filters = language.learn(docs.where("doc_id != 5"))
+    taught = [(t, n) for i, t, n in rows if i != 5 and zlib.crc32(str(i).encode()) % language.FOLDS != language.HELD_OUT]
+    grams = Counter((int(h), n) for t, n in taught for _, _, found, _, _ in language.steps(pa.array([t])) for h in set(found.tolist()))
+    spoken = Counter(h for h, _ in grams)
+    common = [(h, n) for (h, n), times in grams.items() if times >= 10 and spoken[h] == 1]
+    assert len(common) > 300
+    for h, n in common:
+        place = filters.languages.index(n)
+        assert all(int(filters.masks[0][s[0]]) >> place & 1 for s in language.slots_of(np.array([h], np.uint64)))
+    texts = [rows[0][1]] * 3 + [" ".join(words["cc"]) * 400, "", None, "12 ?"]
+    asked = spark.createDataFrame([(1, t, "x", 3) for t in texts], "doc_id bigint, text string, lang_pred string, score int")
+    got = [(r["lang_pred"], r["score"]) for r in language.predict(asked, filters).collect()]
+    assert len({g for g in got if g[0] == "aa"}) == 1 and Counter(g[0] for g in got) == {"aa": 3, "cc": 1, "und": 3}
+    assert all(0 <= s <= 1 for _, s in got) and language.predict(asked.limit(0), filters).count() == 0
