@@ -1,5 +1,6 @@
 import datetime as dt
 import zipfile
+from decimal import Decimal
 
 import pytest
 from pyspark.sql import Observation
@@ -152,3 +153,22 @@ def test_directory_csv(spark, tmp_path, entities_ledger):
     parts = [p.read_bytes() for p in (tmp_path / "directorio").glob("*.csv")]
     assert all(p.startswith(b"\xef\xbb\xbfruc,") and b"activo_M_Dec2025" in p for p in parts if p)
     assert sum(p.count(b"\n") - 1 for p in parts if p) == 4
+
+
+def test_the_ledger_is_dealt_once_and_in_more_tasks_the_larger_it_is(spark, tmp_path):
+    from balanza import session
+    from balanza.sources import adapter
+
+    days = ["1996-01-31", "1996-02-29", "1996-05-31", None]
+    lines = [(s, p, 10.25 * p, dt.date.fromisoformat(d) if d else None) for s in (1, 2, None) for p in range(25) for d in days]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_extendedprice double, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "a", 3), (2, "b", 4)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    ledger = adapter.ledger_from_tables(spark, str(tmp_path))
+    plan = ledger._jdf.queryExecution().executedPlan().toString()
+    assert "cuenta" not in "".join(line for line in plan.splitlines() if "hashpartitioning(" in line)
+    total = ledger.where("cuenta = '1' and ruc like '%1' and fecha_corte = date'1996-03-31'").first().saldo_usd
+    weights = [Decimal(w) for _, w in adapter.LEAVES]
+    leaves = [code for code, _ in adapter.LEAVES]
+    assert total == 2 * sum(Decimal("10.25") * p * weights[p % 20] for p in range(25) if leaves[p % 20].startswith("1"))
+    assert session.tasks_for(spark, 3_000_001, 500_000) == 7 and session.tasks_for(spark, 10) == 4
+    assert store.clustered(ledger, 9).rdd.getNumPartitions() >= 5
