@@ -255,3 +255,24 @@ def test_dbscan_at_radius_zero(spark):
     got = {r["id"]: (r["label"], r["nucleo"]) for r in cluster.dbscan(points, 0.0).collect()}
     assert all(got[f"p{i}"] == ("p0", True) for i in range(6)) and got["q"] == (None, False)
     assert all(got[x] == ("r", True) for x in "rst")
+
+
+def test_pairs_of_packs_are_not_written(spark, blobs):
+    """Packs stream past each other: no row is shuffled once per pair, for neighbours or for silhouettes."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    lists, _ = pivots.nearest_lists(frame(spark, blobs), 3, None, 16)
+    assert "CartesianProduct" in plan(lists)
+    label = np.arange(len(blobs)) % 3
+    texts = frame(spark, blobs, label).withColumns({"a": F.col("label").cast("string"), "b": F.lit("x")}).drop("label")
+    sums = pivots.distance_sums(texts, ["a", "b"], 16)
+    assert plan(sums).count("CartesianProduct") == 1
+    got = {(r.id, r.etiquetado, r.other): r.total for r in sums.collect()}
+    d = gaps(blobs)
+    assert got["p0007", "b", "x"] == pytest.approx(d[7].sum()) and got["p0007", "a", "1"] == pytest.approx(d[7, label == 1].sum())
+
+
+def test_distances_far_from_the_origin():
+    rng = np.random.default_rng(5)
+    x = 1e6 + rng.normal(0, 1e-3, size=(40, 10))
+    x = np.vstack([x, x[:3], np.full((2, 10), -1e6)])
+    assert np.sqrt(pivots.squares(x, x)) == pytest.approx(gaps(x), rel=1e-9, abs=0)
