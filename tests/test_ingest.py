@@ -172,3 +172,29 @@ def test_the_ledger_is_dealt_once_and_in_more_tasks_the_larger_it_is(spark, tmp_
     assert total == 2 * sum(Decimal("10.25") * p * weights[p % 20] for p in range(25) if leaves[p % 20].startswith("1"))
     assert session.tasks_for(spark, 3_000_001, 500_000) == 7 and session.tasks_for(spark, 10) == 4
     assert store.clustered(ledger, 9).rdd.getNumPartitions() >= 5
+
+
+def test_small_archives_leave_together_and_are_parsed_once(tmp_path, spark, monkeypatch):
+    header = "FECHA CORTE;RUC;CUENTA;SALDO USD\n"
+    for i in range(30):
+        with zipfile.ZipFile(tmp_path / f"2010 {i}.zip", "w") as z:
+            z.writestr("datos.csv", header + f"2010-12-31;{i};1;7,5\n")
+    calls, whole = [], text._chunks
+    monkeypatch.setattr(text, "_chunks", lambda *a: calls.append(a) or whole(*a))
+    found = list(text._contents((tmp_path / "2010 3.zip").read_bytes(), text.ENCODING))
+    assert len(calls) == 1 and [(m, r, len(c)) for m, r, c in found] == [("datos.csv", None, 1)]
+    monkeypatch.setattr(text, "CHUNK_ROWS", 2)
+    with zipfile.ZipFile(tmp_path / "2011 x.zip", "w") as z:
+        z.writestr("datos.csv", header + "2010-12-31;1;1;7,5\n" * 5)
+    assert [len(c) for _, _, c in text._contents((tmp_path / "2011 x.zip").read_bytes(), text.ENCODING)] == [2, 2, 1]
+    monkeypatch.undo()
+    tree = text.scan_tree(spark, str(tmp_path))
+    rows = text.read_ledger_tree(spark, str(tmp_path), tree=tree)
+    assert rows.count() == 35 and rows.select("ruc").distinct().count() == 30
+
+
+def test_a_line_is_parsed_once(spark, tree):
+    """Not once for each of its columns, nor again for a filter."""
+    found = text.scan_tree(spark, tree)
+    plan = text.read_ledger_text(spark, tree, found.headers, list(found.layouts))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_csv") == len(found.layouts)
