@@ -276,3 +276,14 @@ def test_distances_far_from_the_origin():
     x = 1e6 + rng.normal(0, 1e-3, size=(40, 10))
     x = np.vstack([x, x[:3], np.full((2, 10), -1e6)])
     assert np.sqrt(pivots.squares(x, x)) == pytest.approx(gaps(x), rel=1e-9, abs=0)
+
+
+def test_a_radius_from_the_k_distance_reaches_its_neighbour(spark):
+    """k-distances are those of the grid to the last bit, so that a row at exactly the radius counts."""
+    rng = np.random.default_rng(6)
+    x = rng.normal(3.0, 1.0, size=(60, 10))
+    got = [r.k_dist for r in cluster.k_distance(frame(spark, x)).orderBy("id").collect()]
+    total = np.zeros((60, 60))
+    for c in range(10):
+        total += (x[:, c][:, None] - x[:, c][None, :]) ** 2
+    assert got == list(np.sort(np.sqrt(total), axis=1)[:, 2])
