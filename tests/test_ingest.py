@@ -198,3 +198,21 @@ def test_a_line_is_parsed_once(spark, tree):
     found = text.scan_tree(spark, tree)
     plan = text.read_ledger_text(spark, tree, found.headers, list(found.layouts))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("from_csv") == len(found.layouts)
+
+
+def test_lines_are_shuffled_once_and_unknown_prices_stay_rows(spark, tmp_path):
+    from balanza.sources import adapter
+
+    day = dt.date(1996, 2, 10)
+    lines = [(1, 0, 10.0, day), (1, 0, None, day), (1, 1, 5.0, day), (1, 19, None, day), (2, 8, 100.0, None), (None, 0, 1.0, day)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_extendedprice double, l_shipdate date").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "a", 3), (2, "b", 4), (3, "c", 5)], "s_suppkey long, s_name string, s_nationkey int").write.parquet(f"{tmp_path}/supplier.parquet")
+    ledger = adapter.ledger_from_tables(spark, str(tmp_path))
+    plan = ledger._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(") == 1
+    rows = {(r.ruc[-1], r.cuenta): (r.saldo_usd, r.fecha_corte, r.anio) for r in ledger.collect()}
+    march, ten, five = dt.date(1996, 3, 31), Decimal("10.0000"), Decimal("5.0000")
+    first = {"1": ten + five, "11": ten, "13": five, "1103": ten, "1301": five, "18": None, "1801": None}
+    wanted = {("1", code): (amount, march, "1996") for code, amount in first.items()}
+    wanted |= {("2", code): (Decimal("-15.0000"), None, None) for code in ("1", "14", "1499")}
+    assert rows == wanted and ledger.count() == len(wanted)
