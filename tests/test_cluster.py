@@ -287,3 +287,35 @@ def test_a_radius_from_the_k_distance_reaches_its_neighbour(spark):
     for c in range(10):
         total += (x[:, c][:, None] - x[:, c][None, :]) ** 2
     assert got == list(np.sort(np.sqrt(total), axis=1)[:, 2])
+
+
+def test_each_pair_of_packs_meets_once(spark):
+    """A pair's distances are computed in one order only, and count for the rows of both packs."""
+    held = spark.range(30).select(F.col("id").alias("_pack"), F.array("id").alias("x"))
+
+    def names(batches):
+        for batch in batches:
+            yield batch.select(["_pack", "_pack2"])
+
+    pairs = pivots.meet_once(held, 30, F.col("x")[0] + F.col("x2")[0] != 7, names, "_pack bigint, _pack2 bigint").collect()
+    assert sorted(tuple(sorted(p)) for p in pairs) == [(i, j) for i in range(30) for j in range(i, 30) if i + j != 7]
+
+
+def test_sums_of_both_packs_of_a_pair(spark):
+    """Rows of different packs and labelings, in clusters of very different spread."""
+    rng = np.random.default_rng(7)
+    x = np.vstack([rng.normal(c, s, size=(40, 3)) for c, s in (((0, 0, 0), 1.0), ((4, 0, 0), 2.0), ((0, 900, 0), 60.0))])
+    labels = {"a": np.repeat([0, 1, 2], 40), "b": rng.integers(0, 4, 120)}
+    points = frame(spark, x).select("*", *[F.element_at(F.array(*[F.lit(int(v)) for v in labels[c]]), F.substring("id", 2, 9).cast("int") + 1).cast("string").alias(c) for c in labels])
+    sums = pivots.distance_sums(points, ["a", "b"], 16).collect()
+    d, own = gaps(x), 0
+    for r in sums:
+        i = int(r.id[1:])
+        assert r.label == str(labels[r.etiquetado][i]) and r.total == pytest.approx(d[i, labels[r.etiquetado] == int(r.other)].sum())
+        own += r.label == r.other
+    assert own == 240
+    for name, label in labels.items():
+        means = {(int(r.id[1:]), int(r.other)): r.total for r in sums if r.etiquetado == name and r.label != r.other}
+        for i in range(120):
+            of = {g: d[i, label == g].mean() for g in set(label) - {label[i]}}
+            assert (i, min(of, key=of.get)) in means
