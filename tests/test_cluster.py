@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from balanza.operators import centroids, cluster, grid, pivots
+from balanza.operators import centroids, cluster, density, grid, pivots
 
 BLOCK = 16
 
@@ -319,3 +319,47 @@ def test_sums_of_both_packs_of_a_pair(spark):
         for i in range(120):
             of = {g: d[i, label == g].mean() for g in set(label) - {label[i]}}
             assert (i, min(of, key=of.get)) in means
+
+
+@pytest.fixture()
+def small_packs(monkeypatch):
+    monkeypatch.setattr(density.Radius.__init__, "__defaults__", (None, BLOCK))
+    monkeypatch.setattr(pivots, "LEAF_ROWS", 4)
+
+
+@pytest.mark.parametrize("eps", [0.0, 0.3, 3.0])
+def test_dbscan_over_many_packs(spark, blobs, small_packs, eps):
+    x = np.vstack([blobs, np.full((60, 2), 2.5), blobs[:30] + 0.05])
+    expected, core = brute_dbscan(x, eps, 3)
+    rows = cluster.dbscan(frame(spark, x), eps).orderBy("id").collect()
+    assert [r.label for r in rows] == [None if e is None else f"p{e:04d}" for e in expected]
+    assert [r.nucleo for r in rows] == list(core)
+
+
+def test_rows_are_not_written_per_neighbouring_cell(spark, blobs, small_packs):
+    """Packs stream past each other: no row is copied before it is shuffled, and one link joins two dense packs."""
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    near = density.Radius(0.8)
+    counts = near.counts(frame(spark, blobs))
+    assert "CartesianProduct" in plan(counts) and "Generate" not in plan(counts)
+    got = {r.id: r.n for r in counts.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    assert [got[f"p{i:04d}"] for i in range(len(blobs))] == list((gaps(blobs) <= 0.8).sum(axis=1))
+    same = frame(spark, np.zeros((160, 2)))
+    assert near.links(same).count() <= 160 + 10 * 9 / 2
+
+
+def test_groups_without_a_name(spark, small_packs):
+    """Rows without a group are a group of their own, however many blocks it takes; an id may occur twice."""
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, size=(600, 2))
+    rows = [(f"{d}{i:04d}", *map(float, v), d, 0.1) for d in ("a", None) for i, v in enumerate(x)] + [("twice", 50.0, 50.0, "a", 0.1)] * 2
+    points = spark.createDataFrame(rows, "id string, x0 double, x1 double, fecha string, eps double")
+    distances = pivots.k_distance(points, 3, ["fecha"], BLOCK).where(F.col("id") != "twice").orderBy("id").collect()
+    want = list(np.sort(gaps(x), axis=1)[:, 2])
+    assert [r.k_dist for r in distances] == pytest.approx(want + want) and {r.fecha for r in distances} == {"a", None}
+    labels, core = brute_dbscan(x, 0.1, 3)
+    found = cluster.dbscan(points, "eps", by=["fecha"]).collect()
+    got = {(r.id, r.fecha): (r.label, r.nucleo) for r in found}
+    assert len(found) == 1202 and got["twice", "a"] == ("twice", True)
+    for d in ("a", None):
+        assert [got[f"{d}{i:04d}", d] for i in range(600)] == [(None if e is None else f"{d}{e:04d}", bool(c)) for e, c in zip(labels, core)]
