@@ -216,3 +216,23 @@ def test_lines_are_shuffled_once_and_unknown_prices_stay_rows(spark, tmp_path):
     wanted = {("1", code): (amount, march, "1996") for code, amount in first.items()}
     wanted |= {("2", code): (Decimal("-15.0000"), None, None) for code in ("1", "14", "1499")}
     assert rows == wanted and ledger.count() == len(wanted)
+
+
+@pytest.mark.parametrize("most", [1, 4, 1000])
+def test_large_trees_are_listed_lot_by_lot(spark, tmp_path, monkeypatch, most):
+    """Whatever is listed at a time, all files are read or refused once; what Spark's readers hide stays hidden."""
+    monkeypatch.setattr(text, "FILES_AT_A_TIME", most)
+    head, row = "FECHA CORTE;RUC;CUENTA;SALDO USD\n", "2010-12-31;{};1;{}\n"
+    for i in range(6):
+        archive(tmp_path / f"zips/[{i % 2}]{{a}} b/{i // 2}/2010 {i}.zip", datos_csv=head + row.format(f"R{i}", i))
+    archive(tmp_path / "zips/2011 roto.zip", indice_txt="NOTA\nx\n")
+    for name in ("2012/uno*.csv", "2012/sub/dos.txt", "_oculto/tres.csv", "2012/.cuatro.csv", "2012/_cinco.csv", "anio=2013/seis.csv"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(head + row.format(name, 9))
+    (tmp_path / "2012/nota.pdf").write_text("x")
+    found = text.lots(spark, str(tmp_path))
+    assert len(found) == (1 if most == 1000 else len(found)) and (most > 4 or len(found) > 1)
+    rows = sorted((r.ruc, float(r.saldo_usd)) for r in text.read_ledger_tree(spark, str(tmp_path)).collect())
+    assert rows == sorted([(f"R{i}", float(i)) for i in range(6)] + [(n, 9.0) for n in ("2012/uno*.csv", "2012/sub/dos.txt", "anio=2013/seis.csv")])
+    refused = sorted(r.path.rsplit("/", 1)[1] for r in text.refused_files(spark, text.scan_tree(spark, str(tmp_path))).collect())
+    assert refused == ["2011%20roto.zip", "2011%20roto.zip!indice.txt", "nota.pdf"]
